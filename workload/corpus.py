@@ -92,7 +92,7 @@ def _fill(template: str, value: Column) -> Column:
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """One file per document."""
+    """One file per document; ``doc_id`` and ``text`` come along for queries on later versions."""
     kind, doc, text = F.col("kind"), F.col("doc_id"), F.col("text")
     path = F.when(F.lit(False), "")
     for k, template in PATHS.items():
@@ -131,6 +131,7 @@ def document_files(docs: DataFrame) -> DataFrame:
         F.translate(path, "\\", "/").alias("path"),
         content.alias("content"),
         "doc_id",
+        "text",
     )
 
 
@@ -196,4 +197,4 @@ def root_files(docs: DataFrame) -> DataFrame:
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unfiltered listing: ``project_id, path, content``."""
     docs = documents(spark, sf_dir)
-    return document_files(docs).drop("doc_id").unionByName(root_files(docs))
+    return document_files(docs).drop("doc_id", "text").unionByName(root_files(docs))
