@@ -15,6 +15,7 @@ from fleetscan.functions.severity import (
     score_from_tenths,
 )
 from fleetscan.operators.observe import observe
+from fleetscan.plans.reuse import once
 from fleetscan.rules.model import ProjectRule, Registry
 
 MANIFEST = (
@@ -69,6 +70,13 @@ def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
     A single aggregation by project over observation rows. Every aggregate combines
     on the map side, so a huge project costs one row per task in the shuffle.
     """
+    aggregates, parsed, maps, derived, dropped = _fact_columns(tuple(registry.rules))
+    facts = observations.groupBy("project_id").agg(*aggregates)
+    return facts.withColumns(parsed).withColumns(maps).withColumns(derived).drop(*dropped)
+
+
+@once
+def _fact_columns(rules: tuple) -> tuple:
     path, is_file = F.col("path"), F.col("rule_no") == 0
     picked = is_file & F.col("selected")
 
@@ -76,7 +84,7 @@ def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
         return F.bool_or(is_file & path.isin(*names))
 
     manifest_at = F.when(picked & F.col("manifest").isNotNull(), F.struct(P.depth(path), path))
-    facts = observations.groupBy("project_id").agg(
+    aggregates = [
         root("tsconfig.json").alias("has_typescript"),
         root(".gitignore", "gitignore").alias("has_gitignore"),
         root(".env", ".env.local").alias("has_env_file"),
@@ -90,48 +98,43 @@ def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
         F.sum(F.when(picked, F.col("any_count")).otherwise(0)).alias("any_total"),
         F.count_if(picked).alias("files_scanned"),
         F.sum(F.when(picked, F.col("n_lines")).otherwise(0)).cast("bigint").alias("lines_scanned"),
-        *_hit_counts(registry),
-    )
-    parsed = F.from_json("root_manifest", MANIFEST, STRICT_JSON)
-    first = F.from_json("first_manifest.manifest", MANIFEST, STRICT_JSON)
-    facts = facts.withColumn("pkg", parsed).withColumn("first_pkg", first)
-    facts = facts.withColumns(
-        {
-            "dependencies": _map(F.col("pkg"), "dependencies"),
-            "dev_dependencies": _map(F.col("pkg"), "devDependencies"),
-            "scripts": _map(F.col("pkg"), "scripts"),
-            "node_version": F.col("pkg.engines.node"),
-            "manifest_path": F.col("first_manifest.path"),
-            "manifest_scripts": _map(F.col("first_pkg"), "scripts"),
-            "manifest_error": manifest_error(F.col("first_manifest.manifest"), F.col("first_pkg")),
-        }
-    )
-    # A manifest that stops the dependency checks gives an error row and no findings.
-    facts = facts.withColumn(
-        "manifest_dependency_count",
-        F.when(F.col("manifest_error").isNotNull(), 0).otherwise(
+        *_hit_counts(rules),
+    ]
+    parsed = {
+        "pkg": F.from_json("root_manifest", MANIFEST, STRICT_JSON),
+        "first_pkg": F.from_json("first_manifest.manifest", MANIFEST, STRICT_JSON),
+    }
+    error = manifest_error(F.col("first_manifest.manifest"), F.col("first_pkg"))
+    maps = {
+        "dependencies": _map(F.col("pkg"), "dependencies"),
+        "dev_dependencies": _map(F.col("pkg"), "devDependencies"),
+        "scripts": _map(F.col("pkg"), "scripts"),
+        "node_version": F.col("pkg.engines.node"),
+        "manifest_path": F.col("first_manifest.path"),
+        "manifest_scripts": _map(F.col("first_pkg"), "scripts"),
+        "manifest_error": error,
+        # A manifest that stops the dependency checks gives an error row and no findings.
+        "manifest_dependency_count": F.when(error.isNotNull(), 0).otherwise(
             F.size(_map(F.col("first_pkg"), "dependencies"))
         ),
-    )
+    }
     deps, dev = F.col("dependencies"), F.col("dev_dependencies")
     runners = F.array(*[F.lit(r) for r in V.TEST_RUNNERS])
-    return facts.withColumns(
-        {
-            "framework": F.when(_truthy(deps, "next"), "nextjs")
-            .when(_truthy(dev, "vite") | _truthy(deps, "vite"), "vite")
-            .when(_truthy(deps, "express"), "express")
-            .otherwise("unknown"),
-            "language": F.when(F.col("has_typescript"), "typescript").otherwise("javascript"),
-            "package_manager": F.when(F.col("uses_pnpm"), "pnpm")
-            .when(F.col("uses_yarn"), "yarn")
-            .otherwise("npm"),
-            "has_tests": F.arrays_overlap(F.map_keys(dev), runners)
-            | F.exists(F.map_keys("scripts"), lambda k: k.contains("test")),
-            "nextjs_version": F.regexp_replace(
-                F.try_element_at(deps, F.lit("next")), r"[\^~]", ""
-            ),
-        }
-    ).drop("pkg", "first_pkg", "first_manifest", "root_manifest", "uses_pnpm", "uses_yarn")
+    derived = {
+        "framework": F.when(_truthy(deps, "next"), "nextjs")
+        .when(_truthy(dev, "vite") | _truthy(deps, "vite"), "vite")
+        .when(_truthy(deps, "express"), "express")
+        .otherwise("unknown"),
+        "language": F.when(F.col("has_typescript"), "typescript").otherwise("javascript"),
+        "package_manager": F.when(F.col("uses_pnpm"), "pnpm")
+        .when(F.col("uses_yarn"), "yarn")
+        .otherwise("npm"),
+        "has_tests": F.arrays_overlap(F.map_keys(dev), runners)
+        | F.exists(F.map_keys("scripts"), lambda k: k.contains("test")),
+        "nextjs_version": F.regexp_replace(F.try_element_at(deps, F.lit("next")), r"[\^~]", ""),
+    }
+    dropped = ["pkg", "first_pkg", "first_manifest", "root_manifest", "uses_pnpm", "uses_yarn"]
+    return aggregates, parsed, maps, derived, dropped
 
 
 def project_context(raw_files: DataFrame) -> DataFrame:
@@ -140,9 +143,9 @@ def project_context(raw_files: DataFrame) -> DataFrame:
     return project_facts(observations, Registry()).select("project_id", *CONTEXT_COLUMNS)
 
 
-def _hit_counts(registry: Registry) -> list[Column]:
+def _hit_counts(rules: tuple) -> list[Column]:
     """Findings per severity and category and their penalty, from rule numbers alone."""
-    numbered = [(no, r) for no, r in enumerate(registry.rules, 1) if not isinstance(r, ProjectRule)]
+    numbered = [(no, r) for no, r in enumerate(rules, 1) if not isinstance(r, ProjectRule)]
 
     def tally(name: str, value_of) -> Column:
         cases = {no: value_of(r) for no, r in numbered if value_of(r)}
@@ -162,14 +165,25 @@ def _hit_counts(registry: Registry) -> list[Column]:
 
 def with_project_hits(facts: DataFrame, registry: Registry) -> DataFrame:
     """Evaluate the project rules: column ``hits_<no>`` holds a rule's hits."""
-    rules = registry.numbered(ProjectRule)
-    return facts.withColumns({f"hits_{no}": r.hits(F.col) for no, r in rules}) if rules else facts
+    hits = _project_hits(tuple(registry.rules))
+    return facts.withColumns(hits) if hits else facts
+
+
+@once
+def _project_hits(rules: tuple) -> dict[str, Column]:
+    return {f"hits_{no}": r.hits(F.col) for no, r in Registry(rules).numbered(ProjectRule)}
 
 
 def project_summary(facts: DataFrame, registry: Registry) -> DataFrame:
     """A1-A3 without touching single findings: file-level sums plus project-level hits."""
-    rules = registry.numbered(ProjectRule)
-    rows = with_project_hits(facts, registry)
+    totals, dropped = _summary_columns(tuple(registry.rules))
+    rows = with_project_hits(facts, registry).withColumns(totals).drop(*dropped)
+    return _scored(rows)
+
+
+@once
+def _summary_columns(all_rules: tuple) -> tuple:
+    rules = Registry(all_rules).numbered(ProjectRule)
 
     def total(base: str, value_of) -> Column:
         out = F.col(base)
@@ -178,42 +192,37 @@ def project_summary(facts: DataFrame, registry: Registry) -> DataFrame:
                 out = out + F.size(f"hits_{no}") * F.lit(value_of(r))
         return out.cast("bigint")
 
-    rows = rows.withColumns(
+    totals = {
+        "penalty_tenths": total("file_penalty", lambda r: penalty_tenths_of(r.severity, r.category))
+    }
+    for s in V.SEVERITIES:
+        totals[f"n_{s}"] = total(f"file_{s}", lambda r, s=s: int(r.severity == s))
+    for c in V.CATEGORIES:
+        totals[f"n_{c}"] = total(f"file_{c}", lambda r, c=c: int(r.category == c))
+    dropped = [f"hits_{no}" for no, _ in rules] + ["file_penalty"]
+    dropped += [f"file_{x}" for x in V.SEVERITIES + V.CATEGORIES]
+    return totals, dropped
+
+
+@once
+def _score_columns() -> tuple:
+    counts = F.create_map(*[x for c in V.CATEGORIES for x in (F.lit(c), F.col(f"n_{c}"))])
+    return (
+        {"score": score_from_tenths(F.col("penalty_tenths"))},
+        {"deploy_status": deploy_status(F.col("score"), F.col("n_critical") > 0)},
         {
-            "penalty_tenths": total(
-                "file_penalty", lambda r: penalty_tenths_of(r.severity, r.category)
-            ),
-            **{
-                f"n_{s}": total(f"file_{s}", lambda r, s=s: int(r.severity == s))
-                for s in V.SEVERITIES
-            },
-            **{
-                f"n_{c}": total(f"file_{c}", lambda r, c=c: int(r.category == c))
-                for c in V.CATEGORIES
-            },
-        }
-    )
-    rows = rows.drop(
-        *[f"hits_{no}" for no, _ in rules],
-        "file_penalty",
-        *[f"file_{x}" for x in V.SEVERITIES + V.CATEGORIES],
+            "total": sum((F.col(f"n_{s}") for s in V.SEVERITIES[1:]), F.col("n_critical")),
+            "exit_code": exit_code(F.col("deploy_status")),
+            "category_counts": counts,
+        },
     )
-    return _scored(rows)
 
 
 def _scored(rows: DataFrame) -> DataFrame:
     """Score, status and totals from the penalty and the counts."""
-    rows = rows.withColumn("score", score_from_tenths(F.col("penalty_tenths")))
-    rows = rows.withColumn("deploy_status", deploy_status(F.col("score"), F.col("n_critical") > 0))
-    return rows.withColumns(
-        {
-            "total": sum((F.col(f"n_{s}") for s in V.SEVERITIES[1:]), F.col("n_critical")),
-            "exit_code": exit_code(F.col("deploy_status")),
-            "category_counts": F.create_map(
-                *[x for c in V.CATEGORIES for x in (F.lit(c), F.col(f"n_{c}"))]
-            ),
-        }
-    )
+    for columns in _score_columns():
+        rows = rows.withColumns(columns)
+    return rows
 
 
 def add_findings(projects: DataFrame, findings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from fleetscan import values as V
 from fleetscan.functions.severity import severity_rank
 from fleetscan.functions.text import fill
 from fleetscan.operators.context import with_project_hits
+from fleetscan.plans.reuse import once
 from fleetscan.rules.model import ProjectRule, Registry
 
 FINDING_SCHEMA = (
@@ -65,7 +66,20 @@ def file_hits(observations: DataFrame) -> DataFrame:
 
 def project_hits(facts: DataFrame, registry: Registry) -> DataFrame:
     """Hits of project rules, still by rule number."""
-    rules = registry.numbered(ProjectRule)
+    rows = with_project_hits(facts, registry)
+    return rows.select(*_project_hit_columns(tuple(registry.rules))).select(
+        "project_id",
+        "rule_no",
+        "file",
+        F.lit(None).cast("int").alias("line"),
+        "evidence",
+        "detail",
+        "ordinal",
+    )
+
+
+@once
+def _project_hit_columns(rules: tuple) -> list:
     none = F.array().cast(
         "array<struct<rule_no:int,file:string,evidence:string,detail:string,ordinal:int>>"
     )
@@ -82,16 +96,8 @@ def project_hits(facts: DataFrame, registry: Registry) -> DataFrame:
             ),
         )
 
-    rows = with_project_hits(facts, registry)
-    return rows.select("project_id", F.inline(F.concat(none, *[numbered(no) for no, _ in rules]))).select(
-        "project_id",
-        "rule_no",
-        "file",
-        F.lit(None).cast("int").alias("line"),
-        "evidence",
-        "detail",
-        "ordinal",
-    )
+    hits = [numbered(no) for no, _ in Registry(rules).numbered(ProjectRule)]
+    return ["project_id", F.inline(F.concat(none, *hits))]
 
 
 def describe(hits: DataFrame, registry: Registry) -> DataFrame:
@@ -100,39 +106,61 @@ def describe(hits: DataFrame, registry: Registry) -> DataFrame:
     if not registry.rules:
         return hits.sparkSession.createDataFrame([], FINDING_SCHEMA)
 
-    def entry(r) -> Column:
-        return F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.prefix).alias("prefix"),
-            F.lit(r.title).alias("title"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(r.category).alias("category"),
-            F.lit(r.blocking).alias("deploy_blocking"),
-            F.lit(r.confidence).alias("confidence"),
-            F.lit(r.problem).alias("problem"),
-            F.lit(r.why).alias("why"),
-            F.array(*[F.lit(s) for s in r.steps]).alias("steps"),
-            F.lit(r.auto_fix).alias("auto_fix"),
-            F.lit(r.prompt).cast("string").alias("prompt"),
-            F.lit(V.SEVERITY_RANK[r.severity]).alias("severity_rank"),
-            F.lit(r.detector_ord).alias("detector_ord"),
-            F.lit(r.tail).alias("tail"),
-            F.lit(r.rule_ord).alias("rule_ord"),
-        )
-
-    catalogue = F.array(*[entry(r) for r in registry.rules])
-    rule = F.get(catalogue, F.col("rule_no") - 1)
+    rule, columns = _description(tuple(registry.rules))
+    return hits.withColumns(rule).withColumn("rule_id", F.col("rule.rule_id")).select(*columns)
+
+
+def _sql(value) -> str:
+    """A value as a SQL literal."""
+    if value is None:
+        return "cast(null as string)"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, tuple):
+        return "array(" + ", ".join(_sql(v) for v in value) + ")"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@once
+def _description(rules: tuple) -> tuple:
+    def entry(r) -> str:
+        fields = {
+            "rule_id": r.rule_id,
+            "prefix": r.prefix,
+            "title": r.title,
+            "severity": r.severity,
+            "category": r.category,
+            "deploy_blocking": r.blocking,
+            "confidence": r.confidence,
+            "problem": r.problem,
+            "why": r.why,
+            "steps": tuple(r.steps),
+            "auto_fix": r.auto_fix,
+            "prompt": r.prompt,
+            "severity_rank": V.SEVERITY_RANK[r.severity],
+            "detector_ord": r.detector_ord,
+            "tail": r.tail,
+            "rule_ord": r.rule_ord,
+        }
+        return "struct(" + ", ".join(f"{_sql(v)} AS {k}" for k, v in fields.items()) + ")"
+
+    catalogue = F.expr("array(" + ", ".join(entry(r) for r in rules) + ")")
     detail = F.col("detail")
-    rows = hits.withColumn("rule", rule).withColumn("rule_id", F.col("rule.rule_id"))
-    return rows.select(
+
+    def of(field: str, name: str | None = None) -> Column:
+        return F.col(f"rule.{field}").alias(name or field)
+
+    columns = [
         "project_id",
         finding_id(F.col("rule.prefix"), F.col("ordinal")).alias("id"),
         "rule_id",
         fill(F.col("rule.title"), detail).alias("title"),
-        F.col("rule.severity").alias("severity"),
-        F.col("rule.category").alias("category"),
-        F.col("rule.deploy_blocking").alias("deploy_blocking"),
-        F.col("rule.confidence").alias("confidence"),
+        of("severity"),
+        of("category"),
+        of("deploy_blocking"),
+        of("confidence"),
         "file",
         "line",
         F.lit(None).cast("int").alias("end_line"),
@@ -140,19 +168,20 @@ def describe(hits: DataFrame, registry: Registry) -> DataFrame:
         F.lit(None).cast("int").alias("end_column"),
         "evidence",
         fill(F.col("rule.problem"), detail).alias("plain_english_problem"),
-        F.col("rule.why").alias("why_it_matters"),
+        of("why", "why_it_matters"),
         F.transform("rule.steps", lambda s: fill(s, detail)).alias("fix_steps"),
-        F.col("rule.auto_fix").alias("auto_fix_available"),
-        F.col("rule.prompt").alias("ai_fix_prompt"),
+        of("auto_fix", "auto_fix_available"),
+        of("prompt", "ai_fix_prompt"),
         F.lit(None).cast("string").alias("learn_more_url"),
         F.lit(None).cast("array<string>").alias("related_findings"),
         F.lit(None).cast("array<string>").alias("tags"),
-        F.col("rule.severity_rank").alias("severity_rank"),
-        F.col("rule.detector_ord").alias("detector_ord"),
-        F.col("rule.tail").alias("tail"),
-        F.col("rule.rule_ord").alias("rule_ord"),
+        of("severity_rank"),
+        of("detector_ord"),
+        of("tail"),
+        of("rule_ord"),
         "ordinal",
-    )
+    ]
+    return {"rule": F.get(catalogue, F.col("rule_no") - 1)}, columns
 
 
 def min_severity(findings: DataFrame, level: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscan.plans.reuse import once
+
 BROADCAST_RULES = 200_000
 BROADCAST_CHARS = 16_000_000
 
@@ -19,8 +21,9 @@ _STAR, _QUERY, _BRACKET = "", "", ""
 _ANY_DIRS, _INNER_DIRS, _BELOW = "", "", ""
 
 
-def glob_regex(glob: Column, anchored: Column) -> Column:
-    """The regular expression of a pattern without its ``!`` and outer slashes."""
+@once
+def _glob_regex() -> Column:
+    """The regular expression of pattern ``p``, its ``!`` and outer slashes removed."""
     steps = [
         (r"\\\*", _STAR),
         (r"\\\?", _QUERY),
@@ -40,10 +43,10 @@ def glob_regex(glob: Column, anchored: Column) -> Column:
         (_QUERY, r"\\?"),
         (_BRACKET, r"\\["),
     ]
-    out = glob
+    out = F.col("p")
     for pattern, replacement in steps:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), out, F.lit(r"\z"))
+    return F.concat(F.when(F.col("anchored"), "^").otherwise("^(?:.*/)?"), out, F.lit(r"\z"))
 
 
 def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
@@ -82,7 +85,7 @@ def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
         "dir_only",
         "kind",
         F.when(F.col("kind") == "suffix", F.substr("p", F.lit(2)))
-        .when(F.col("kind") == "glob", glob_regex(F.col("p"), F.col("anchored")))
+        .when(F.col("kind") == "glob", _glob_regex())
         .otherwise(F.col("p"))
         .alias("arg"),
     )
@@ -142,8 +145,13 @@ def with_ignored(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -
     )
     if size.n <= BROADCAST_RULES and size.chars <= BROADCAST_CHARS:
         per_project = F.broadcast(per_project)
+    ignored = {"ignored": _ignored(ignore_case)}
+    return files.join(per_project, "project_id", "left").withColumns(ignored).drop("rules")
+
+
+@once
+def _ignored(ignore_case: bool) -> Column:
     path = F.lower("path") if ignore_case else F.col("path")
-    places = ancestors(path)
 
     def decided(place: Column) -> Column:
         # The last matching rule counts.
@@ -155,8 +163,7 @@ def with_ignored(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -
             ).otherwise(state),
         )
 
-    ignored = F.when(F.col("rules").isNotNull(), F.exists(places, decided)).otherwise(False)
-    return files.join(per_project, "project_id", "left").withColumn("ignored", ignored).drop("rules")
+    return F.when(F.col("rules").isNotNull(), F.exists(ancestors(path), decided)).otherwise(False)
 
 
 def gitignore_filter(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -> DataFrame:

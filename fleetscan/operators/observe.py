@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetscan.functions import paths as P
 from fleetscan.functions.text import any_of, count_word, line_count, split_lines
+from fleetscan.plans.reuse import once
 from fleetscan.rules.model import FileRule, FileView, LineRule, LineView, Registry
 from fleetscan.values import TRIM_CHARS
 
@@ -36,6 +37,17 @@ def observe(
     """
     if "selected" not in files.columns:
         files = files.withColumn("selected", F.lit(True))
+    per_file, with_lines, per_line, per_hit, result = _stages(
+        tuple(registry.rules), ignore_prefix, honour_ignores
+    )
+    rows = files.select(*per_file).select(*with_lines).select(*per_line)
+    return rows.select(*per_hit).select(*result)
+
+
+@once
+def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[list, ...]:
+    """The projections of :func:`observe`, in order."""
+    registry = Registry(rules)
     line_rules = registry.numbered(LineRule)
     file_rules = registry.numbered(FileRule)
 
@@ -47,7 +59,7 @@ def observe(
 
     n_lines = line_count(content)
     view = FileView(path, content, n_lines)
-    per_file = files.select(
+    per_file = [
         "project_id",
         "path",
         "selected",
@@ -68,7 +80,7 @@ def observe(
         ((path == ".gitignore") & content.rlike(ENV_LINE)).alias("env_listed"),
         content.contains(f"{ignore_prefix}-disable").alias("has_ignores"),
         content.contains(f"{ignore_prefix}-disable-file").alias("ignores_file"),
-    )
+    ]
 
     look = any_of(F.col(f"look_{no}") for no, _ in line_rules)
     lines = F.when(look, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>"))
@@ -77,51 +89,47 @@ def observe(
     # Element 0 stands for the file itself, element n for line n. The outer form gives the
     # same rows here, as the array is never empty; the plain form would make the optimizer
     # add a filter on the array's size and so cut every file into lines twice.
-    with_lines = per_file.select(
+    with_lines = [
         *keep, *flags, F.concat(F.array(F.lit(None).cast("string")), lines).alias("lines")
-    )
-    per_line = with_lines.select(
-        *keep, *flags, "lines", F.posexplode_outer("lines").alias("line", "text")
-    )
+    ]
+    per_line = [*keep, *flags, "lines", F.posexplode_outer("lines").alias("line", "text")]
 
-    text, no_line = F.col("text"), F.col("line") == 0
+    line_view = LineView(F.col("text"), F.get("lines", F.col("line") + 1))
     hits = F.concat(
-        none,
-        *[
-            fires(no, F.col(f"look_{no}") & r.line_when(_line_view()))
-            for no, r in line_rules
-        ],
+        none, *[fires(no, F.col(f"look_{no}") & r.line_when(line_view)) for no, r in line_rules]
     )
     if honour_ignores:
         muted = F.col("ignores_file") | ignored_line(
-            text, F.get("lines", F.col("line") - 1), ignore_prefix
+            line_view.text, F.get("lines", F.col("line") - 1), ignore_prefix
         )
         hits = F.when(F.col("has_ignores") & muted, none).otherwise(hits)
-
-    per_hit = per_line.select(
+    per_hit = [
         *keep,
         "lines",
         "line",
         "text",
-        F.explode(F.when(no_line, F.col("file_hits")).otherwise(hits)).alias("rule_no"),
-    )
-    return per_hit.select(
+        F.explode(F.when(F.col("line") == 0, F.col("file_hits")).otherwise(hits)).alias("rule_no"),
+    ]
+
+    n_text = F.col("n_lines").cast("string")
+    of_file = [no for no, r in file_rules if r.lines_evidence]
+    evidence = [(no, r.evidence(line_view)) for no, r in line_rules]
+    evidence += [(no, F.concat(n_text, F.lit(" lines"))) for no in of_file]
+    detail = [(no, r.detail(line_view)) for no, r in line_rules] + [(no, n_text) for no in of_file]
+    result = [
         "project_id",
         "path",
         "selected",
         "rule_no",
         "line",
-        _per_rule(line_rules, lambda r: r.evidence(_line_view()), file_rules, _lines_text).alias(
-            "evidence"
-        ),
-        _per_rule(line_rules, lambda r: r.detail(_line_view()), file_rules, _lines_number).alias(
-            "detail"
-        ),
+        _by_rule(evidence).alias("evidence"),
+        _by_rule(detail).alias("detail"),
         "n_lines",
         "any_count",
         F.when(F.col("rule_no") == 0, F.col("manifest")).alias("manifest"),
         "env_listed",
-    )
+    ]
+    return per_file, with_lines, per_line, per_hit, result
 
 
 def ignored_line(text: Column, previous: Column, prefix: str) -> Column:
@@ -131,24 +139,9 @@ def ignored_line(text: Column, previous: Column, prefix: str) -> Column:
     return F.coalesce(here, F.lit(False)) | F.coalesce(before, F.lit(False))
 
 
-def _line_view() -> LineView:
-    # "lines" has the file itself at index 0, so the following line is at line + 1.
-    return LineView(F.col("text"), F.get("lines", F.col("line") + 1))
-
-
-def _lines_text() -> Column:
-    return F.concat(F.col("n_lines").cast("string"), F.lit(" lines"))
-
-
-def _lines_number() -> Column:
-    return F.col("n_lines").cast("string")
-
-
-def _per_rule(line_rules, of_line, file_rules, of_file) -> Column:
-    """A value chosen by rule number; rules wanting the same expression share a branch."""
-    branches = [(no, of_line(r)) for no, r in line_rules]
-    branches += [(no, of_file()) for no, r in file_rules if r.lines_evidence]
+def _by_rule(values: list[tuple[int, Column]]) -> Column:
+    """The value that goes with the row's rule number, or null."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for no, value in branches:
+    for no, value in values:
         out = out.when(F.col("rule_no") == no, value)
     return out.otherwise(F.lit(None).cast("string"))

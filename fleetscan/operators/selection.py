@@ -11,14 +11,16 @@ from fleetscan import values as V
 from fleetscan.functions import content as C
 from fleetscan.functions import paths as P
 from fleetscan.operators.gitignore import ignore_rules, with_ignored
+from fleetscan.plans.reuse import once
 from fleetscan.plans.sizing import broadcast_if_small
 
 SALTS = 64
 
 
-def selectable(path: Column, ignore_case: bool = True) -> Column:
-    """decided by the path alone."""
-    return P.scannable(path) & ~P.excluded(path, ignore_case)
+@once
+def selectable(ignore_case: bool = True) -> Column:
+    """decided by the ``path`` alone."""
+    return P.scannable(F.col("path")) & ~P.excluded(F.col("path"), ignore_case)
 
 
 def mark_selected(
@@ -38,7 +40,7 @@ def mark_selected(
     else:
         rules = ignore_rules(files, exclude_patterns, ignore_case)
         out = with_ignored(files, rules, ignore_case)
-        out = out.withColumn("selected", selectable(path, ignore_case) & ~F.col("ignored"))
+        out = out.withColumn("selected", selectable(ignore_case) & ~F.col("ignored"))
         out = out.drop("ignored")
     if max_files is None:
         return out

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscan.plans.reuse import once
+from fleetscan.plans.sizing import spread
+
 KINDS = 16
 
 # kind -> path; {id} is the document id. Kind 3 has a Windows path on purpose.
@@ -67,7 +70,7 @@ DEPENDENCY_COUNT = 85
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def kind_of(doc_id: Column) -> Column:
@@ -93,6 +96,12 @@ def _fill(template: str, value: Column) -> Column:
 
 def document_files(docs: DataFrame) -> DataFrame:
     """One file per document; ``doc_id`` and ``text`` come along for queries on later versions."""
+    kinds, columns = _document_columns()
+    return docs.select(*kinds).select(*columns)
+
+
+@once
+def _document_columns() -> tuple[list, list]:
     kind, doc, text = F.col("kind"), F.col("doc_id"), F.col("text")
     path = F.when(F.lit(False), "")
     for k, template in PATHS.items():
@@ -126,13 +135,15 @@ def document_files(docs: DataFrame) -> DataFrame:
         )
     )
     project, _ = project_of(F.col("source"), doc)
-    return docs.select("source", "doc_id", "text", kind_of(doc).alias("kind")).select(
+    kinds = ["source", "doc_id", "text", kind_of(doc).alias("kind")]
+    columns = [
         project.alias("project_id"),
         F.translate(path, "\\", "/").alias("path"),
         content.alias("content"),
         "doc_id",
         "text",
-    )
+    ]
+    return kinds, columns
 
 
 def _root_file(path: str, when: Column, content: Column) -> Column:
@@ -175,10 +186,14 @@ def manifest_text(s: Column) -> Column:
 
 def root_files(docs: DataFrame) -> DataFrame:
     """The root files of every project."""
+    keys, files = _root_columns()
+    return docs.select(*keys).distinct().select(*files)
+
+
+@once
+def _root_columns() -> tuple[list, list]:
     s = F.col("s")
-    ignore = F.concat(
-        F.lit(GITIGNORE), F.when(s % 4 == 3, GITIGNORE_ENV).otherwise("")
-    )
+    ignore = F.concat(F.lit(GITIGNORE), F.when(s % 4 == 3, GITIGNORE_ENV).otherwise(""))
     files = F.concat(
         _root_file("package.json", F.lit(True), manifest_text(s)),
         _root_file("tsconfig.json", s % 3 == 0, F.lit("{}")),
@@ -190,8 +205,7 @@ def root_files(docs: DataFrame) -> DataFrame:
         _root_file("yarn.lock", s % 7 == 1, F.lit("lock")),
     )
     project, number = project_of(F.col("source"), F.col("doc_id"))
-    projects = docs.select(project.alias("project_id"), number.alias("s")).distinct()
-    return projects.select("project_id", F.inline(files))
+    return [project.alias("project_id"), number.alias("s")], ["project_id", F.inline(files)]
 
 
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
