@@ -42,8 +42,8 @@ def clip(col: Column, n: int = 100) -> Column:
 
 
 def first_match(col: Column, pattern: str) -> Column:
-    """The leftmost match, or null."""
-    return F.nullif(F.regexp_extract(col, pattern, 0), F.lit(""))
+    """The leftmost match, or an empty text."""
+    return F.regexp_extract(col, pattern, 0)
 
 
 def count_word(content: Column, word: str) -> Column:

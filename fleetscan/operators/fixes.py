@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetscan import values as V
 from fleetscan.functions.text import split_lines, strip
-from fleetscan.plans.sizing import broadcast_if_small
+from fleetscan.plans.sizing import broadcast_if_small, small_side
 
 RESULT_COLUMNS = [
     "project_id", "finding_id", "success", "files_modified", "files_created", "message", "error",
@@ -80,7 +80,7 @@ def _console_log_contents(findings: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.collect_set("line").alias("targets"))
     )
     joined = files.select("project_id", "path", "content").join(
-        broadcast_if_small(targets, weigh=F.size("targets")), ["project_id", "path"]
+        small_side(targets, weigh=F.size("targets")), ["project_id", "path"]
     )
     fixed = F.transform(
         split_lines(F.col("content")),

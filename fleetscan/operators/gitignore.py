@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscan.plans.reuse import once
+from fleetscan.plans.sizing import stored
 
 BROADCAST_RULES = 200_000
 BROADCAST_CHARS = 16_000_000
@@ -129,10 +130,11 @@ def _matches(rule: Column, place: Column, is_dir: Column) -> Column:
 def with_ignored(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -> DataFrame:
     """``files`` with a boolean ``ignored``.
 
-    A project's rules travel as one array. Their table is broadcast when it measures small,
-    so contents stay where they were read; otherwise the join is left to the optimizer,
-    which splits skewed projects.
+    A project's rules travel as one array. Their table is stored, and broadcast when it
+    measures small, so contents stay where they were read; otherwise the join is left to the
+    optimizer, which splits skewed projects.
     """
+    rules = stored(rules)
     size = rules.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.length("arg")), F.lit(0)).alias("chars")
     ).first()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscan.functions import paths as P
-from fleetscan.functions.text import any_of, count_word, line_count, split_lines
+from fleetscan.functions.text import any_of, count_word, line_count, redact, split_lines, strip
 from fleetscan.plans.reuse import once
 from fleetscan.rules.model import FileRule, FileView, LineRule, LineView, Registry
 from fleetscan.values import TRIM_CHARS
@@ -37,11 +37,9 @@ def observe(
     """
     if "selected" not in files.columns:
         files = files.withColumn("selected", F.lit(True))
-    per_file, with_lines, per_line, per_hit, result = _stages(
-        tuple(registry.rules), ignore_prefix, honour_ignores
-    )
-    rows = files.select(*per_file).select(*with_lines).select(*per_line)
-    return rows.select(*per_hit).select(*result)
+    for columns in _stages(tuple(registry.rules), ignore_prefix, honour_ignores):
+        files = files.select(*columns)
+    return files
 
 
 @once
@@ -51,14 +49,28 @@ def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[lis
     line_rules = registry.numbered(LineRule)
     file_rules = registry.numbered(FileRule)
 
-    path, content, selected = F.col("path"), F.coalesce("content", F.lit("")), F.col("selected")
+    path, content, selected = F.col("path"), F.col("content"), F.col("selected")
+    classes = {
+        "is_code": P.is_code(path),
+        "is_app_code": P.is_app_code(path),
+        "is_api_route": P.is_api_route(path),
+        "is_risky_route": P.is_risky_route(path),
+        "is_admin_route": P.is_admin_route(path),
+    }
+    classified = [
+        "project_id",
+        "path",
+        "selected",
+        F.coalesce("content", F.lit("")).alias("content"),
+        *[when.alias(name) for name, when in classes.items()],
+    ]
     none = F.array().cast("array<int>")
 
     def fires(no: int, when: Column) -> Column:
         return F.when(when, F.array(F.lit(no))).otherwise(none)
 
     n_lines = line_count(content)
-    view = FileView(path, content, n_lines)
+    view = FileView(path=path, content=content, n_lines=n_lines, **{c: F.col(c) for c in classes})
     per_file = [
         "project_id",
         "path",
@@ -72,7 +84,7 @@ def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[lis
         .otherwise(F.array(F.lit(0)))
         .alias("file_hits"),
         F.when(selected, n_lines).otherwise(0).alias("n_lines"),
-        F.when(selected & P.is_code(path), count_word(content, "any"))
+        F.when(selected & F.col("is_code"), count_word(content, "any"))
         .otherwise(0)
         .cast("int")
         .alias("any_count"),
@@ -111,25 +123,35 @@ def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[lis
         F.explode(F.when(F.col("line") == 0, F.col("file_hits")).otherwise(hits)).alias("rule_no"),
     ]
 
-    n_text = F.col("n_lines").cast("string")
-    of_file = [no for no, r in file_rules if r.lines_evidence]
-    evidence = [(no, r.evidence(line_view)) for no, r in line_rules]
-    evidence += [(no, F.concat(n_text, F.lit(" lines"))) for no in of_file]
-    detail = [(no, r.detail(line_view)) for no, r in line_rules] + [(no, n_text) for no in of_file]
+    # The found text first and what is made of it after, so that each pattern runs once per
+    # hit and the generated code stays small enough to be compiled.
+    found = [
+        *[(no, r.found(line_view)) for no, r in line_rules if r.found],
+        *[(no, F.col("n_lines").cast("string")) for no, r in file_rules if r.lines_evidence],
+    ]
+    with_found = [*keep, "line", "text", "rule_no", _by_rule(found).alias("found")]
+    rule_no = F.col("rule_no")
+    masked = rule_no.isin([no for no, r in line_rules if r.shows == "masked"])
+    shown = rule_no.isin([no for no, r in line_rules if r.shows == "found"])
+    counted = rule_no.isin([no for no, r in file_rules if r.lines_evidence])
+    detail = F.when(masked, redact(F.col("found"))).otherwise(F.col("found"))
     result = [
         "project_id",
         "path",
         "selected",
         "rule_no",
         "line",
-        _by_rule(evidence).alias("evidence"),
-        _by_rule(detail).alias("detail"),
+        F.when(counted, F.concat("found", F.lit(" lines")))
+        .when(masked | shown, detail)
+        .when(rule_no > 0, strip(F.col("text")))
+        .alias("evidence"),
+        detail.alias("detail"),
         "n_lines",
         "any_count",
-        F.when(F.col("rule_no") == 0, F.col("manifest")).alias("manifest"),
+        F.when(rule_no == 0, F.col("manifest")).alias("manifest"),
         "env_listed",
     ]
-    return per_file, with_lines, per_line, per_hit, result
+    return classified, per_file, with_lines, per_line, per_hit, with_found, result
 
 
 def ignored_line(text: Column, previous: Column, prefix: str) -> Column:

@@ -12,7 +12,7 @@ from fleetscan.functions import content as C
 from fleetscan.functions import paths as P
 from fleetscan.operators.gitignore import ignore_rules, with_ignored
 from fleetscan.plans.reuse import once
-from fleetscan.plans.sizing import broadcast_if_small
+from fleetscan.plans.sizing import broadcast_if_small, small_side
 
 SALTS = 64
 
@@ -44,7 +44,7 @@ def mark_selected(
         out = out.drop("ignored")
     if max_files is None:
         return out
-    cut = broadcast_if_small(last_kept_paths(out.where("selected"), max_files))
+    cut = small_side(last_kept_paths(out.where("selected"), max_files))
     out = out.join(cut, "project_id", "left")
     within = F.col("last_path").isNull() | (path <= F.col("last_path"))
     return out.withColumn("selected", F.col("selected") & within).drop("last_path")
@@ -92,7 +92,7 @@ def last_kept_paths(files: DataFrame, max_files: int) -> DataFrame:
 
 def cap_files(files: DataFrame, max_files: int = V.DEFAULT_MAX_FILES) -> DataFrame:
     """The first ``max_files`` files of each project in path order."""
-    cut = broadcast_if_small(last_kept_paths(files, max_files))
+    cut = small_side(last_kept_paths(files, max_files))
     out = files.join(cut, "project_id", "left")
     kept = F.col("last_path").isNull() | (F.col("path") <= F.col("last_path"))
     return out.where(kept).drop("last_path")

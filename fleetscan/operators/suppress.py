@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetscan.functions.text import split_lines
 from fleetscan.operators.observe import DEFAULT_IGNORE_PREFIX
-from fleetscan.plans.sizing import broadcast_if_small
+from fleetscan.plans.sizing import small_side
 
 
 def ignore_comments(files: DataFrame, prefix: str = DEFAULT_IGNORE_PREFIX) -> DataFrame:
@@ -34,8 +34,11 @@ def ignore_comments(files: DataFrame, prefix: str = DEFAULT_IGNORE_PREFIX) -> Da
 def inline_ignores(
     findings: DataFrame, files: DataFrame, prefix: str = DEFAULT_IGNORE_PREFIX
 ) -> DataFrame:
-    """Drop findings muted by a comment. Only findings with both a file and a line can be."""
-    comments = broadcast_if_small(ignore_comments(files, prefix), weigh=F.size("muted_lines"))
+    """Drop findings muted by a comment. Only findings with both a file and a line can be.
+
+    The contents are read once, for the table of comments, which is stored.
+    """
+    comments = small_side(ignore_comments(files, prefix), weigh=F.size("muted_lines"))
     muted = F.col("whole_file") | F.array_contains("muted_lines", F.col("line"))
     located = F.col("file").isNotNull() & F.col("line").isNotNull()
     joined = findings.join(comments, ["project_id", "file"], "left")

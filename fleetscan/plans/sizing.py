@@ -29,6 +29,14 @@ def broadcast_if_small(
     return F.broadcast(df) if small(df, rows, weigh) else df
 
 
+def small_side(
+    df: DataFrame, rows: int = BROADCAST_ROWS, weigh: Column | None = None
+) -> DataFrame:
+    """The small side of a join, when computing it is costly: stored once, measured on the
+    stored table, and hinted for broadcast if it is as small as expected."""
+    return broadcast_if_small(stored(df), rows, weigh)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a scan that arrives in fewer pieces than there are cores.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscan import values as V
 from fleetscan.functions import content as C
 from fleetscan.functions import paths as P
-from fleetscan.functions.text import contains_any, first_match, redact, strip
+from fleetscan.functions.text import contains_any, first_match, strip
 from fleetscan.rules import secrets as S
 from fleetscan.rules.model import (
     PROJECT_HIT,
@@ -49,8 +49,8 @@ def _secret_rule(name, ord_, severity, blocking, confidence, what, may_match, pa
         prompt=f"Replace the hard-coded {what.lower()} by a value read from the environment.",
         file_when=lambda f: _may_hold_secrets(f) & may_match(f.content),
         line_when=lambda l: may_match(l.text) & l.text.rlike(pattern),
-        evidence=lambda l: redact(secret(l)),
-        detail=lambda l: redact(secret(l)),
+        found=secret,
+        shows="masked",
     )
 
 
@@ -107,7 +107,7 @@ ADMIN_KEY_IN_CLIENT = LineRule(
         "Use the public key in the browser.",
         "Move administrative calls to a server route and call that route.",
     ),
-    file_when=lambda f: P.is_code(f.path)
+    file_when=lambda f: f.is_code
     & contains_any(f.content, V.ADMIN_KEY_MARKERS)
     & C.is_client(f.path, f.content),
     line_when=lambda l: contains_any(l.text, V.ADMIN_KEY_MARKERS),
@@ -130,12 +130,12 @@ PUBLIC_SECRET = LineRule(
         "Rename the variable without the public prefix, in code and environment.",
         "Use it on the server only.",
     ),
-    file_when=lambda f: P.is_code(f.path)
+    file_when=lambda f: f.is_code
     & f.content.rlike("(?i)NEXT_PUBLIC_")
     & C.is_client(f.path, f.content),
     line_when=lambda l: l.text.rlike(V.PUBLIC_SECRET_PATTERN),
-    evidence=lambda l: first_match(l.text, V.PUBLIC_SECRET_PATTERN),
-    detail=lambda l: first_match(l.text, V.PUBLIC_SECRET_PATTERN),
+    found=lambda l: first_match(l.text, V.PUBLIC_SECRET_PATTERN),
+    shows="found",
 )
 
 # --- routes ------------------------------------------------------------------------------
@@ -160,13 +160,13 @@ def _missing_auth(severity, blocking, when):
             "Answer 401 when there is none.",
         ),
         prompt="Add a session check at the start of this route handler and answer 401 without one.",
-        when=lambda f: P.is_api_route(f.path) & when(f) & ~C.has_auth(f.content),
+        when=lambda f: f.is_api_route & when(f) & ~C.has_auth(f.content),
     )
 
 
-MISSING_AUTH_SENSITIVE = _missing_auth("critical", True, lambda f: P.is_risky_route(f.path))
+MISSING_AUTH_SENSITIVE = _missing_auth("critical", True, lambda f: f.is_risky_route)
 MISSING_AUTH_MUTATING = _missing_auth(
-    "high", False, lambda f: ~P.is_risky_route(f.path) & C.has_mutating_handler(f.content)
+    "high", False, lambda f: ~f.is_risky_route & C.has_mutating_handler(f.content)
 )
 
 MISSING_VALIDATION = FileRule(
@@ -187,7 +187,7 @@ MISSING_VALIDATION = FileRule(
         "Parse the body with it before using any field.",
     ),
     prompt="Declare a schema for the body of this route and parse the body with it first.",
-    when=lambda f: P.is_api_route(f.path) & C.reads_body(f.content) & ~C.has_validation(f.content),
+    when=lambda f: f.is_api_route & C.reads_body(f.content) & ~C.has_validation(f.content),
 )
 
 MISSING_ROLE_CHECK = FileRule(
@@ -205,8 +205,8 @@ MISSING_ROLE_CHECK = FileRule(
     why="Every signed-in account can use it, not only administrators.",
     steps=("Check the caller's role after the session check.", "Answer 403 when it is missing."),
     prompt="Add a role check after the session check of this admin route; answer 403 without it.",
-    when=lambda f: P.is_api_route(f.path)
-    & P.is_admin_route(f.path)
+    when=lambda f: f.is_api_route
+    & f.is_admin_route
     & C.has_auth(f.content)
     & ~C.has_authorization(f.content),
 )
@@ -290,7 +290,7 @@ HUGE_FILE = FileRule(
     why="Long files mix concerns and are hard to review.",
     steps=("Split it by concern.", "Move shared helpers to a module of their own."),
     prompt="Split this file into smaller modules, each with one concern.",
-    when=lambda f: P.is_code(f.path) & (f.n_lines > V.MAX_FILE_LINES),
+    when=lambda f: f.is_code & (f.n_lines > V.MAX_FILE_LINES),
     lines_evidence=True,
 )
 
@@ -309,7 +309,7 @@ EMPTY_CATCH = LineRule(
     why="The program goes on as if nothing had happened, and nobody learns of the failure.",
     steps=("Report or handle the error.", "If it may be ignored, say why in a comment."),
     prompt="Handle or report the error caught in this empty catch block.",
-    file_when=lambda f: P.is_code(f.path) & f.content.contains("catch"),
+    file_when=lambda f: f.is_code & f.content.contains("catch"),
     line_when=lambda l: l.text.contains("catch")
     & (l.text.contains("{}") | F.coalesce(strip(l.following) == "}", F.lit(False))),
 )
@@ -329,7 +329,7 @@ CONSOLE_LOG = LineRule(
     why="It fills the console in production and may print data that should stay private.",
     steps=("Remove the call.",),
     auto_fix=True,
-    file_when=lambda f: P.is_code(f.path) & f.content.contains("console.log("),
+    file_when=lambda f: f.is_code & f.content.contains("console.log("),
     line_when=lambda l: l.text.contains("console.log("),
 )
 
@@ -374,11 +374,11 @@ LOCAL_HOST = LineRule(
         "Name the variable in the example environment file.",
     ),
     prompt="Replace this local address by a value from configuration, one per environment.",
-    file_when=lambda f: P.is_app_code(f.path)
+    file_when=lambda f: f.is_app_code
     & contains_any(F.lower(f.content), V.LOCAL_HOST_HINTS),
     line_when=lambda l: contains_any(F.lower(l.text), V.LOCAL_HOST_HINTS)
     & l.text.rlike(V.LOCAL_HOST_PATTERN),
-    detail=lambda l: first_match(l.text, V.LOCAL_HOST_PATTERN),
+    found=lambda l: first_match(l.text, V.LOCAL_HOST_PATTERN),
 )
 
 # --- project structure ---------------------------------------------------------------------------

@@ -12,18 +12,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscan.functions.text import strip
-
 PROJECT_HIT = "struct<file:string,evidence:string,detail:string,ordinal:int>"
 
 
 class FileView:
-    """What a rule sees of a file."""
+    """What a rule sees of a file. The path's classes are computed once for all rules."""
+
+    path: Column
+    content: Column
+    n_lines: Column
+    is_code: Column
+    is_app_code: Column
+    is_api_route: Column
+    is_risky_route: Column
+    is_admin_route: Column
 
-    def __init__(self, path: Column, content: Column, lines: Column):
-        self.path = path
-        self.content = content
-        self.n_lines = lines
+    def __init__(self, **columns: Column):
+        self.__dict__.update(columns)
 
 
 class LineView:
@@ -56,23 +61,20 @@ class Rule:
     tail: int = 0
 
 
-def _trimmed(line: LineView) -> Column:
-    return strip(line.text)
-
-
-def _nothing(_view) -> Column:
-    return F.lit(None).cast("string")
-
-
 @dataclass(frozen=True)
 class LineRule(Rule):
     """Fires on lines. ``file_when`` must hold for every file with a hit; it decides
-    which files are cut into lines at all, so keep it cheap and narrow."""
+    which files are cut into lines at all, so keep it cheap and narrow.
+
+    ``found`` gives the text the rule is about, for the catalogue's ``{detail}``. ``shows``
+    says what becomes the evidence: the trimmed ``line``, the ``found`` text, or that text
+    ``masked``; a masked text is masked in the detail as well.
+    """
 
     file_when: Callable[[FileView], Column] = field(kw_only=True)
     line_when: Callable[[LineView], Column] = field(kw_only=True)
-    evidence: Callable[[LineView], Column] = field(default=_trimmed, kw_only=True)
-    detail: Callable[[LineView], Column] = field(default=_nothing, kw_only=True)
+    found: Callable[[LineView], Column] | None = field(default=None, kw_only=True)
+    shows: str = field(default="line", kw_only=True)
 
 
 @dataclass(frozen=True)

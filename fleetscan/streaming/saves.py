@@ -8,7 +8,7 @@ replaces its own partition, so a retried batch changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,10 +49,6 @@ def debounce(saves: DataFrame, gap: str = V.DEBOUNCE) -> DataFrame:
     )
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int")
-
-
 class IncrementalScan:
     """Scan state in a folder.
 
@@ -67,11 +63,21 @@ class IncrementalScan:
         path: str,
         registry: Registry | None = None,
         ignore_prefix: str = DEFAULT_IGNORE_PREFIX,
+        buckets: int = BUCKETS,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.registry = registry or default_registry()
         self.ignore_prefix = ignore_prefix
+        self.buckets = buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("project_id"), F.lit(self.buckets)).cast("int")
+
+    def _write_observations(self, rows: DataFrame, batch: int) -> None:
+        # Rebalancing by bucket gives few files per bucket and splits the bucket of a huge project.
+        rows = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        self._write(rows, "observations", batch, "bucket")
 
     def _write(self, rows: DataFrame, table: str, batch: int, *by: str) -> None:
         writer = rows.write.mode("overwrite")
@@ -84,10 +90,9 @@ class IncrementalScan:
 
     def seed(self, observations: DataFrame) -> None:
         """Start from a full scan's observations."""
-        rows = observations.withColumn("bucket", _bucket()).repartition("bucket", "path")
-        self._write(rows, "observations", SEED, "bucket")
-        rows = self._summaries(observations)
-        self._write(rows, "projects", SEED)
+        self._write_observations(observations, SEED)
+        written = self._read("observations").where(F.col("batch") == SEED)
+        self._write(self._summaries(written), "projects", SEED)
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         """Rows of the last scan of each file; every scan of a file left one file row."""
@@ -99,8 +104,9 @@ class IncrementalScan:
         """Current observations, of some projects or of all."""
         rows = self._read("observations")
         if projects is not None:
-            # At most BUCKETS numbers come to the driver; they prune the partitions read.
-            buckets = [r.b for r in projects.select(_bucket().alias("b")).distinct().collect()]
+            # At most ``buckets`` numbers come to the driver; they prune the partitions read.
+            found = projects.select(self._bucket().alias("b")).distinct().collect()
+            buckets = [r.b for r in found]
             rows = rows.where(F.col("bucket").isin(buckets))
             rows = rows.join(broadcast_if_small(projects), "project_id", "left_semi")
         return self._latest(rows).drop("batch", "bucket")
@@ -138,7 +144,7 @@ class IncrementalScan:
                 F.max_by("content", "saved_at").alias("content")
             )
         rows = observe(saved, self.registry, self.ignore_prefix)
-        self._write(rows.withColumn("bucket", _bucket()), "observations", batch, "bucket")
+        self._write_observations(rows, batch)
         written = self._read("observations").where(F.col("batch") == batch)
         touched = written.select("project_id").distinct()
         if touched.isEmpty():
@@ -161,6 +167,8 @@ class IncrementalScan:
 
     def compact(self, path: str) -> IncrementalScan:
         """The current state as the seed of a new folder, to be continued there."""
-        fresh = IncrementalScan(self.spark, path, self.registry, self.ignore_prefix)
+        fresh = IncrementalScan(
+            self.spark, path, self.registry, self.ignore_prefix, self.buckets
+        )
         fresh.seed(self.observations())
         return fresh

@@ -70,7 +70,7 @@ DEPENDENCY_COUNT = 85
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def kind_of(doc_id: Column) -> Column:
@@ -97,7 +97,7 @@ def _fill(template: str, value: Column) -> Column:
 def document_files(docs: DataFrame) -> DataFrame:
     """One file per document; ``doc_id`` and ``text`` come along for queries on later versions."""
     kinds, columns = _document_columns()
-    return docs.select(*kinds).select(*columns)
+    return spread(docs).select(*kinds).select(*columns)
 
 
 @once

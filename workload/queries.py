@@ -53,10 +53,10 @@ def scan_findings(
     sf_dir: str,
     registry: Registry | None = None,
     honour_ignores: bool = True,
-    keep: bool = False,
+    keep: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings and project facts. ``keep`` stores the observations, for results that are
-    used more than once."""
+    """Findings and project facts. ``keep`` stores the observations, so that contents are
+    read once although findings and facts both come from them."""
     registry = registry or default_registry()
     rows = observe(marked(spark, sf_dir), registry, honour_ignores=honour_ignores)
     if keep:
@@ -348,7 +348,7 @@ def fixable(spark, sf_dir):
 
 
 def fix_console_log(spark, sf_dir):
-    rows = file_findings(spark, sf_dir, "code_quality/console-log")
+    rows = stored(file_findings(spark, sf_dir, "code_quality/console-log"))
     fixed = fixes.fixed_files(rows, listing(spark, sf_dir))
     return _digest(fixed, "new_content")
 
@@ -481,8 +481,8 @@ def stream_debounce(spark, sf_dir):
 
 def stream_scores(spark, sf_dir):
     """Scores after a full scan and a stream of saves on top."""
-    state = IncrementalScan(spark, fresh_path(spark, "state"))
-    state.seed(stored(observe(marked(spark, sf_dir), state.registry)))
+    state = IncrementalScan(spark, fresh_path(spark, "state"), buckets=16)
+    state.seed(observe(marked(spark, sf_dir), state.registry))
     query = state.start(
         event_stream(spark, sf_dir), fresh_path(spark, "stream"), availableNow=True
     )
