@@ -55,9 +55,17 @@ def _truthy(entries: Column, key: str) -> Column:
     return F.coalesce(F.try_element_at(entries, F.lit(key)), F.lit("")) != ""
 
 
+def parse_json(text: Column, schema: str) -> Column:
+    """A JSON text as strict parsers take it, or null. Read as the only element of an array,
+    so that anything after the value makes the text malformed."""
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    values = F.from_json(wrapped, f"array<{schema}>", STRICT_JSON)
+    return F.when(F.size(values) == 1, F.get(values, 0))
+
+
 def manifest_error(text: Column, parsed: Column) -> Column:
     """Why the dependency checks cannot run on a well-formed manifest, or null."""
-    scripts = F.get_json_object(text, "$.scripts")
+    scripts = F.try_element_at(parse_json(text, "map<string,string>"), F.lit("scripts"))
     scalar = scripts.isNotNull() & parsed["scripts"].isNull() & ~scripts.startswith("[")
     return F.when(F.trim(text) == "null", "the manifest is null").when(
         scalar, "the manifest's scripts are not an object"
@@ -101,8 +109,8 @@ def _fact_columns(rules: tuple) -> tuple:
         *_hit_counts(rules),
     ]
     parsed = {
-        "pkg": F.from_json("root_manifest", MANIFEST, STRICT_JSON),
-        "first_pkg": F.from_json("first_manifest.manifest", MANIFEST, STRICT_JSON),
+        "pkg": parse_json(F.col("root_manifest"), MANIFEST),
+        "first_pkg": parse_json(F.col("first_manifest.manifest"), MANIFEST),
     }
     error = manifest_error(F.col("first_manifest.manifest"), F.col("first_pkg"))
     maps = {
