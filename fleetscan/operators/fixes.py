@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetscan import values as V
 from fleetscan.functions.text import split_lines, strip
-from fleetscan.plans.sizing import broadcast_if_small, small_side
+from fleetscan.plans.sizing import broadcast_if_small, small_side, stored
 
 RESULT_COLUMNS = [
     "project_id", "finding_id", "success", "files_modified", "files_created", "message", "error",
@@ -58,6 +58,9 @@ class FixRegistry:
         return list(self._fixers.values())
 
 
+BLOCK = 128
+
+
 # --- console.log --------------------------------------------------------------------
 
 
@@ -72,30 +75,64 @@ def _with_files(findings: DataFrame, files: DataFrame, path: Column) -> DataFram
     return rows.join(texts, ["project_id", "at"], "left")
 
 
-def _console_log_contents(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """All findings of a file take effect at once; line numbers do not change."""
-    targets = (
-        findings.where("file is not null and line is not null")
-        .groupBy("project_id", F.col("file").alias("path"))
-        .agg(F.collect_set("line").alias("targets"))
+def _targets(findings: DataFrame) -> DataFrame:
+    """``project_id, path, targets``: the lines to change in each file. They are kept by blocks
+    of ``BLOCK`` lines, so that asking for a line looks at one block only."""
+    located = findings.where("file is not null and line is not null")
+    block = F.floor(F.col("line") / BLOCK).cast("int").alias("block")
+    blocks = located.groupBy("project_id", F.col("file").alias("path"), block).agg(
+        F.collect_set("line").alias("in_block")
     )
-    joined = files.select("project_id", "path", "content").join(
-        small_side(targets, weigh=F.size("targets")), ["project_id", "path"]
+    none = F.array().cast("array<int>")
+    by_block = F.map_from_entries(F.collect_list(F.struct("block", "in_block")))
+    files = blocks.groupBy("project_id", "path").agg(
+        by_block.alias("by_block"), F.max("block").alias("last"), F.sum(F.size("in_block")).alias("n")
     )
+    dense = F.transform(
+        F.sequence(F.lit(0), F.col("last")),
+        lambda b: F.coalesce(F.try_element_at("by_block", b), none),
+    )
+    return files.select("project_id", "path", dense.alias("targets"), "n")
+
+
+def _is_target(line: Column) -> Column:
+    block = F.get("targets", F.floor(line / BLOCK).cast("int"))
+    return F.coalesce(F.array_contains(block, line), F.lit(False))
+
+
+def _with_targets(findings: DataFrame, files: DataFrame) -> DataFrame:
+    targets = small_side(_targets(findings), weigh=F.col("n"))
+    return files.select("project_id", "path", "content").join(targets, ["project_id", "path"])
+
+
+def _console_log_contents(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """All findings of a file take effect at once; line numbers do not change."""
     fixed = F.transform(
         split_lines(F.col("content")),
-        lambda text, i: F.when(
-            F.array_contains("targets", i + 1), comment_calls(text)
-        ).otherwise(text),
+        lambda text, i: F.when(_is_target(i + 1), comment_calls(text)).otherwise(text),
     )
-    return joined.select("project_id", "path", F.array_join(fixed, "\n").alias("new_content"))
+    rows = _with_targets(findings, files)
+    return rows.select("project_id", "path", F.array_join(fixed, "\n").alias("new_content"))
 
 
 def _console_log_rows(findings: DataFrame, files: DataFrame) -> DataFrame:
-    rows = _with_files(findings, files, F.col("file"))
-    line = F.get(split_lines(F.col("content")), F.col("line") - 1)
+    """Findings with the line they are about. Each file is cut into lines once, whatever the
+    number of its findings; line 0 says that the file is there."""
+    lines = F.concat(F.array(F.lit(None).cast("string")), split_lines(F.col("content")))
+    places = _with_targets(findings, files).select(
+        "project_id",
+        F.col("path").alias("file"),
+        "targets",
+        F.posexplode_outer(lines).alias("line", "old"),
+    )
+    places = stored(
+        places.where((F.col("line") == 0) | _is_target(F.col("line"))).drop("targets")
+    )
+    present = places.where("line = 0").select("project_id", "file", F.lit(True).alias("present"))
+    rows = findings.join(places.where("line > 0"), ["project_id", "file", "line"], "left")
+    rows = rows.join(present, ["project_id", "file"], "left")
     located = F.col("file").isNotNull() & F.col("line").isNotNull()
-    return rows.withColumns({"old": line, "located": located})
+    return rows.withColumn("located", located)
 
 
 def _console_log_preview(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -103,7 +140,7 @@ def _console_log_preview(findings: DataFrame, files: DataFrame) -> DataFrame:
     found = F.col("old").isNotNull()
     description = (
         F.when(~F.col("located"), "The finding has no file or line.")
-        .when(F.col("content").isNull(), "The file cannot be read.")
+        .when(F.col("present").isNull(), "The file cannot be read.")
         .when(~found, "There is no such line.")
         .otherwise(F.format_string("Comment out console.log on line %d of %s", "line", "file"))
     )
@@ -118,11 +155,11 @@ def _console_log_result(findings: DataFrame, files: DataFrame) -> DataFrame:
     found = F.col("old").isNotNull()
     message = (
         F.when(~F.col("located"), "The finding has no place.")
-        .when(F.col("content").isNull(), "The fix could not be applied.")
+        .when(F.col("present").isNull(), "The fix could not be applied.")
         .when(~found, "There is no such line.")
         .otherwise(F.format_string("Commented out console.log on line %d.", "line"))
     )
-    error = F.when(F.col("located") & F.col("content").isNull(), "The file cannot be read.")
+    error = F.when(F.col("located") & F.col("present").isNull(), "The file cannot be read.")
     return _result(rows, found, F.when(found, F.array("file")), None, message, error)
 
 

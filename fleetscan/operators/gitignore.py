@@ -8,7 +8,7 @@ directory can be taken back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscan.plans.reuse import once
@@ -17,6 +17,9 @@ from fleetscan.plans.sizing import stored
 BROADCAST_RULES = 200_000
 BROADCAST_CHARS = 16_000_000
 
+RULE = ["negated", "dir_only", "kind", "arg"]
+RULES_TYPE = "array<struct<negated:boolean,dir_only:boolean,kind:string,arg:string>>"
+
 # Stand-ins while a pattern is rewritten; private-use characters, so never part of a path.
 _STAR, _QUERY, _BRACKET = "", "", ""
 _ANY_DIRS, _INNER_DIRS, _BELOW = "", "", ""
@@ -92,21 +95,25 @@ def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
     )
 
 
-def ignore_rules(files: DataFrame, exclude_patterns=(), ignore_case: bool = True) -> DataFrame:
-    """Rules of every project: its root ``.gitignore``, then the caller's patterns."""
+def ignore_rules(files: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """Rules of every project's root ``.gitignore``."""
     text = files.where(F.col("path") == ".gitignore").select("project_id", "content")
     lines = text.select(
         "project_id", F.posexplode(F.split("content", "\n", -1)).alias("seq", "pattern")
     )
-    if exclude_patterns:
-        first = 1 << 30  # after any line of a file
-        extra = F.array(*[F.lit(p) for p in exclude_patterns])
-        projects = files.select("project_id").distinct()
-        added = projects.select("project_id", F.posexplode(extra).alias("seq", "pattern"))
-        lines = lines.unionByName(added.withColumn("seq", F.col("seq") + first))
     return parse_rules(lines, ignore_case)
 
 
+def _shared_rules(spark: SparkSession, patterns, ignore_case: bool) -> Column:
+    """The caller's patterns (F4) as a literal array of rules, the same for every project."""
+    lines = spark.createDataFrame(
+        [("", i, p) for i, p in enumerate(patterns)], "project_id string, seq int, pattern string"
+    )
+    rules = parse_rules(lines, ignore_case).select(*RULE).collect()
+    literals = [F.struct(*[F.lit(r[c]).alias(c) for c in RULE]) for r in rules]
+    return F.array(*literals).cast(RULES_TYPE)
+
+
 def ancestors(path: Column) -> Column:
     """The path and all its parent directories, outermost first."""
     parts = F.split(path, "/")
@@ -127,8 +134,10 @@ def _matches(rule: Column, place: Column, is_dir: Column) -> Column:
     return hit & (is_dir | ~rule.dir_only)
 
 
-def with_ignored(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """``files`` with a boolean ``ignored``.
+def with_ignored(
+    files: DataFrame, rules: DataFrame, ignore_case: bool = True, exclude_patterns=()
+) -> DataFrame:
+    """``files`` with a boolean ``ignored``: the project's own rules, then the caller's.
 
     A project's rules travel as one array. Their table is stored, and broadcast when it
     measures small, so contents stay where they were read; otherwise the join is left to the
@@ -138,17 +147,24 @@ def with_ignored(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -
     size = rules.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.length("arg")), F.lit(0)).alias("chars")
     ).first()
-    if size.n == 0:
+    shared = F.lit(None).cast(RULES_TYPE)
+    if exclude_patterns:
+        shared = _shared_rules(files.sparkSession, exclude_patterns, ignore_case)
+    elif size.n == 0:
         return files.withColumn("ignored", F.lit(False))
-    per_project = rules.groupBy("project_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("seq", "negated", "dir_only", "kind", "arg"))
-        ).alias("rules")
-    )
-    if size.n <= BROADCAST_RULES and size.chars <= BROADCAST_CHARS:
-        per_project = F.broadcast(per_project)
-    ignored = {"ignored": _ignored(ignore_case)}
-    return files.join(per_project, "project_id", "left").withColumns(ignored).drop("rules")
+    if size.n == 0:
+        out = files.withColumn("rules", shared)
+    else:
+        in_order = F.sort_array(F.collect_list(F.struct("seq", *RULE)))
+        own = F.transform(in_order, lambda r: F.struct(*[r[c].alias(c) for c in RULE]))
+        per_project = rules.groupBy("project_id").agg(own.cast(RULES_TYPE).alias("rules"))
+        if size.n <= BROADCAST_RULES and size.chars <= BROADCAST_CHARS:
+            per_project = F.broadcast(per_project)
+        out = files.join(per_project, "project_id", "left")
+        if exclude_patterns:
+            own = F.coalesce("rules", F.array().cast(RULES_TYPE))
+            out = out.withColumn("rules", F.concat(own, shared))
+    return out.withColumns({"ignored": _ignored(ignore_case)}).drop("rules")
 
 
 @once

@@ -38,8 +38,8 @@ def mark_selected(
         out = files.join(wanted.withColumn("selected", F.lit(True)), ["project_id", "path"], "left")
         out = out.withColumn("selected", F.coalesce("selected", F.lit(False)))
     else:
-        rules = ignore_rules(files, exclude_patterns, ignore_case)
-        out = with_ignored(files, rules, ignore_case)
+        rules = ignore_rules(files, ignore_case)
+        out = with_ignored(files, rules, ignore_case, exclude_patterns)
         out = out.withColumn("selected", selectable(ignore_case) & ~F.col("ignored"))
         out = out.drop("ignored")
     if max_files is None:
