@@ -17,8 +17,10 @@ from fleetscan.plans.sizing import stored
 BROADCAST_RULES = 200_000
 BROADCAST_CHARS = 16_000_000
 
-RULE = ["negated", "dir_only", "kind", "arg"]
-RULES_TYPE = "array<struct<negated:boolean,dir_only:boolean,kind:string,arg:string>>"
+RULE = ["negated", "dir_only", "kind", "arg", "regex"]
+RULES_TYPE = (
+    "array<struct<negated:boolean,dir_only:boolean,kind:string,arg:string,regex:string>>"
+)
 
 # Stand-ins while a pattern is rewritten; private-use characters, so never part of a path.
 _STAR, _QUERY, _BRACKET = "", "", ""
@@ -50,7 +52,7 @@ def _glob_regex() -> Column:
     out = F.col("p")
     for pattern, replacement in steps:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.concat(F.when(F.col("anchored"), "^").otherwise("^(?:.*/)?"), out, F.lit(r"\z"))
+    return F.concat(F.when(F.col("anchored"), "").otherwise("(?:.*/)?"), out)
 
 
 def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
@@ -82,6 +84,11 @@ def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
         .otherwise("name")
     )
     rows = rows.withColumn("kind", kind)
+    plain = F.concat(F.lit(r"\Q"), F.col("p"), F.lit(r"\E"))
+    regex = F.when(F.col("kind") == "path", plain).when(
+        F.col("kind") == "name", F.concat(F.lit("(?:.*/)?"), plain)
+    )
+    rows = rows.withColumn("regex", regex.otherwise(_glob_regex()))
     return rows.select(
         "project_id",
         "seq",
@@ -89,9 +96,10 @@ def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
         "dir_only",
         "kind",
         F.when(F.col("kind") == "suffix", F.substr("p", F.lit(2)))
-        .when(F.col("kind") == "glob", _glob_regex())
+        .when(F.col("kind") == "glob", F.concat(F.lit("^"), "regex", F.lit(r"\z")))
         .otherwise(F.col("p"))
         .alias("arg"),
+        "regex",
     )
 
 
@@ -110,6 +118,8 @@ def _shared_rules(spark: SparkSession, patterns, ignore_case: bool) -> Column:
         [("", i, p) for i, p in enumerate(patterns)], "project_id string, seq int, pattern string"
     )
     rules = parse_rules(lines, ignore_case).select(*RULE).collect()
+    if not rules:
+        return F.array().cast(RULES_TYPE)
     literals = [F.struct(*[F.lit(r[c]).alias(c) for c in RULE]) for r in rules]
     return F.array(*literals).cast(RULES_TYPE)
 
@@ -153,18 +163,32 @@ def with_ignored(
     elif size.n == 0:
         return files.withColumn("ignored", F.lit(False))
     if size.n == 0:
-        out = files.withColumn("rules", shared)
+        out = files.withColumns({"rules": shared, "maybe": _any_of(shared)})
     else:
         in_order = F.sort_array(F.collect_list(F.struct("seq", *RULE)))
         own = F.transform(in_order, lambda r: F.struct(*[r[c].alias(c) for c in RULE]))
         per_project = rules.groupBy("project_id").agg(own.cast(RULES_TYPE).alias("rules"))
+        if exclude_patterns:
+            per_project = per_project.withColumn("rules", F.concat("rules", shared))
+        per_project = per_project.withColumn("maybe", _any_of(F.col("rules")))
         if size.n <= BROADCAST_RULES and size.chars <= BROADCAST_CHARS:
             per_project = F.broadcast(per_project)
         out = files.join(per_project, "project_id", "left")
         if exclude_patterns:
-            own = F.coalesce("rules", F.array().cast(RULES_TYPE))
-            out = out.withColumn("rules", F.concat(own, shared))
-    return out.withColumns({"ignored": _ignored(ignore_case)}).drop("rules")
+            out = out.withColumns(
+                {
+                    "rules": F.coalesce("rules", shared),
+                    "maybe": F.coalesce("maybe", _any_of(shared)),
+                }
+            )
+    return out.withColumns({"ignored": _ignored(ignore_case)}).drop("rules", "maybe")
+
+
+def _any_of(rules: Column) -> Column:
+    """One expression that matches every path some rule may ignore, and few others."""
+    positive = F.filter(rules, lambda r: ~r.negated)
+    joined = F.array_join(F.transform(positive, lambda r: r.regex), "|")
+    return F.concat(F.lit("^(?:"), joined, F.lit(r")(?:/|\z)"))
 
 
 @once
@@ -181,7 +205,10 @@ def _ignored(ignore_case: bool) -> Column:
             ).otherwise(state),
         )
 
-    return F.when(F.col("rules").isNotNull(), F.exists(ancestors(path), decided)).otherwise(False)
+    # Most paths match nothing, which one expression per project tells; regexp_extract keeps
+    # the compiled expression while it stays the same from row to row.
+    maybe = F.call_function("regexp_extract", path, F.col("maybe"), F.lit(0)) != ""
+    return F.when(maybe, F.exists(ancestors(path), decided)).otherwise(False)
 
 
 def gitignore_filter(files: DataFrame, rules: DataFrame, ignore_case: bool = True) -> DataFrame:

@@ -171,8 +171,8 @@ LOCAL_HOSTS = (
 )
 LOCAL_HOST_PATTERN = rf"(?i)(?<!\w)(?:{LOCAL_HOSTS})(?!\w)"
 
-# Substrings of which every LOCAL_HOSTS match holds at least one, in lower case.
-LOCAL_HOST_HINTS = ["localhost", "127.0.0.1", "::1", "10.", "192.168.", "172."]
+# Every LOCAL_HOSTS match but the name holds at least one of these.
+LOCAL_NUMBER_HINTS = ["127.0.0.1", "::1", "10.", "192.168.", "172."]
 
 # --- Fixed values: manifests and project files --------------------------------
 
