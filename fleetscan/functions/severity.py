@@ -21,6 +21,8 @@ STATUS_MESSAGE = {
     "safe": "Only minor improvements are left.",
 }
 
+SEVERITY_LABEL = {"critical": "Critical", "high": "High", "medium": "Medium", "low": "Low"}
+
 
 def pick(col: Column, table: dict, default=None) -> Column:
     """A lookup in a small fixed table, as a CASE expression."""
@@ -102,3 +104,7 @@ def status_label(status: Column) -> Column:
 
 def status_message(status: Column) -> Column:
     return pick(status, STATUS_MESSAGE)
+
+
+def severity_label(severity: Column) -> Column:
+    return pick(severity, SEVERITY_LABEL)

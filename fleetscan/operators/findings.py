@@ -10,6 +10,7 @@ from fleetscan.functions.severity import severity_rank
 from fleetscan.functions.text import fill
 from fleetscan.operators.context import with_project_hits
 from fleetscan.plans.reuse import once
+from fleetscan.plans.sizing import broadcast_if_small
 from fleetscan.rules.model import ProjectRule, Registry
 
 FINDING_SCHEMA = (
@@ -194,6 +195,17 @@ def enabled_categories(findings: DataFrame, categories) -> DataFrame:
     return findings.where(F.col("category").isin(list(categories)))
 
 
+def enabled_by_project(findings: DataFrame, settings: DataFrame) -> DataFrame:
+    """P1 on stored findings, each project with its own setting: ``settings(project_id,
+    categories)``. A project without a row, or with null, has all categories on."""
+    limited = settings.where("categories is not null")
+    allowed = limited.select("project_id", F.explode_outer("categories").alias("category"))
+    projects = broadcast_if_small(limited.select("project_id").distinct())
+    pairs = broadcast_if_small(allowed.distinct())
+    free = findings.join(projects, "project_id", "left_anti")
+    return free.unionByName(findings.join(pairs, ["project_id", "category"], "left_semi"))
+
+
 def find_first(findings: DataFrame, name: str) -> DataFrame:
     """Per project the first finding, in output order, with this id or rule id."""
     matching = findings.where((F.col("id") == name) | (F.col("rule_id") == name))

@@ -7,7 +7,7 @@ import pytest
 from fleetscan import ScanConfig, scan
 from fleetscan import values as V
 from fleetscan.operators import diff, locate, repair, scoring
-from fleetscan.operators.findings import FINDING_SCHEMA, find_first, min_severity
+from fleetscan.operators.findings import FINDING_SCHEMA, enabled_by_project, find_first, min_severity
 from tests.test_context import APP
 
 NAMES = [c.split()[0] for c in FINDING_SCHEMA.split(", ")]
@@ -187,3 +187,15 @@ def test_fleet_cube(spark):
     df = spark.createDataFrame(rows, "deploy_status string, framework string, score int, total bigint")
     cube = {(r.deploy_status, r.framework): r.projects for r in scoring.fleet_cube(df).collect()}
     assert cube[(None, None)] == 3 and cube[("safe", None)] == 2 and cube[(None, "vite")] == 2
+
+
+def test_categories_per_project(spark):
+    rows = table(
+        spark,
+        [finding(1, p, category=c) for p in "abcd" for c in ("auth", "structure")],
+    )
+    settings = spark.createDataFrame(
+        [("a", ["auth"]), ("b", []), ("c", None)], "project_id string, categories array<string>"
+    )
+    kept = {(r.project_id, r.category) for r in enabled_by_project(rows, settings).collect()}
+    assert kept == {("a", "auth")} | {(p, c) for p in "cd" for c in ("auth", "structure")}

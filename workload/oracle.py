@@ -622,6 +622,11 @@ ORACLES = {
     "enabled_categories": found(
         f"SELECT {COLS} FROM findings WHERE category IN ('auth', 'dependency')"
     ),
+    "enabled_by_project": found(
+        f"""SELECT {COLS} FROM findings JOIN (SELECT project_id, language FROM context)
+          USING (project_id)
+        WHERE language <> 'typescript' OR category IN ('auth', 'structure')"""
+    ),
     "pruned_scan": found(
         f"""SELECT {COLS} FROM findings
         WHERE category IN ('code_quality', 'structure') AND severity <> 'low'"""

@@ -208,6 +208,16 @@ def some_categories(spark, sf_dir):
     return fnd.enabled_categories(rows, ["auth", "dependency"]).select(*FINDING)
 
 
+def categories_by_project(spark, sf_dir):
+    """Every project leaves on the categories of its language only."""
+    rows, facts = scan_findings(spark, sf_dir)
+    some = F.when(
+        F.col("language") == "typescript", F.array(F.lit("auth"), F.lit("structure"))
+    )
+    settings = facts.select("project_id", some.alias("categories"))
+    return fnd.enabled_by_project(rows, settings).select(*FINDING)
+
+
 def find_first(spark, sf_dir):
     rows = scan_findings(spark, sf_dir)[0]
     return fnd.find_first(rows, "code_quality/console-log").select("id", *FINDING)
@@ -572,6 +582,7 @@ QUERIES = {
     "inline_ignores": stored_ignores,
     "min_severity": at_least_medium,
     "enabled_categories": some_categories,
+    "enabled_by_project": categories_by_project,
     "pruned_scan": pruned_scan,
     "find_first": find_first,
     "score": project_scores,
