@@ -23,8 +23,8 @@ RULES_TYPE = (
 )
 
 # Stand-ins while a pattern is rewritten; private-use characters, so never part of a path.
-_STAR, _QUERY, _BRACKET = "", "", ""
-_ANY_DIRS, _INNER_DIRS, _BELOW = "", "", ""
+_STAR, _QUERY, _BRACKET = "\ue000", "\ue001", "\ue002"
+_ANY_DIRS, _INNER_DIRS, _BELOW = "\ue010", "\ue011", "\ue012"
 
 
 @once

@@ -44,7 +44,7 @@ SNIPPETS = {
     "  const body = schema.parse(await req.json())\n}",
     2: "export async function GET() {\n  const session = await getServerSession()\n}",
     3: "export async function GET() {\n  return list()\n}",
-    4: '"use client"\nconst key = process.env.SERVICE_ROLE_KEY\n \tconst again = service_role \r',
+    4: '"use client"\nconst key = process.env.SERVICE_ROLE_KEY\n\u00a0\tconst again = service_role \r',
     5: "const hidden = process.env.NEXT_PUBLIC_app_SECRET_key\nconst two = NEXT_PUBLIC_X",
     6: 'const base = "http://LocalHost:3000"\n  console.log(base)\t\n'
     'const lan = ["10.0.0.7", "192.168.300.1"]\nconst near = xlocalhost + "172.20.1.9"',
