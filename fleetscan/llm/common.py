@@ -81,3 +81,26 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
     )
+
+
+def summed_arrays(parts: DataFrame, dtype: str) -> DataFrame:
+    """Sums by key of rows (key string, data binary), where data is a buffer of ``dtype``. The keys
+    are dealt out and added up as they stream in, one buffer for each key in a task."""
+
+    def add(batches):
+        import numpy as np
+
+        held: dict = {}
+        for batch in batches:
+            for key, data in zip(column(batch, "key"), column(batch, "data")):
+                part = np.frombuffer(data, dtype)
+                if key in held:
+                    held[key] += part
+                else:
+                    held[key] = part.copy()
+        for key, total in held.items():
+            yield pa.RecordBatch.from_pydict({"key": [key], "data": [total.tobytes()]})
+
+    return parts.repartition(shuffle_partitions(parts.sparkSession), "key").mapInArrow(
+        add, "key string, data binary"
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import language, mixing, packing, quality, warc
 from .common import table
 
 
@@ -14,7 +14,33 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of(warc.read_archives(manifest, with_data=False)).drop("intact")
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("source")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.predicted(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
+    "op6_language": op6_language,
+    "op10_quality": op10_quality,
+}
 
 ORACLES = {
     "op1_warc": """
@@ -31,5 +57,46 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM f
+""",
+    "op3_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS mixed
+  FROM documents
+), n AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+    source_size * 3 AS cap
+  FROM n
+), c AS (
+  SELECT *, cap / weight AS ratio,
+    sum(source_size) OVER () - sum(cap) OVER o + cap AS rest_words,
+    sum(weight) OVER () - sum(weight) OVER o + weight AS rest_weight
+  FROM w WINDOW o AS (ORDER BY cap / weight, number)
+), l AS (
+  SELECT ratio AS r0, number AS n0, rest_words AS words0, rest_weight AS weight0 FROM c
+  WHERE rest_words * weight <= cap * rest_weight ORDER BY ratio, number LIMIT 1
+), t AS (
+  SELECT source, source_size,
+    CASE WHEN (ratio, number) >= (r0, n0) THEN words0::DOUBLE * weight / weight0
+      ELSE cap::DOUBLE END AS target
+  FROM c, l
+), p AS (
+  SELECT doc_id, source, size,
+    sum(size) OVER (PARTITION BY source ORDER BY mixed, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place
+  FROM d
+), q AS (
+  SELECT p.*, t.source_size, t.target, floor(target + 0.5)::BIGINT AS quota
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size + greatest(0,
+    least(place + size, quota % source_size) - place) END::BIGINT AS taken
+FROM q
 """,
 }
