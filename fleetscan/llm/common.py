@@ -83,9 +83,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def summed_arrays(parts: DataFrame, dtype: str) -> DataFrame:
-    """Sums by key of rows (key string, data binary), where data is a buffer of ``dtype``. The keys
-    are dealt out and added up as they stream in, one buffer for each key in a task."""
+def summed_arrays(parts: DataFrame, dtype: str, how: str = "sum") -> DataFrame:
+    """Sums (or bitwise ``or``) by key of rows (key string, data binary), where data is a buffer of
+    ``dtype``. Keys are dealt out and added up as they stream in, one buffer for each in a task."""
 
     def add(batches):
         import numpy as np
@@ -95,7 +95,7 @@ def summed_arrays(parts: DataFrame, dtype: str) -> DataFrame:
             for key, data in zip(column(batch, "key"), column(batch, "data")):
                 part = np.frombuffer(data, dtype)
                 if key in held:
-                    held[key] += part
+                    held[key] = held[key] | part if how == "or" else held[key] + part
                 else:
                     held[key] = part.copy()
         for key, total in held.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, warc
+from . import jaccard, language, mixing, neighbors, packing, quality, warc
 from .common import table
 
 
@@ -24,11 +24,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("source")
 
 
+def op5_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors among all embeddings."""
+    return neighbors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return language.predicted(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by their word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -38,7 +48,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op5_neighbors": op5_neighbors,
     "op6_language": op6_language,
+    "op8_jaccard": op8_jaccard,
     "op10_quality": op10_quality,
 }
 
@@ -57,6 +69,51 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM f
+""",
+    "op5_neighbors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e,
+    coalesce(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 0) AS norm,
+    coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))), 1) AS bad
+  FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND bad = 0 AND norm > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id,
+  coalesce(vec_id = component_id, false) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+""",
+    "op8_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3),
+      lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y USING (g)
+  WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(n.n, 0)::BIGINT AS n_links
+FROM sets LEFT JOIN c ON c.a = doc_id LEFT JOIN n ON n.a = doc_id
 """,
     "op3_mixing": r"""
 WITH d AS (
