@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, neighbors, packing, quality, warc
+from . import chat, jaccard, language, mixing, neighbors, packing, quality, warc
 from .common import table
 
 
@@ -39,6 +39,17 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", odd), (-1, 1, "assistant", odd)],
+        "conv_id long, turn long, role string, text string",
+    )
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(own.unionByName(extra))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,10 +62,33 @@ QUERIES = {
     "op5_neighbors": op5_neighbors,
     "op6_language": op6_language,
     "op8_jaccard": op8_jaccard,
+    "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
 
+# formatted_chars follows from the template: 20 control characters for a turn, =role or null for
+# turns other than the user's, and one escape for each control string in a text
 ORACLES = {
+    "op9_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, len(text) + len(regexp_extract_all(text,
+    '<\\*/?s>|\[\\*/?INST\]|\[\\*/?ROLE\]')) AS escaped,
+    CASE WHEN role = 'user' THEN 20 ELSE 20 + coalesce(len(role) + 1, 4) END AS frame
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), ''
+    ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text)
+    FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(escaped + frame)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op1_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
