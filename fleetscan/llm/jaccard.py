@@ -473,3 +473,12 @@ def join(docs: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("n_links"),
     )
     return out.unionByName(rest)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that stay when one document of each
+    group of :func:`join` does: that of the smallest doc_id. Rows without id all stay."""
+    kept = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
+    rows = docs.filter("doc_id is not null").select("doc_id", F.struct("*").alias("row"))
+    firsts = rows.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi").dropDuplicates(["doc_id"])
+    return firsts.select("row.*").unionByName(docs.filter("doc_id is null"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fold_of, rows_to_batches, summed_arrays
+from .common import column, fold_of, summed_arrays
 
 BUCKETS = 1 << 15
 SWITCH = 12.0
@@ -226,28 +226,24 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
-RESULT = "doc_id long, lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>"
-RESULT_ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("lang_pred", pa.string()),
-        ("score", pa.float64()),
-        (
-            "spans",
-            pa.list_(
-                pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
-            ),
-        ),
-    ]
-)
-
-
-def _label(model: Model, held: list[tuple]) -> list[tuple]:
-    """Result rows for (doc_id, words, scores) of several texts."""
-    lengths = np.array([len(w.starts) for _, w, _ in held])
-    labels = viterbi(np.concatenate([s for _, _, s in held]), lengths)
+SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
+RESULT = "lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>"
+
+
+def _label(model: Model, held: list[Words | None]) -> list[tuple]:
+    """(lang_pred, score, spans) for several texts."""
+    some = [w for w in held if w is not None]
+    if not some:
+        return [(UNKNOWN, 0.0, [])] * len(held)
+    labels = viterbi(
+        np.concatenate([model.scores(w) for w in some]), np.array([len(w.starts) for w in some])
+    )
     out, at = [], 0
-    for (doc, words, _), n in zip(held, lengths):
+    for words in held:
+        if words is None:
+            out.append((UNKNOWN, 0.0, []))
+            continue
+        n = len(words.starts)
         own = labels[at : at + n]
         at += n
         letters = np.bincount(own, words.lengths, minlength=len(model.languages))
@@ -261,53 +257,70 @@ def _label(model: Model, held: list[tuple]) -> list[tuple]:
             }
             for a, b in zip(change[:-1], change[1:])
         ]
-        out.append((doc, model.languages[best], float(letters[best] / letters.sum()), spans))
+        out.append((model.languages[best], float(letters[best] / letters.sum()), spans))
     return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the share of letters in spans of lang_pred) and spans (code point
-    offsets) of every row of ``docs`` (doc_id, text; other columns are not looked at).
+    """``row`` (all columns of ``docs``, among them text), lang_pred, score (the share of letters
+    in spans of lang_pred) and spans (code point offsets), for every row of ``docs``.
 
     A text that is null, empty or without letters is ``und`` with score 0 and no spans, and so is
     every text under a model that has learned no language. Rows that repeat get equal results. A
-    script of no learned language leaves all of them as candidates.
+    script of no learned language leaves all of them as candidates. The other columns go along as
+    they are, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
         model = shared.value
+        for batch in batches:
+            rows = batch.column(0)
+            texts, found, held, n = rows.field("text").to_pylist(), [], [], 0
+            for text in texts:
+                words = words_of(text) if model.languages else None
+                held.append(words)
+                n += len(words.starts) if words else 0
+                if n >= HELD_WORDS:
+                    found += _label(model, held)
+                    held, n = [], 0
+            found += _label(model, held)
+            languages, scores, spans = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows,
+                    pa.array(languages, pa.string()),
+                    pa.array(scores, pa.float64()),
+                    pa.array(spans, pa.list_(SPAN)),
+                ],
+                ["row", "lang_pred", "score", "spans"],
+            )
 
-        def rows():
-            held, words_held = [], 0
-            for batch in batches:
-                for doc, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                    words = words_of(text) if model.languages else None
-                    if words is None:
-                        yield 0, (doc, UNKNOWN, 0.0, [])
-                        continue
-                    held.append((doc, words, model.scores(words)))
-                    words.buckets = words.scripts = None
-                    words_held += len(words.starts)
-                    if words_held >= HELD_WORDS:
-                        yield from ((0, r) for r in _label(model, held))
-                        held, words_held = [], 0
-            if held:
-                yield from ((0, r) for r in _label(model, held))
-
-        yield from rows_to_batches(rows(), RESULT_ARROW)
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(label, RESULT)
+    rows = docs.select(F.struct("*").alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(label, f"row {kind}, {RESULT}")
 
 
 def predicted(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and spans, the model being learned from the documents of
     ``docs`` (doc_id, text, lang) that are not held out. A null id is held out."""
     model = learn(docs.filter(fold_of(F.col("doc_id")) != 0))
-    return identify(docs, model).select(
-        "doc_id",
-        (fold_of(F.col("doc_id")) == 0).alias("held_out"),
+    return identify(docs.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        (fold_of(F.col("row.doc_id")) == 0).alias("held_out"),
         "lang_pred",
         "score",
         "spans",
     )
+
+
+#: A text is kept if this share of its letters is in spans of one language.
+KEPT_SHARE = 0.5
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others) with a language: those that are not
+    ``und`` and mostly of one language. The model is learned as in :func:`predicted`."""
+    model = learn(docs.filter(fold_of(F.col("doc_id")) != 0))
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= KEPT_SHARE)
+    return identify(docs, model).filter(good).select("row.*")

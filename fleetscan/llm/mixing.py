@@ -237,3 +237,36 @@ def _slots(sources: DataFrame) -> DataFrame:
             .alias("high"),
         )
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text, n_chars and any others) as the mix takes them: a
+    row for each time it takes the whole text, and one with the first words of the text where it
+    ends within a document. Rows of which it takes nothing go."""
+    key = ["doc_id", "source", "size"]
+    same = Window.partitionBy(*key)
+    takes = (
+        mix(docs)
+        .taken()
+        .withColumn("k", F.row_number().over(same.orderBy("taken")))
+        .select(*[F.col(c).alias(f"t_{c}") for c in key], F.col("k").alias("t_k"), "taken")
+    )
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    numbered = rows.withColumn("k", F.row_number().over(same.orderBy("row.text")))
+    match = F.col("k") == F.col("t_k")
+    for c in key:
+        match = match & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    gap = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+    text, rest = F.col("row.text"), F.expr("taken % size")
+    pieces = F.when(text.rlike(r"^[\x20\x09-\x0D]"), rest + 1).otherwise(rest).cast("int")
+    cut = F.array_join(F.slice(F.split(text, gap), F.lit(1), pieces), "")
+    times = F.expr("taken div size + if(taken % size > 0, 1, 0)").cast("int")
+    part = F.col("turn") > F.expr("taken div size")
+    out = (
+        numbered.join(takes, match)
+        .filter("taken > 0")
+        .withColumn("turn", F.explode(F.sequence(F.lit(1), times)))
+        .withColumn("taken_text", F.when(part, cut).otherwise(text))
+    )
+    changed = {"text": F.col("taken_text"), "n_chars": F.when(part, F.length("taken_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

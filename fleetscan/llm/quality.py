@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stored
+from .common import fold_of
 
 #: At most so many labelled rows are fitted to: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -66,12 +66,13 @@ STATISTICS = [
 ]
 
 
-def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and one double for each statistic, prefixed ``q_``."""
-    words = F.split(F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+")
-    named = statistics(F.col("text"))
-    return docs.select(*keep, "text", words.alias("words")).select(
-        *keep, *[c.cast("double").alias(f"q_{k}") for k, c in named.items()]
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``, among them text) and one double for each statistic."""
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return (
+        docs.select(F.struct("*").alias("row"))
+        .select("row", text.alias("text"), F.split(F.trim(text), r"\s+").alias("words"))
+        .select("row", *[c.cast("double").alias(f"q_{k}") for k, c in statistics(F.col("text")).items()])
     )
 
 
@@ -197,42 +198,58 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Ensemble:
 # -- the operator
 
 
-def fit_rows(stats: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """Labelled rows to learn from: not held out, label 0 or 1, at most ``most``, by the hash of
-    the id. A document labelled more than once counts as often."""
-    known = labels.filter(F.col("quality").isin(0, 1)).select(
-        F.col("doc_id").alias("l_id"), F.col("quality").cast("double").alias("y")
+def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """Statistics and label (y) of rows to learn from: not held out, label 0 or 1, of at most
+    ``most`` labelled documents, by the hash of the id. A document labelled more than once counts
+    as often. Statistics are computed for these rows alone; their ids are broadcast, which
+    ``most`` bounds."""
+    known = labels.filter(F.col("quality").isin(0, 1)).filter(fold_of(F.col("doc_id")) != 0)
+    ids = docs.select(F.col("doc_id").alias("d_id")).distinct()
+    chosen = (
+        known.join(ids, F.col("doc_id") == F.col("d_id"))
+        .select(F.col("doc_id").alias("l_id"), F.col("quality").cast("double").alias("y"))
+        .orderBy(F.xxhash64("l_id"), "l_id", "y")
+        .limit(most)
     )
-    rows = stats.filter(fold_of(F.col("doc_id")) != 0).join(known, F.col("doc_id") == F.col("l_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
     return (
-        rows.select("doc_id", *[f"q_{k}" for k in STATISTICS], "y")
+        with_statistics(rows)
+        .select("row.doc_id", *[f"q_{k}" for k in STATISTICS], "row.y")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(most)
     )
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Ensemble:
-    held = fit_rows(stats, labels).toPandas().sort_values(["doc_id", "y"], kind="stable")
+def train(docs: DataFrame, labels: DataFrame) -> Ensemble:
+    held = fit_rows(docs, labels).toPandas()
+    held = held.sort_values(["doc_id", "y", *[f"q_{k}" for k in STATISTICS]], kind="stable")
     x = held[[f"q_{k}" for k in STATISTICS]].to_numpy(float).reshape(len(held), -1)
     return fit(x, held["y"].to_numpy(float), STATISTICS)
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or ``keep``), held_out, score and predicted of every row of ``docs`` (doc_id, text).
+def score_rows(docs: DataFrame, model: Ensemble) -> DataFrame:
+    """``row`` (all columns of ``docs``, among them text) and score, by column expressions alone.
+    A null text is scored as an empty one."""
+    return with_statistics(docs).select("row", model.score().alias("score"))
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text; other columns
+    are not looked at) by a model of ``labels`` (doc_id, quality).
 
     A null text is scored as an empty one. Rows that repeat are scored alike. A null id is held
     out. With no labelled rows all scores are one half; an empty table gives an empty result.
     Labels, language, source and ids are never inputs of a score.
     """
-    keep = keep or ["doc_id"]
-    stats = stored(with_statistics(docs, keep), "statistics")
-    score = train(stats, labels).score()
-    return (
-        stats.withColumn("q_score", score)
-        .select(
-            *keep,
-            (fold_of(F.col("doc_id")) == 0).alias("held_out"),
-            F.col("q_score").alias("score"),
-            (F.col("q_score") >= THRESHOLD).cast("int").alias("predicted"),
-        )
+    doc_id = F.col("row.doc_id")
+    return score_rows(docs.select("doc_id", "text"), train(docs, labels)).select(
+        "row.doc_id",
+        (fold_of(doc_id) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) whose score is at least the threshold."""
+    return score_rows(docs, train(docs, labels)).filter(F.col("score") >= THRESHOLD).select("row.*")
