@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language, mixing, neighbors, packing, quality, warc
+from . import (
+    chat,
+    jaccard,
+    language,
+    mixing,
+    neighbors,
+    packing,
+    pseudo_likelihood,
+    quality,
+    warc,
+)
 from .common import table
 
 
@@ -24,6 +34,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("source")
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked pseudo-likelihood of every document."""
+    return pseudo_likelihood.pseudo_likelihoods(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors among all embeddings."""
     return neighbors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -59,6 +74,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_neighbors": op5_neighbors,
     "op6_language": op6_language,
     "op8_jaccard": op8_jaccard,
