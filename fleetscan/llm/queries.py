@@ -8,6 +8,7 @@ from . import (
     chat,
     jaccard,
     language,
+    media,
     mixing,
     neighbors,
     packing,
@@ -49,6 +50,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copies among images drawn from all embeddings, and edits of every twentieth."""
+    return media.copies(media.drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by their word shingles."""
     return jaccard.join(table(spark, sf_dir, "documents"))
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_neighbors": op5_neighbors,
     "op6_language": op6_language,
+    "op7_media": op7_media,
     "op8_jaccard": op8_jaccard,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
