@@ -11,27 +11,31 @@ from fleetscan import values as V
 from fleetscan.operators.observe import DEFAULT_IGNORE_PREFIX
 
 
+_MAY_BE_NONE = ("max_files", "timeout_ms")
+
+
 @dataclass(frozen=True)
 class ScanConfig:
-    """Options of a scan; ``None`` stands for "not given"."""
+    """Options of a scan. ``max_files`` and ``timeout_ms`` may be ``None``: no cap, no limit."""
 
     root: str = ""
     enabled_categories: tuple[str, ...] | None = tuple(V.CATEGORIES)
     min_severity: str | None = V.DEFAULT_MIN_SEVERITY
     exclude_patterns: tuple[str, ...] = ()
-    max_files: int | None = V.DEFAULT_MAX_FILES
+    max_files: int | None = None
     timeout_ms: int | None = V.DEFAULT_TIMEOUT_MS
     ignore_prefix: str = DEFAULT_IGNORE_PREFIX
     ignore_case: bool = True
 
     @classmethod
     def merged(cls, root: str, **given) -> ScanConfig:
-        """Defaults overlaid by the options given; a ``None`` keeps the default."""
+        """Defaults overlaid by the options given. A ``None`` keeps the default, but for
+        ``max_files`` and ``timeout_ms``, where it asks for none."""
         known = {f.name for f in fields(cls)}
         unknown = set(given) - known
         if unknown:
             raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
-        return replace(cls(root=root), **{k: v for k, v in given.items() if v is not None})
+        return replace(cls(root=root), **{k: v for k, v in given.items() if v is not None or k in _MAY_BE_NONE})
 
     def errors(self) -> list[str]:
         out = []

@@ -66,7 +66,9 @@ def parse_json(text: Column, schema: str) -> Column:
 def manifest_error(text: Column, parsed: Column) -> Column:
     """Why the dependency checks cannot run on a well-formed manifest, or null."""
     scripts = F.try_element_at(parse_json(text, "map<string,string>"), F.lit("scripts"))
-    scalar = scripts.isNotNull() & parsed["scripts"].isNull() & ~scripts.startswith("[")
+    # an array is told by reading the field as one: a string may begin with a bracket too
+    listed = parse_json(text, "struct<scripts:array<string>>")["scripts"].isNotNull()
+    scalar = scripts.isNotNull() & parsed["scripts"].isNull() & ~listed
     return F.when(F.trim(text) == "null", "the manifest is null").when(
         scalar, "the manifest's scripts are not an object"
     )
@@ -75,11 +77,14 @@ def manifest_error(text: Column, parsed: Column) -> Column:
 def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
     """One row per project: context (C1-C10), counts of file and line findings, sums.
 
-    A single aggregation by project over observation rows. Every aggregate combines
-    on the map side, so a huge project costs one row per task in the shuffle.
+    Flags, counts and sums of all observation rows have buffers of a fixed width, so they are
+    hash-aggregated, and a huge project costs one row per task in the shuffle. The texts of
+    manifests, which would have every row sorted, are picked from the few rows that hold one.
     """
-    aggregates, parsed, maps, derived, dropped = _fact_columns(tuple(registry.rules))
+    aggregates, texts, parsed, maps, derived, dropped = _fact_columns(tuple(registry.rules))
     facts = observations.groupBy("project_id").agg(*aggregates)
+    manifests = observations.where("manifest is not null").groupBy("project_id").agg(*texts)
+    facts = facts.join(manifests, "project_id", "left")
     return facts.withColumns(parsed).withColumns(maps).withColumns(derived).drop(*dropped)
 
 
@@ -101,13 +106,15 @@ def _fact_columns(rules: tuple) -> tuple:
         root("pnpm-lock.yaml").alias("uses_pnpm"),
         root("yarn.lock").alias("uses_yarn"),
         F.bool_or(is_file & F.col("env_listed")).alias("env_listed"),
-        F.max(F.when(is_file & (path == "package.json"), F.col("manifest"))).alias("root_manifest"),
-        F.min_by(F.struct("path", "manifest"), manifest_at).alias("first_manifest"),
         F.sum(F.when(picked, F.col("any_count")).otherwise(0)).alias("any_total"),
         F.count_if(picked).alias("files_scanned"),
         F.sum(F.when(picked, F.col("n_lines")).otherwise(0)).cast("bigint").alias("lines_scanned"),
         *_hit_counts(rules),
     ]
+    texts = [
+        F.max(F.when(is_file & (path == "package.json"), F.col("manifest"))).alias("root_manifest"),
+        F.min_by(F.struct("path", "manifest"), manifest_at).alias("first_manifest"),
+    ]
     parsed = {
         "pkg": parse_json(F.col("root_manifest"), MANIFEST),
         "first_pkg": parse_json(F.col("first_manifest.manifest"), MANIFEST),
@@ -142,7 +149,7 @@ def _fact_columns(rules: tuple) -> tuple:
         "nextjs_version": F.regexp_replace(F.try_element_at(deps, F.lit("next")), r"[\^~]", ""),
     }
     dropped = ["pkg", "first_pkg", "first_manifest", "root_manifest", "uses_pnpm", "uses_yarn"]
-    return aggregates, parsed, maps, derived, dropped
+    return aggregates, texts, parsed, maps, derived, dropped
 
 
 def project_context(raw_files: DataFrame) -> DataFrame:

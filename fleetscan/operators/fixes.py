@@ -142,7 +142,7 @@ def _console_log_preview(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.when(~F.col("located"), "The finding has no file or line.")
         .when(F.col("present").isNull(), "The file cannot be read.")
         .when(~found, "There is no such line.")
-        .otherwise(F.format_string("Comment out console.log on line %d of %s", "line", "file"))
+        .otherwise(F.format_string("Line %2$d of %1$s: its logging calls become comments", "file", "line"))
     )
     diff = F.concat(F.lit("- "), F.col("old"), F.lit("\n+ "), comment_calls(F.col("old")))
     return _preview(
@@ -157,7 +157,7 @@ def _console_log_result(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.when(~F.col("located"), "The finding has no place.")
         .when(F.col("present").isNull(), "The fix could not be applied.")
         .when(~found, "There is no such line.")
-        .otherwise(F.format_string("Commented out console.log on line %d.", "line"))
+        .otherwise(F.format_string("The logging calls of line %d are comments now.", "line"))
     )
     error = F.when(F.col("located") & F.col("present").isNull(), "The file cannot be read.")
     return _result(rows, found, F.when(found, F.array("file")), None, message, error)

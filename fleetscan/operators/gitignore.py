@@ -22,36 +22,101 @@ RULES_TYPE = (
     "array<struct<negated:boolean,dir_only:boolean,kind:string,arg:string,regex:string>>"
 )
 
-# Stand-ins while a pattern is rewritten; private-use characters, so never part of a path.
-_STAR, _QUERY, _BRACKET = "\ue000", "\ue001", "\ue002"
-_ANY_DIRS, _INNER_DIRS, _BELOW = "\ue010", "\ue011", "\ue012"
+# The parts of a pattern, first match first: directory wildcards, wildcards, escapes, a backslash
+# at the end, a closed bracket, any other character. Each is translated on its own, so
+# that what comes out is a valid regular expression whatever goes in.
+_PARTS = (
+    r"(?s)^(?:\*\*/)+|/(?:\*\*/)+|/\*\*\z|\*+|\?|\\.|\\\z"
+    r"|\[[!^]?\]?(?:\[:[a-z]+:\]|\\.|[^\]\\])*\]|."
+)
+_MEMBERS = r"(?s)\[:[a-z]+:\]|(?:\\.|[^\\])-(?:\\.|[^\\])|\\.|."
+_NOTHING = "(?!)"
+
+# What the named classes of a bracket mean (fixed values of the POSIX standard).
+_CLASSES = {
+    "alnum": r"\p{Alnum}",
+    "alpha": r"\p{Alpha}",
+    "blank": r"\p{Blank}",
+    "cntrl": r"\p{Cntrl}",
+    "digit": r"\p{Digit}",
+    "graph": r"\p{Graph}",
+    "lower": r"\p{Lower}",
+    "print": r"\p{Print}",
+    "punct": r"\p{Punct}",
+    "space": r"\s",
+    "upper": r"\p{Upper}",
+    "xdigit": r"\p{XDigit}",
+}
+
+
+def _quoted(char: Column) -> Column:
+    """One character, escaped unless it is a letter, digit or beyond ASCII."""
+    return F.when(char.rlike(r"(?s)\A[a-zA-Z0-9\x{80}-\x{10ffff}]\z"), char).otherwise(
+        F.concat(F.lit("\\"), char)
+    )
+
+
+def _unescaped(member: Column) -> Column:
+    return F.when(F.length(member) > 1, F.substr(member, F.lit(2))).otherwise(member)
+
+
+def _member(member: Column, ignore_case: bool) -> Column:
+    """One member of a bracket. A range that runs backwards and a class that is not known have no
+    characters; where case is ignored, upper-case letters are letters."""
+    known = F.lit("")
+    for name, chars in _CLASSES.items():
+        either = _CLASSES["alpha"] if ignore_case and name in ("upper", "lower") else chars
+        known = F.when(member == f"[:{name}:]", F.lit(either)).otherwise(known)
+    ends = F.regexp_extract(member, r"(?s)\A(\\.|[^\\])-(\\.|[^\\])\z", 1)
+    low, high = _unescaped(ends), _unescaped(
+        F.regexp_extract(member, r"(?s)\A(\\.|[^\\])-(\\.|[^\\])\z", 2)
+    )
+    span = F.when(low <= high, F.concat(_quoted(low), F.lit("-"), _quoted(high))).otherwise("")
+    return (
+        F.when(member.rlike(r"\A\[:[a-z]+:\]\z"), known)
+        .when(ends != "", span)
+        .otherwise(_quoted(_unescaped(member)))
+    )
+
+
+def _bracket(part: Column, ignore_case: bool) -> Column:
+    inner = F.substr(part, F.lit(2), F.length(part) - 2)
+    negated = inner.rlike(r"\A[!^]")
+    inner = F.when(negated, F.substr(inner, F.lit(2))).otherwise(inner)
+    members = F.transform(
+        F.regexp_extract_all(inner, F.lit(_MEMBERS), F.lit(0)), lambda m: _member(m, ignore_case)
+    )
+    chars = F.array_join(members, "")
+    return (
+        F.when((chars == "") & negated, F.lit("[^/]"))
+        .when(chars == "", F.lit(_NOTHING))
+        .otherwise(
+            F.concat(
+                F.lit("(?!/)["), F.when(negated, F.lit("^")).otherwise(""), chars, F.lit("]")
+            )
+        )
+    )
+
+
+def _part(part: Column, ignore_case: bool) -> Column:
+    return (
+        F.when(part.rlike(r"\A(?:\*\*/)+\z"), "(?:.*/)?")
+        .when(part.rlike(r"\A/(?:\*\*/)+\z"), "/(?:.*/)?")
+        .when(part == "/**", "/.+")
+        .when(part.rlike(r"\A\*+\z"), "[^/]*")
+        .when(part == "?", "[^/]")
+        .when(part == "\\", "")  # nothing is left to escape
+        .when(part.startswith("\\"), _quoted(F.substr(part, F.lit(2))))
+        .when(part.startswith("[") & (F.length(part) > 1), _bracket(part, ignore_case))
+        .otherwise(_quoted(part))
+    )
 
 
 @once
-def _glob_regex() -> Column:
+def _glob_regex(ignore_case: bool) -> Column:
     """The regular expression of pattern ``p``, its ``!`` and outer slashes removed."""
-    steps = [
-        (r"\\\*", _STAR),
-        (r"\\\?", _QUERY),
-        (r"\\\[", _BRACKET),
-        (r"\\(.)", "$1"),
-        (r"[.+^$(){}|]", r"\\$0"),
-        (r"\[(?:!|\\\^)", "[^"),
-        (r"^\*\*/", _ANY_DIRS),
-        (r"/\*\*/", _INNER_DIRS),
-        (r"/\*\*$", _BELOW),
-        (r"\*+", "[^/]*"),
-        (r"\?", "[^/]"),
-        (_ANY_DIRS, "(?:.*/)?"),
-        (_INNER_DIRS, "/(?:.*/)?"),
-        (_BELOW, "/.+"),
-        (_STAR, r"\\*"),
-        (_QUERY, r"\\?"),
-        (_BRACKET, r"\\["),
-    ]
-    out = F.col("p")
-    for pattern, replacement in steps:
-        out = F.regexp_replace(out, pattern, replacement)
+    parts = F.regexp_extract_all(F.col("p"), F.lit(_PARTS), F.lit(0))
+    out = F.array_join(F.transform(parts, lambda x: _part(x, ignore_case)), "")
     return F.concat(F.when(F.col("anchored"), "").otherwise("(?:.*/)?"), out)
 
 
@@ -88,7 +153,7 @@ def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
     regex = F.when(F.col("kind") == "path", plain).when(
         F.col("kind") == "name", F.concat(F.lit("(?:.*/)?"), plain)
     )
-    rows = rows.withColumn("regex", regex.otherwise(_glob_regex()))
+    rows = rows.withColumn("regex", regex.otherwise(_glob_regex(ignore_case)))
     return rows.select(
         "project_id",
         "seq",

@@ -31,8 +31,8 @@ def mark_selected(
     ignore_case: bool = True,
 ) -> DataFrame:
     """All files with a column ``selected``. Contents are only passed through: rules, targets
-    and the cap are worked out on paths and come back as small tables."""
-    path = F.col("path")
+    and the cap are worked out on paths and come back as small tables. Files that the
+    reader left out (``skipped``, where there is such a column) are not selected."""
     if targets is not None:
         wanted = broadcast_if_small(targets.select("project_id", "path").distinct())
         out = files.join(wanted.withColumn("selected", F.lit(True)), ["project_id", "path"], "left")
@@ -42,12 +42,21 @@ def mark_selected(
         out = with_ignored(files, rules, ignore_case, exclude_patterns)
         out = out.withColumn("selected", selectable(ignore_case) & ~F.col("ignored"))
         out = out.drop("ignored")
-    if max_files is None:
-        return out
-    cut = small_side(last_kept_paths(out.where("selected"), max_files))
-    out = out.join(cut, "project_id", "left")
-    within = F.col("last_path").isNull() | (path <= F.col("last_path"))
-    return out.withColumn("selected", F.col("selected") & within).drop("last_path")
+    if "skipped" in files.columns:
+        out = out.withColumn("selected", F.col("selected") & F.col("skipped").isNull())
+    return out if max_files is None else mark_capped(out, max_files)[0]
+
+
+def mark_capped(marked: DataFrame, max_files: int) -> tuple[DataFrame, DataFrame]:
+    """``marked`` with only the first ``max_files`` files of each project still selected, and for
+    each project that this cuts ``project_id, left_out``: how many files."""
+    cut = small_side(last_kept_paths(marked.where("selected"), max_files))
+    joined = marked.join(cut, "project_id", "left")
+    within = F.col("last_path").isNull() | (F.col("path") <= F.col("last_path"))
+    left_out = joined.where(F.col("selected") & ~within).groupBy("project_id").agg(
+        F.count("*").alias("left_out")
+    )
+    return joined.withColumn("selected", F.col("selected") & within).drop("last_path"), left_out
 
 
 def select_files(files: DataFrame, **options) -> DataFrame:

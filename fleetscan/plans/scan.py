@@ -13,10 +13,11 @@ from fleetscan.operators.context import CONTEXT_COLUMNS, add_findings, project_f
 from fleetscan.operators.findings import FINDING_SCHEMA, describe, file_hits, project_hits
 from fleetscan.operators.observe import observe
 from fleetscan.operators.repair import repair_plan, repair_steps
-from fleetscan.operators.selection import mark_selected
+from fleetscan.operators.selection import mark_capped, mark_selected
 from fleetscan.plans.sizing import stored
 from fleetscan.rules.builtin import default_registry
 from fleetscan.rules.model import Registry
+from fleetscan.sources.trees import skipped_files
 
 ERROR_SCHEMA = "project_id string, detector_id string, detector_name string, message string"
 
@@ -52,6 +53,22 @@ def detector_errors(facts: DataFrame) -> DataFrame:
     )
 
 
+def _reader_errors(project: DataFrame, message) -> DataFrame:
+    return project.select(
+        "project_id",
+        F.lit("reader").alias("detector_id"),
+        F.lit("File reader").alias("detector_name"),
+        message.alias("message"),
+    )
+
+
+def left_out_errors(left_out: DataFrame) -> DataFrame:
+    """One row per project of which the cap on files left some out."""
+    return _reader_errors(
+        left_out, F.format_string("%d files beyond the cap were left out", "left_out")
+    )
+
+
 def run_detectors(
     registry: Registry, files: DataFrame, context: DataFrame
 ) -> tuple[DataFrame | None, DataFrame | None]:
@@ -88,7 +105,8 @@ def scan(
     """Scan ``raw_files(project_id, path, content)``, the unfiltered listing of a fleet.
 
     Contents are read once: the rule projection's compact output is stored in the shared
-    folder and every result is computed from it. With ``store=False`` nothing is written and
+    folder and every result is computed from it. A cap on files that cuts a project, and files
+    that the reader left out (column ``skipped``), are error rows. With ``store=False`` nothing is written and
     each result that is used reads the contents again.
     """
     config = (config or ScanConfig(root=".")).validated()
@@ -96,8 +114,11 @@ def scan(
         config.enabled_categories, config.min_severity
     )
     marked = mark_selected(
-        raw_files, config.exclude_patterns, config.max_files, targets, config.ignore_case
+        raw_files, config.exclude_patterns, None, targets, config.ignore_case
     )
+    left_out = None
+    if config.max_files is not None:
+        marked, left_out = mark_capped(marked, config.max_files)
     observations = observe(marked, registry, config.ignore_prefix)
     if store:
         observations = stored(observations)
@@ -107,6 +128,10 @@ def scan(
     findings = describe(hits, registry)
     projects = project_summary(facts, registry)
     errors = detector_errors(facts)
+    if left_out is not None:
+        errors = errors.unionByName(left_out_errors(left_out))
+    if "skipped" in raw_files.columns:
+        errors = errors.unionByName(skipped_files(raw_files))
     files = marked.where("selected").drop("selected")
     if registry.detectors:
         extra, failed = run_detectors(registry, files, context)

@@ -134,12 +134,13 @@ def read_trees(
 
 def decode(raw: DataFrame) -> DataFrame:
     """Bytes to text. Bytes that are not UTF-8 are replaced, absent ones give an empty
-    text; paths get forward slashes."""
+    text; paths get forward slashes. ``skipped`` goes along: a scan leaves such files out."""
     text = F.make_valid_utf8(F.col("bytes").cast("string"))
     return raw.select(
         "project_id",
         normalise(F.col("path")).alias("path"),
         F.coalesce(text, F.lit("")).alias("content"),
+        "skipped",
     )
 
 

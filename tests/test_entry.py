@@ -2,13 +2,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload.oracle import ORACLES
+from workload.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 CHECKED = ["score", "all_findings", "repair_steps", "project_context", "apply_fix", "stream_debounce"]
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):

@@ -98,7 +98,10 @@ def test_plan_time_pruning(make_files):
 
 
 def test_configuration(spark):
-    assert ScanConfig.merged("x", max_files=None).max_files == 5000
+    assert ScanConfig.merged("x").max_files is None
+    assert ScanConfig.merged("x", max_files=7).max_files == 7
+    assert ScanConfig.merged("x", timeout_ms=None).timeout_ms is None
+    assert ScanConfig.merged("x", min_severity=None).min_severity == "low"
     assert ScanConfig.merged("x", min_severity="high").min_severity == "high"
     with pytest.raises(ValueError, match="root.*max_files.*timeout_ms"):
         ScanConfig(root=" ", max_files=0, timeout_ms=-1).validated()
@@ -111,6 +114,16 @@ def test_configuration(spark):
     assert "timeout_ms" in errors["c"]
 
 
+def test_a_cap_is_told(make_files):
+    logs = {f"f{i}.ts": "console.log(1)" for i in range(5)}
+    files = make_files({"big": logs, "small": {"a.ts": ""}})
+    assert scan(files, ScanConfig(root=".")).errors.count() == 0
+    tables = scan(files, ScanConfig(root=".", max_files=3))
+    rows = [(r.project_id, r.detector_id, r.message) for r in tables.errors.collect()]
+    assert rows == [("big", "reader", "2 files beyond the cap were left out")]
+    assert {r.project_id: r.files_scanned for r in tables.facts.collect()} == {"big": 3, "small": 1}
+
+
 def test_ignore_prefix(make_files):
     files = make_files({"p": {"a.ts": "console.log(1) // other-disable-line\n"}})
     log = "rule_id = 'code_quality/console-log'"

@@ -62,9 +62,41 @@ GIT_CASES = [
     (r"a\*.ts", "a*.ts", True),
     (r"a\*.ts", "ab.ts", False),
     ("", "a.ts", False),
+    # lines that are cut short, run backwards or mean nothing: none stops the scan
+    ("foo[", "foo[", True),
+    ("foo[", "foo", False),
+    ("[z-a].ts", "b.ts", False),
+    ("[^z-a].ts", "b.ts", True),
+    ("x\\", "x", True),
+    ("[[:alpha:]].ts", "a.ts", True),
+    ("[[:alpha:]].ts", "1.ts", False),
+    ("[[:digit:]x].ts", "1.ts", True),
+    ("[[:nope:]].ts", "a.ts", False),
+    ("[[:upper:]].ts", "a.ts", True),
+    ("[!a]", "a", False),
+    ("[!a]", "b", True),
+    ("a[!b]c", "a/c", False),
+    ("a{b", "a{b", True),
+    ("a(b|", "a(b|", True),
+    ("[]a].ts", "].ts", True),
+    ("[a&&b].ts", "&.ts", True),
+    ("[a[b].ts", "[.ts", True),
+    ("[a\\]].ts", "].ts", True),
+    ("[+--].ts", ",.ts", True),
+    ("*[", "a[", True),
+    ("a/**/**/z.ts", "a/z.ts", True),
+    ("# only\n# comments\n\n", "a.ts", False),
+    ("foo[\n*.ts", "a.ts", True),
 ]
 
 
+@pytest.mark.parametrize("pattern", ["foo[", "[z-a].ts", "x\\", "a{b", "(", "*[", "\\", "[", "[]", "[!]", "**", "/"])
+def test_odd_extra_excludes(make_files, pattern):
+    files = make_files({"p": {"a.ts": "", "b.ts": ""}})
+    out = selection.select_files(files, exclude_patterns=(pattern, "b.ts"))
+    assert paths(out) == (set() if pattern == "**" else {"a.ts"})
+
+
 def test_ignore_rules(make_files):
     projects = {f"{i:02}": {".gitignore": r, p: ""} for i, (r, p, _) in enumerate(GIT_CASES)}
     files = make_files(projects)

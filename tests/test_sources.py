@@ -41,7 +41,11 @@ def test_large_files_are_reported(spark, tmp_path):
     tree(tmp_path, {"p/big.ts": b"x" * 100, "p/small.ts": b"x"})
     raw = read_trees(spark, str(tmp_path), max_bytes=50)
     assert [r.message for r in skipped_files(raw).collect()] == ["big.ts: larger than 50 bytes"]
-    assert {r.path: r.content for r in decode(raw).collect()} == {"big.ts": "", "small.ts": "x"}
+    files = decode(raw)
+    assert {r.path: r.content for r in files.collect()} == {"big.ts": "", "small.ts": "x"}
+    tables = scan(files, ScanConfig(root="."))
+    assert tables.facts.first().files_scanned == 1 and tables.files.count() == 1
+    assert [r.message for r in tables.errors.collect()] == ["big.ts: larger than 50 bytes"]
 
 
 def test_empty_root(spark, tmp_path):

@@ -63,7 +63,11 @@ MUTED = (
 )
 MUTED_FILE = "// fleetscan-disable-file\n"
 
-GITIGNORE = "# output\n*.log\n\ndocs/\nsrc/e*.ts\n!src/e*7.ts\n/CFG*/\n"
+GITIGNORE = (
+    "# output\n*.log\n\ndocs/\nsrc/e*.ts\n!src/e*7.ts\n/CFG*/\n"
+    # lines as people write them: unclosed, backwards, cut short; none stops the others
+    "foo[\n[z-a].ts\nx\\\n\\#x\n\\!x\na{b\n[[:nope:]].md\nsrc/[!a-z]*.ts\nlib/h[[:digit:]]*3.js\n"
+)
 GITIGNORE_ENV = "  .env\t\n"
 ENV_TEXT = "# local values\n\nDB_URL=postgres://db\nTOKEN=a=b\r\nEMPTY=\nplain words"
 DEPENDENCY_COUNT = 85
@@ -94,6 +98,15 @@ def _fill(template: str, value: Column) -> Column:
     return F.concat(F.lit(before), value.cast("string"), F.lit(after))
 
 
+def json_text(text: Column) -> Column:
+    """The inside of a JSON string, by steps that every engine takes alike: backslashes, quotes and
+    line ends are escaped, other controls become spaces."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    out = F.replace(out, F.lit('"'), F.lit('\\"'))
+    out = F.replace(out, F.lit("\n"), F.lit("\\n"))
+    return F.regexp_replace(out, r"[\x00-\x1f]", " ")
+
+
 def document_files(docs: DataFrame) -> DataFrame:
     """One file per document; ``doc_id`` and ``text`` come along for queries on later versions."""
     kinds, columns = _document_columns()
@@ -127,10 +140,9 @@ def _document_columns() -> tuple[list, list]:
         .when(
             kind == 14,
             F.concat(
-                F.lit('{"scripts": {"postinstall": "node x.js", "install": "make"}, "about": '),
-                F.replace(
-                    F.to_json(F.struct(F.col("text").alias("t"))), F.lit('{"t":'), F.lit("")
-                ),
+                F.lit('{"scripts": {"postinstall": "node x.js", "install": "make"}, "about": "'),
+                json_text(text),
+                F.lit('"}'),
             ),
         )
     )

@@ -56,8 +56,9 @@ doc_files AS (
       WHEN 10 THEN repeat({lit(K.FILLER_LINE)}, CAST(493 + doc_id % 11 AS INT)) || text
       WHEN 13 THEN CASE WHEN doc_id % 3 = 1 THEN {lit(K.MUTED_FILE)} ELSE '' END
         || {lit(K.MUTED + chr(10))} || text
-      WHEN 14 THEN '{{"scripts": {{"postinstall": "node x.js", "install": "make"}}, "about": '
-        || CAST(to_json(text) AS VARCHAR) || '}}'
+      WHEN 14 THEN '{{"scripts": {{"postinstall": "node x.js", "install": "make"}}, "about": "'
+        || regexp_replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'),
+          '[\\x00-\\x1F]', ' ', 'g') || '"}}'
     END AS content, doc_id, text
   FROM proj),
 projects AS (SELECT DISTINCT project_id, s FROM proj),
@@ -94,6 +95,8 @@ _IGNORED = """(regexp_matches(lower(r.path), '\\.log$')
       OR regexp_matches(lower(r.path), '(^|/)docs/')
       OR (regexp_matches(lower(r.path), '^src/e[^/]*\\.ts$')
         AND NOT regexp_matches(lower(r.path), '^src/e[^/]*7\\.ts$'))
+      OR regexp_matches(lower(r.path), '^src/[^a-z/][^/]*\\.ts$')
+      OR regexp_matches(lower(r.path), '^lib/h[0-9][^/]*3\\.js$')
       OR regexp_matches(lower(r.path), '^cfg[^/]*/'))"""
 
 _NAMES = (
@@ -565,6 +568,12 @@ ORACLES = {
     "extra_excludes": sql(
         f"SELECT project_id, path FROM files WHERE NOT {_EXCLUDED}", MARKED
     ),
+    "scan_capped": sql(
+        f"""SELECT project_id, 'reader' AS detector_id,
+        (count(*) - {CAP}) || ' files beyond the cap were left out' AS message
+        FROM files GROUP BY project_id HAVING count(*) > {CAP}""",
+        MARKED,
+    ),
     "capped_files": sql(
         f"SELECT project_id, path FROM files QUALIFY row_number() OVER "
         f"(PARTITION BY project_id ORDER BY path) <= {CAP}",
@@ -813,8 +822,7 @@ ORACLES = {
           SELECT r.project_id, r.path, coalesce(f.new_content, r.content) AS content
           FROM raw_files r LEFT JOIN fixed f USING (project_id, path)
           UNION ALL SELECT f.project_id, f.path, f.new_content FROM fixed f
-          ANTI JOIN raw_files r USING (project_id, path))
-        WHERE path NOT LIKE '%/package.json'""",
+          ANTI JOIN raw_files r USING (project_id, path))""",
         FIXED,
     ),
     # Every fix removes its finding, and none of them brings another of these rules back.
@@ -857,8 +865,7 @@ ORACLES = {
     "trimmed_lines": sql(
         f"""SELECT left({trim("line")}, 100) AS shown, count(*) AS n,
         CAST(sum(length({trim("line")})) AS BIGINT) AS chars
-        FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM raw_files
-          WHERE path NOT LIKE '%/package.json') GROUP BY shown"""
+        FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM raw_files) GROUP BY shown"""
     ),
     "line_and_word_counts": sql(
         """SELECT project_id, path, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscan.config import ScanConfig
 from fleetscan.functions import text as T
 from fleetscan.functions.severity import worst_severity
 from fleetscan.operators import context as ctx
@@ -16,7 +17,7 @@ from fleetscan.operators import diff, fixes, gitignore, locate, repair, scoring,
 from fleetscan.operators import findings as fnd
 from fleetscan.operators.observe import observe
 from fleetscan.operators.suppress import inline_ignores
-from fleetscan.plans.scan import detector_errors
+from fleetscan.plans.scan import detector_errors, scan
 from fleetscan.plans.sizing import fresh_path, stored
 from fleetscan.rules.builtin import default_registry
 from fleetscan.rules.model import Registry
@@ -58,6 +59,10 @@ def scan_findings(
     """Findings and project facts. ``keep`` stores the observations, so that contents are
     read once although findings and facts both come from them."""
     registry = registry or default_registry()
+    if honour_ignores:
+        config = ScanConfig(root=sf_dir)
+        tables = scan(listing(spark, sf_dir), config, registry, store=keep)
+        return tables.findings, tables.facts
     rows = observe(marked(spark, sf_dir), registry, honour_ignores=honour_ignores)
     if keep:
         rows = stored(rows)
@@ -403,9 +408,7 @@ def fix_results(spark, sf_dir):
 
 
 def apply_fix(spark, sf_dir):
-    return _digest(fixes.apply_fix(*_fix_inputs(spark, sf_dir)), "content").where(
-        "not endswith(path, '/package.json')"
-    )
+    return _digest(fixes.apply_fix(*_fix_inputs(spark, sf_dir)), "content")
 
 
 def _rescan(files: DataFrame) -> DataFrame:
@@ -514,8 +517,7 @@ def redact_words(spark, sf_dir):
 
 def trimmed_lines(spark, sf_dir):
     """Line splitting, trimming and clipping of every file; one row per distinct shown line."""
-    lines = listing(spark, sf_dir).where("not endswith(path, '/package.json')")
-    lines = lines.select(F.explode(T.split_lines(F.col("content"))).alias("line"))
+    lines = listing(spark, sf_dir).select(F.explode(T.split_lines(F.col("content"))).alias("line"))
     return lines.groupBy(T.clip(F.col("line")).alias("shown")).agg(
         F.count("*").alias("n"), F.sum(F.length(T.strip(F.col("line")))).alias("chars")
     )
@@ -547,7 +549,14 @@ def result_json(spark, sf_dir):
     )
 
 
+def scan_capped(spark, sf_dir):
+    """What a scan with a cap on files per project says it left out."""
+    errors = scan(listing(spark, sf_dir), ScanConfig(root=sf_dir, max_files=CAP)).errors
+    return errors.where("detector_id = 'reader'").select("project_id", "detector_id", "message")
+
+
 QUERIES = {
+    "scan_capped": scan_capped,
     "selected_files": selected_files,
     "gitignore_filter": gitignore_filter,
     "extra_excludes": extra_excludes,
