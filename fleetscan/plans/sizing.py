@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,15 +49,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+_chosen: list[str] = []
+
+
+def use_folder(path: str | None) -> None:
+    """Name the folder for intermediate tables where the session's configuration names none. All
+    executors must reach it, and whoever names it removes what is written there."""
+    _chosen[:] = [path] if path else []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder all executors reach: the one the cluster names in ``spark.checkpoint.dir``.
-    Only a local session, where there is one machine anyway, may go without that setting."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="fleetscan-")
+    """The folder that the cluster names in ``spark.checkpoint.dir``, else the one given to
+    :func:`use_folder`. There is no default: a folder of one machine would lose tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or next(iter(_chosen), None)
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

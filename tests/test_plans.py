@@ -45,11 +45,12 @@ def test_generated_code_can_be_compiled(corpus, static_plans):
     assert sizes and max(sizes) < 8000
 
 
-def test_scoring_takes_one_shuffle(corpus, static_plans):
+def test_scoring_takes_one_shuffle_for_all_rows_and_one_for_manifests(corpus, static_plans):
     registry = default_registry()
     facts = project_facts(observe(corpus, registry), registry)
     text = plan(project_summary(facts, registry), "simple")
-    assert text.count("Exchange") == 1 and "Window" not in text and "Cartesian" not in text
+    assert text.count("Exchange hashpartitioning") == 2
+    assert "Window" not in text and "Cartesian" not in text
     assert "partial_sum" in text
 
 
@@ -82,3 +83,25 @@ def test_small_inputs_are_spread(spark, corpus):
 
 def test_intermediate_tables_go_to_the_named_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_without_a_named_folder_there_is_none(spark, monkeypatch):
+    from fleetscan.plans import sizing
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(spark)
+    sizing.use_folder("/somewhere/")
+    assert shared_folder(spark) == "/somewhere"
+    sizing.use_folder(None)
+
+
+def test_flags_and_sums_are_hash_aggregated(spark, corpus, static_plans):
+    from fleetscan.plans.sizing import stored
+
+    registry = default_registry()
+    rows = stored(observe(mark_selected(corpus), registry))
+    lines = plan(project_facts(rows, registry), "simple").splitlines()
+    assert any("HashAggregate(" in x and "files_scanned" in x for x in lines)
+    # only the few rows that hold a manifest are sorted
+    assert all("manifest" in x for x in lines if "SortAggregate(" in x)
