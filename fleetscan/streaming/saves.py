@@ -90,6 +90,8 @@ class IncrementalScan:
 
     def seed(self, observations: DataFrame) -> None:
         """Start from a full scan's observations."""
+        if "saved_at" not in observations.columns:
+            observations = observations.withColumn("saved_at", F.lit(None).cast("timestamp"))
         self._write_observations(observations, SEED)
         written = self._read("observations").where(F.col("batch") == SEED)
         self._write(self._summaries(written), "projects", SEED)
@@ -109,7 +111,7 @@ class IncrementalScan:
             buckets = [r.b for r in found]
             rows = rows.where(F.col("bucket").isin(buckets))
             rows = rows.join(broadcast_if_small(projects), "project_id", "left_semi")
-        return self._latest(rows).drop("batch", "bucket")
+        return self._latest(rows).drop("batch", "bucket", "saved_at")
 
     def findings(self, projects: DataFrame | None = None) -> DataFrame:
         """Current findings, in full: those of rescanned files replaced, project level anew."""
@@ -136,14 +138,38 @@ class IncrementalScan:
             "files_scanned", "lines_scanned", *CONTEXT_COLUMNS,
         )
 
+    def _newest(self, saved: DataFrame, batch: int) -> DataFrame:
+        """The last save of each file, unless an earlier batch has a later one: a save is the
+        content as of its time, so one that comes late is not lost and undoes nothing."""
+        last = saved.groupBy("project_id", "path").agg(
+            F.max_by("content", "saved_at").alias("content"), F.max("saved_at").alias("saved_at")
+        )
+        found = [r.b for r in last.select(self._bucket().alias("b")).distinct().collect()]
+        known = self._read("observations").where(
+            F.col("bucket").isin(found) & (F.col("rule_no") == 0) & (F.col("batch") < batch)
+        )
+        known = known.groupBy("project_id", "path").agg(F.max("saved_at").alias("known_at"))
+        newer = F.col("known_at").isNull() | (F.col("saved_at") >= F.col("known_at"))
+        return last.join(known, ["project_id", "path"], "left").where(newer).drop("known_at")
+
     def apply(self, saved: DataFrame, batch: int) -> None:
-        """T4 and T5: scan the saved files and score their projects again."""
+        """T4 and T5: scan the saved files and score their projects again. ``saved`` has
+        ``project_id, path, content`` and, if saves may come out of order, ``saved_at``."""
+        saved = saved.persist()
+        try:
+            self._apply(saved, batch)
+        finally:
+            saved.unpersist()
+
+    def _apply(self, saved: DataFrame, batch: int) -> None:
         if "saved_at" in saved.columns:
-            # Two sessions of one file may close in the same batch.
-            saved = saved.groupBy("project_id", "path").agg(
-                F.max_by("content", "saved_at").alias("content")
-            )
-        rows = observe(saved, self.registry, self.ignore_prefix)
+            saved = self._newest(saved, batch)
+            times = saved.select("project_id", "path", "saved_at")
+            rows = observe(saved.drop("saved_at"), self.registry, self.ignore_prefix)
+            rows = rows.join(times, ["project_id", "path"], "left")
+        else:
+            rows = observe(saved, self.registry, self.ignore_prefix)
+            rows = rows.withColumn("saved_at", F.lit(None).cast("timestamp"))
         self._write_observations(rows, batch)
         written = self._read("observations").where(F.col("batch") == batch)
         touched = written.select("project_id").distinct()
@@ -152,13 +178,15 @@ class IncrementalScan:
         self._write(self._summaries(self.observations(touched)), "projects", batch)
 
     def start(
-        self, saves: DataFrame, checkpoint: str, delay: str = "5 seconds", **trigger
+        self, saves: DataFrame, checkpoint: str, **trigger
     ) -> StreamingQuery:
         """Run on a stream of ``project_id, path, content, ts``. Micro-batches are serial by
-        nature (T3); a failing batch fails the query. ``trigger`` as for ``writeStream``."""
-        sessions = debounce(code_saves(saves).withWatermark("ts", delay))
+        nature (T3); a failing batch fails the query. ``trigger`` as for ``writeStream``; saves of a
+        file within one trigger count as one, the last. No save waits for a watermark and
+        none is dropped for being late."""
+        last = code_saves(saves).withColumnRenamed("ts", "saved_at")
         return (
-            sessions.writeStream.outputMode("append")
+            last.writeStream.outputMode("append")
             .foreachBatch(lambda rows, batch: self.apply(rows, batch))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"}))
@@ -170,5 +198,5 @@ class IncrementalScan:
         fresh = IncrementalScan(
             self.spark, path, self.registry, self.ignore_prefix, self.buckets
         )
-        fresh.seed(self.observations())
+        fresh.seed(self._latest(self._read("observations")).drop("batch", "bucket"))
         return fresh

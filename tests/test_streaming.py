@@ -77,13 +77,15 @@ def test_stream_equals_a_full_rescan(spark, tmp_path, make_files, seeded):
     checkpoint = str(tmp_path / "checkpoint")
     query = state.start(rows, checkpoint, availableNow=True)
     assert query.awaitTermination(120)
-    now = later(files, p_a="clean", p_b="x", q_c="try {} catch (e) {}")
+    now = later(files, p_a="clean", p_b="x", q_c="try {} catch (e) {}", p_z="")
     assert results(state) == full_scan(make_files, now)
-    # More saves, same checkpoint: the closing save of the first run is now old enough.
-    rows = stream(spark, tmp_path, [save("d.ts", "ok", 200), save("end.ts", "", 300)])
-    query = state.start(rows, checkpoint, availableNow=True)
+    # More saves, same checkpoint. One of a.ts is older than what is known, one of d.ts is the
+    # first of that file although other files were saved long after it.
+    late = [save("a.ts", "console.log(9)", 3), save("d.ts", "ok", 4), save("end.ts", "", 300)]
+    query = state.start(stream(spark, tmp_path, late), checkpoint, availableNow=True)
     assert query.awaitTermination(120)
-    assert results(state) == full_scan(make_files, later(now, p_z="", p_d="ok"))
+    assert results(state) == full_scan(make_files, later(now, p_d="ok", p_end=""))
+    assert results(state.compact(fresh_path(spark, "state"))) == results(state)
 
 
 def test_a_batch_may_be_applied_again(spark, make_files, seeded):

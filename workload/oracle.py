@@ -451,10 +451,10 @@ sessions AS (
 
 _CLOSED = "closes <= (SELECT max(ts) FROM code_saves) - INTERVAL 5 SECOND"
 
-_LIVE = f"""
+_LIVE = """
 live AS (
-  SELECT project_id, path, max_by(content, saved_at) AS content FROM sessions
-  WHERE {_CLOSED} GROUP BY project_id, path),
+  SELECT project_id, path, max_by(content, ts) AS content FROM code_saves
+  GROUP BY project_id, path),
 raw_files AS (
   SELECT project_id, path, content FROM doc_files
   UNION ALL SELECT project_id, path, content FROM root_files
@@ -850,7 +850,7 @@ ORACLES = {
     + f" SELECT project_id, path, content, saves FROM sessions WHERE {_CLOSED}",
     "stream_scores": "WITH "
     + ",".join(
-        (CORPUS, _SAVES, _sessions("1500 MILLISECOND"), _LIVE, MARKED, LINES, CONTEXT, FINDINGS, SCORES)
+        (CORPUS, _SAVES, _LIVE, MARKED, LINES, CONTEXT, FINDINGS, SCORES)
     )
     + """ SELECT project_id, score, deploy_status, total, files_scanned,
         CAST(coalesce(n_code_quality, 0) AS BIGINT) AS n_code_quality, framework
