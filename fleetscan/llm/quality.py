@@ -223,7 +223,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
 def train(docs: DataFrame, labels: DataFrame) -> Ensemble:
     held = fit_rows(docs, labels).toPandas()
     held = held.sort_values(["doc_id", "y", *[f"q_{k}" for k in STATISTICS]], kind="stable")
-    x = held[[f"q_{k}" for k in STATISTICS]].to_numpy(float).reshape(len(held), -1)
+    x = held[[f"q_{k}" for k in STATISTICS]].to_numpy(float)
     return fit(x, held["y"].to_numpy(float), STATISTICS)
 
 
