@@ -188,21 +188,27 @@ def _slots(sources: DataFrame) -> DataFrame:
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
     bits = max(int(total - 1).bit_length(), 1) if total else 1
     chunk = 1 << CHUNK_BITS
+    # the source's stretch of the line, in steps of a point; it has at least as many points as slots
+    step = f"* {1 << bits} + {max(total, 1) - 1}) div {max(total, 1)}"
+    start = F.expr(f"(cast(first_slot as decimal(38, 0)) {step}")
+    stop = F.expr(f"(cast(first_slot + slots as decimal(38, 0)) {step}")
     chunks = (
         sources.filter("slots > 0")
+        .withColumn("start", start)
+        .withColumn("points", stop - start)
         .withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {chunk}")))
+            "chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(points - 1) div {chunk}")))
         )
         .repartition(max(1, spark.sparkContext.defaultParallelism), "number", "chunk")
     )
     cell = F.explode(
         F.sequence(
             F.col("chunk") * chunk,
-            F.least(F.col("chunk") * chunk + chunk, F.col("slots")) - 1,
+            F.least(F.col("chunk") * chunk + chunk, F.col("points")) - 1,
         )
     )
-    # the first van der Corput point whose image falls into the slot's stretch of the line
-    point = F.expr(f"((first_slot + cell) * {1 << bits} + {max(total, 1) - 1}) div {max(total, 1)}")
+    # the van der Corput sequence takes point v at the turn whose bits are those of v reversed
+    point = F.col("start") + F.col("cell")
     turn = F.conv(F.reverse(F.lpad(F.bin(point), bits, "0")), 2, 10).cast("long")
     slots = (
         chunks.withColumn("cell", cell)
@@ -222,6 +228,7 @@ def _slots(sources: DataFrame) -> DataFrame:
         slots.withColumn("inner", F.row_number().over(within) - 1)
         .join(before, (F.col("number") == F.col("b_number")) & (F.col("part") == F.col("b_part")))
         .withColumn("rank", F.col("inner") + F.col("before"))
+        .filter(F.col("rank") < F.col("slots"))
         .withColumn("pass", F.floor(rank / F.col("blocks")))
         .withColumn("block", rank % F.col("blocks"))
         .select(

@@ -87,6 +87,9 @@ def test_trees_lose_no_pair(texts, seed):
     a, b = jaccard.linked_pairs(sets)
     want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if _linked(words[i], words[j])}
     assert set(zip(a.tolist(), b.tolist())) == want
+    bits, sizes = [jaccard.signature(s) for s in sets], np.array([len(s) for s in sets])
+    able = jaccard.possible_members(bits, sizes, None)
+    assert all(able[i] and able[j] for i, j in want)
     # linked sets share one of their first shingles, whatever shingles are common
     common = np.random.default_rng(seed).integers(0, 4, jaccard.COUNTERS)
     firsts = [set(jaccard.prefix(s, common).tolist()) for s in sets]
