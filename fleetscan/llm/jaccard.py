@@ -11,6 +11,7 @@ left is counted exactly. A group too large for a task is cut into parts, compare
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,16 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_to_batches, stored, summed_arrays
+from .common import column, column_of, rows_to_batches, stored, summed_arrays
 from .components import components, dealt, in_blocks, roots, tasks
 
 SHINGLE = 5
 #: Linked: PER_CENT * (size of the union) <= 100 * (size of the intersection).
 PER_CENT = 75
-#: Counters by which common shingles are told from rare ones, whatever the size of the corpus.
-COUNTERS = 1 << 20
-#: A counter is common beyond this multiple of the mean and this number.
-COMMON_TIMES, COMMON_LEAST = 4, 32
+#: Counters of shingles, by a part of the hash, whatever the size of the corpus: they give the order
+#: from rare to common, which need not be exact.
+COUNTERS = 1 << 21
 #: Bits by which texts that are in no group are left out before the texts are dealt out.
 CANDIDATE_BITS = 1 << 23
 BLOCK = 512
@@ -97,14 +97,13 @@ def set_digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones first: so many that any linked set has one of them
-    among its own first ones."""
+def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of ``levels`` (how common a counter's shingles are)
+    and then of hashes: so many that any linked set has one of them among its own first ones."""
     n = len(s)
     keep = n - -(-PER_CENT * n // 100) + 1 if n else 0
-    often = common[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    rare = s[~often]
-    return rare[:keep] if len(rare) >= keep else np.concatenate((rare, s[often][: keep - len(rare)]))
+    order = np.argsort(levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+    return s[order[:keep]]
 
 
 # -- signature trees
@@ -126,11 +125,49 @@ def set_bitmaps(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarr
     out = np.zeros((len(sets), bits), bool)
     for row, s in zip(out, sets):
         row[(s >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
-    words = np.packbits(out, axis=1).view(np.uint64)
+    words = np.packbits(out, axis=1, bitorder="little").view(np.uint64)
     lost = np.array([len(s) for s in sets]) - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
     return words, lost
 
 
+def signature_bits(n: int) -> int:
+    """Two to four bits for each shingle, a power of two."""
+    return 1 << min(16, max(6, (2 * n - 1).bit_length()))
+
+
+def signature(s: np.ndarray) -> bytes:
+    """The bitmap of one set, as wide as its size asks for."""
+    return set_bitmaps([s], signature_bits(len(s)))[0].tobytes() if len(s) else b""
+
+
+def folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmaps of at most twice ``bits`` bits as ones of ``bits`` bits."""
+    n = bits // 64
+    return words[:, :n] | words[:, n:] if words.shape[1] > n else words
+
+
+def possible_members(signatures: list[bytes], sizes: np.ndarray, part: np.ndarray | None) -> np.ndarray:
+    """Which sets may be linked with another, by dual walks over signatures alone. Linked sets
+    have signatures of equal or neighbouring widths, so each width is walked with the next."""
+    width = np.array([8 * len(x) for x in signatures])
+    out = np.zeros(len(sizes), bool)
+    for bits in np.unique(width):
+        own = np.flatnonzero((width == bits) | (width == 2 * bits))
+        if len(own) < 2:
+            continue
+        own = own[np.argsort(sizes[own], kind="stable")]
+        words = np.concatenate(
+            [folded(np.frombuffer(signatures[i], np.uint64)[None, :], int(bits)) for i in own]
+        )
+        lost = sizes[own] - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        a, b = candidate_pairs(build(words, sizes[own], lost))
+        if part is not None:
+            across = part[own[a]] != part[own[b]]
+            a, b = a[across], b[across]
+        out[own[a]] = out[own[b]] = True
+    return out
+
+
 def _merged(x: np.ndarray, fan: int, how) -> np.ndarray:
     return how.reduceat(x, np.arange(0, len(x), fan), axis=0)
 
@@ -237,6 +274,7 @@ def _signatures(sets, sizes, bits):
 
 # -- the operator
 
+#: Rows of kind 0: a document's set, its size n, digest and signature; of kind 1: counters.
 SET = "kind int, doc_id long, n long, node long, key string, data binary"
 SET_ARROW = pa.schema(
     [
@@ -254,11 +292,11 @@ CHUNK = 1 << 14
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """Of each document its set's size and digest (kind 0), and of each task the counters of
-    all its shingles in chunks (kind 1)."""
+    """Of each document its set's size, digest and signature (kind 0), and of each task the
+    counters of all its shingles in chunks (kind 1)."""
 
     def run(batches):
-        counters, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
+        counters, waiting, held = np.zeros(COUNTERS, np.float32), [], 0
 
         def count():
             if waiting:
@@ -278,31 +316,34 @@ def _sets(texts: DataFrame) -> DataFrame:
                     if held > 1 << 21:
                         count()
                         held = 0
-                    yield 0, (0, doc, len(s), set_digest(s), None, None)
+                    bits = signature(s)
+                    yield len(bits), (0, doc, len(s), set_digest(s), None, bits)
             count()
             for k in range(0, COUNTERS, CHUNK):
                 if counters[k : k + CHUNK].any():
-                    yield 8 * CHUNK, (1, None, None, None, str(k), counters[k : k + CHUNK].tobytes())
+                    yield 4 * CHUNK, (1, None, None, None, str(k), counters[k : k + CHUNK].tobytes())
 
         yield from rows_to_batches(rows(), SET_ARROW)
 
     return texts.mapInArrow(run, SET)
 
 
-def _common(counters: DataFrame) -> np.ndarray:
-    total = np.zeros(COUNTERS, np.int64)
-    for r in summed_arrays(counters.select("key", "data"), "int64").collect():
-        part = np.frombuffer(r["data"], np.int64)
+def _levels(counters: DataFrame) -> np.ndarray:
+    """How common each counter's shingles are, from 0 to 255: sixteen levels for each doubling."""
+    total = np.zeros(COUNTERS)
+    for r in summed_arrays(counters.select("key", "data"), "float32").collect():
+        part = np.frombuffer(r["data"], np.float32)
         total[int(r["key"]) : int(r["key"]) + len(part)] = part
-    return total > max(COMMON_LEAST, COMMON_TIMES * total.mean())
+    top = max(np.log2(1 + total.max()), 16.0)
+    return np.floor(255 * np.log2(1 + total) / top).astype(np.uint8)
 
 
-def _first_shingles(texts: DataFrame, common: np.ndarray) -> DataFrame:
+def _first_shingles(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """(node, keys) of each set; a task gives a set it sees again only now and then."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(common))
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        often, seen = np.unpackbits(shared.value).astype(bool), set()
+        seen = set()
         for batch in batches:
             nodes, keys = [], []
             for text in column(batch, "text"):
@@ -313,7 +354,7 @@ def _first_shingles(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen.add(node)
                 nodes.append(node)
-                keys.append(prefix(s, often).view(np.int64))
+                keys.append(prefix(s, shared.value).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"]
             )
@@ -341,8 +382,8 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def _only_candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose doc_id may be among ``ids``, by a bitmap of a fixed size; what
-    it lets through besides falls out in the join that follows."""
+    """(t_id, packed): the compressed texts of rows whose doc_id may be among ``ids``, by a bitmap of
+    a fixed size; what it lets through besides falls out in the join that follows."""
 
     def bits(batches):
         held = np.zeros(CANDIDATE_BITS, bool)
@@ -362,10 +403,38 @@ def _only_candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
     def keep(batches):
         held = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(0).to_numpy()
-            yield batch.filter(pa.array(held[_spread(ids)]))
+            found = batch.filter(pa.array(held[_spread(column_of(batch, "doc_id").to_numpy())]))
+            packed = [zlib.compress(t.encode("utf-8"), 1) for t in column(found, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [column_of(found, "doc_id"), pa.array(packed, pa.binary())], ["t_id", "packed"]
+            )
+
+    return texts.filter("doc_id is not null and text is not null").mapInArrow(
+        keep, "t_id long, packed binary"
+    )
+
+
+def _able(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``groups`` (node, block) whose set may be linked with another of its block. Only
+    signatures are dealt out for it, a small part of the texts."""
+    named = classes.select(F.col("node").alias("c_node"), "n", "bits")
+    members = in_blocks(groups, "block", "node", BLOCK).join(named, F.col("node") == F.col("c_node"))
 
-    return texts.filter("doc_id is not null").mapInArrow(keep, "doc_id long, text string")
+    def walk(batches):
+        for table in tasks(batches, "block"):
+            if table.num_rows < 2:
+                continue
+            part = None
+            if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+                part = table.column("part").to_numpy()
+            sizes = table.column("n").to_numpy()
+            good = possible_members(table.column("bits").to_pylist(), sizes, part)
+            if good.any():
+                found = table.select(["node", "block"]).filter(pa.array(good)).combine_chunks()
+                yield from found.to_batches()
+
+    rows = dealt(members.drop("c_node"), "block")
+    return rows.mapInArrow(walk, "node long, block long").distinct()
 
 
 def links(texts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -379,18 +448,16 @@ def links(texts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
         ),
         "candidates",
     )
-    found = _only_candidates(texts, chosen.select("first_id")).withColumnRenamed("doc_id", "t_id")
-    members = (
-        chosen.join(found, F.col("first_id") == F.col("t_id"))
-        .select("node", "copies", "blocks", "text")
-        .withColumn("block", F.explode("blocks"))
-    )
+    # texts are dealt out once to meet their rows, and once to the tasks
+    members = in_blocks(chosen.withColumn("block", F.explode("blocks")), "block", "node", BLOCK)
+    found = _only_candidates(texts, chosen.select("first_id"))
+    placed = members.join(found, F.col("first_id") == F.col("t_id")).drop("first_id", "t_id")
 
     def verify(batches):
         for table in tasks(batches, "block"):
             block, lo, hi = (table.column(n)[0].as_py() for n in ("block", "lo", "hi"))
             node = table.column("node").to_numpy()
-            sets = [shingles(t) for t in table.column("text").to_pylist()]
+            sets = [shingles(zlib.decompress(t).decode("utf-8")) for t in table.column("packed").to_pylist()]
             same = np.array([set_digest(s) for s in sets]) == node  # else another row of that id
             _, first = np.unique(node[same], return_index=True)
             keep = np.flatnonzero(same)[first]
@@ -419,7 +486,7 @@ def links(texts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
                 schema=LINK_ARROW,
             )
 
-    return dealt(in_blocks(members, "block", "node", BLOCK), "block").mapInArrow(verify, LINK)
+    return dealt(placed, "block").mapInArrow(verify, LINK)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -433,19 +500,25 @@ def join(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     first = stored(_sets(texts), "sets")
-    sets = first.filter("kind = 0").select("doc_id", "n", "node")
+    sets = first.filter("kind = 0").select("doc_id", "n", "node", F.col("data").alias("bits"))
     able = sets.filter("n > 0 and doc_id is not null")
     classes = stored(
-        able.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")),
+        able.groupBy("node").agg(
+            F.min("doc_id").alias("first_id"),
+            F.count(F.lit(1)).alias("copies"),
+            F.first("n").alias("n"),
+            F.first("bits").alias("bits"),
+        ),
         "classes",
     )
-    common = _common(first.filter("kind = 1"))
-    groups = stored(_groups(_first_shingles(texts.filter("doc_id is not null"), common)), "groups")
-    found = stored(links(texts, classes, groups), "links")
+    levels = _levels(first.filter("kind = 1"))
+    groups = stored(_groups(_first_shingles(texts.filter("doc_id is not null"), levels)), "groups")
+    likely = stored(_able(groups, classes), "likely")
+    found = stored(links(texts, classes.drop("n", "bits"), likely), "links")
     counts = found.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     reach = components(edges).withColumnRenamed("node", "g_node")
-    joined = classes.join(reach, F.col("node") == F.col("g_node"), "left")
+    joined = classes.drop("n", "bits").join(reach, F.col("node") == F.col("g_node"), "left")
     group_first = (
         joined.filter("component is not null")
         .groupBy(F.col("component").alias("f_component"))
