@@ -251,5 +251,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) whose score is at least the threshold."""
-    return score_rows(docs, train(docs, labels)).filter(F.col("score") >= THRESHOLD).select("row.*")
+    """The rows of ``docs`` (doc_id, text and any others) whose score is at least the threshold.
+
+    The row number keeps the optimizer from moving the filter below the statistics, where it would
+    spell out each of them once for every rule that tests it.
+    """
+    rows = score_rows(docs, train(docs, labels)).withColumn("q_n", F.monotonically_increasing_id())
+    return rows.filter((F.col("score") >= THRESHOLD) & (F.col("q_n") >= 0)).select("row.*")
