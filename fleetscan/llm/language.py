@@ -315,7 +315,7 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 #: A text is kept if this share of its letters is in spans of one language.
-KEPT_SHARE = 0.5
+KEPT_SHARE = 0.3
 
 
 def filtered(docs: DataFrame) -> DataFrame:
