@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_to_batches, summed_arrays
+from .common import column, rows_to_batches, stored, summed_arrays
 
 #: Tokens: 0 stands beyond a document's ends, then the most frequent words, then buckets of the
 #: other words by their endings. The two-level softmax has CLASSES classes of as many tokens.
@@ -211,16 +211,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame) -> Vocabulary:
     """The most frequent words, ties by word; their number bounds what comes to the driver."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     return Vocabulary({r["word"]: k + 1 for k, r in enumerate(top)})
 
 
-def _gather(docs: DataFrame, run) -> dict[str, np.ndarray]:
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "key string, data binary"
-    )
+def _gather(rows: DataFrame, run) -> dict[str, np.ndarray]:
+    parts = rows.mapInArrow(run, "key string, data binary")
     return {r["key"]: np.frombuffer(r["data"], np.float64) for r in summed_arrays(parts, "float64").collect()}
 
 
@@ -240,17 +238,19 @@ def train(docs: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     """Vocabulary and parameters, learned from all texts of ``docs``. The driver gets one set of
     summed parameters for each round, whatever the number of tasks."""
     spark = docs.sparkSession
-    words = vocabulary(docs)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counts = stored(word_counts(docs), "words")
+    words = vocabulary(counts)
     shared = spark.sparkContext.broadcast(dict(words))
 
     def count(batches):
         known, total = Vocabulary(shared.value), np.zeros(VOCABULARY)
         for batch in batches:
-            for text in column(batch, "text"):
-                total += np.bincount(tokens(text, known), minlength=VOCABULARY)
+            own = [known[w] for w in column(batch, "word")]
+            total += np.bincount(own, column(batch, "n"), VOCABULARY)
         yield from _chunks(total)
 
-    p = starting_parameters(_whole(_gather(docs, count), VOCABULARY))
+    p = starting_parameters(_whole(_gather(counts, count), VOCABULARY))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(p)
 
@@ -264,7 +264,7 @@ def train(docs: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray]]:
                 yield from _chunks(np.append(flat(trainer.p), 1.0) * trainer.tokens)
 
         n = len(flat(p))
-        total = _whole(_gather(docs, learn), n + 1)
+        total = _whole(_gather(texts, learn), n + 1)
         if total[-1]:
             p = unflat(total[:-1] / total[-1])
     return words, p
