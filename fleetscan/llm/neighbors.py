@@ -3,6 +3,10 @@
 A vector is described by its nearest reference points (pivots), nearest first. Inverted lists hold
 the vectors that have two pivots in common; within a list, pairs that share enough pivots are
 verified by their cosine in double precision. Equal vectors are one entry of the index.
+
+Pivots are thinned out, so a dense region has few of them. Where one stands for several sampled
+vectors, the region is crowded: the vectors around it are at home there, and every vector that may
+link with one of them is in the list of that home. No link with a vector at home is missed.
 """
 
 from __future__ import annotations
@@ -23,18 +27,23 @@ NEAREST = 6
 LEAST_SHARED = 2
 #: Pivots are a sample of at most so many vectors: those with the smallest hashes.
 MOST_PIVOTS = 8192
+#: No two sampled pivots are nearer than this cosine.
+THIN = 0.9
 LEAST_PIVOTS = 32
 #: Members compared in one task.
 BLOCK = 1024
+#: Vectors described at once.
+ROWS = 1024
 SEED = 5
 
-ENTRY = "node long, copies long, dim int, pivots array<int>, unit binary, keys array<long>"
+ENTRY = "node long, copies long, dim int, pivots array<int>, home int, unit binary, keys array<long>"
 ENTRY_ARROW = pa.schema(
     [
         ("node", pa.int64()),
         ("copies", pa.int64()),
         ("dim", pa.int32()),
         ("pivots", pa.list_(pa.int32())),
+        ("home", pa.int32()),
         ("unit", pa.binary()),
         ("keys", pa.list_(pa.int64())),
     ]
@@ -55,11 +64,29 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pivots_of(sample: dict[int, np.ndarray], dim: int) -> np.ndarray:
-    """The sampled pivots of a dimension; for one without any, random directions."""
+def thinned(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows stay when those near an earlier one that stays go, and which of the staying ones
+    are crowded: some row went for them."""
+    stay, crowded = np.zeros(len(units), bool), np.zeros(len(units), bool)
+    for a in range(0, len(units), ROWS):
+        part = units[a : a + ROWS]
+        earlier = np.flatnonzero(stay)
+        near = part @ np.concatenate((units[earlier], part)).T >= THIN
+        at = np.concatenate((earlier, np.arange(a, a + len(part))))
+        for k in range(len(part)):
+            found = at[np.flatnonzero(near[k, : len(earlier) + k])]
+            found = found[stay[found]]
+            stay[a + k] = not len(found)
+            crowded[found[:1]] = True
+    return np.flatnonzero(stay), crowded[stay]
+
+
+def _pivots_of(sample: dict[int, tuple], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled pivots of a dimension and which are crowded; for one without any, random
+    directions."""
     if dim not in sample:
         random = np.random.default_rng(SEED + dim).standard_normal((LEAST_PIVOTS, dim))
-        sample[dim] = _unit(random)
+        sample[dim] = _unit(random), np.zeros(LEAST_PIVOTS, bool)
     return sample[dim]
 
 
@@ -79,6 +106,36 @@ def list_keys(pivots: np.ndarray, dim: int) -> np.ndarray:
     return (np.int64(dim) << 40) | (s[:, a] << 20) | s[:, b]
 
 
+def home_keys(places: np.ndarray, dim: int) -> np.ndarray:
+    """The lists of homes: a key that names one pivot twice."""
+    s = places.astype(np.int64)
+    return (np.int64(dim) << 40) | (s << 20) | s
+
+
+def home_lists(units: np.ndarray, pivots: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, list]:
+    """The home of each row (a crowded pivot, or -1), and the crowded pivots in whose lists it is.
+
+    A row is at home with its nearest crowded pivot unless that is far. If u is at home with p, and
+    q is the nearest crowded pivot of v, the way from u to v crosses the plane between p and q; so
+    v can link with u only if it is no further from that plane than a link is long. Of two
+    homes the smaller number has the pair."""
+    places = np.flatnonzero(crowded)
+    if not len(places):
+        return np.full(len(units), -1, np.int32), [places] * len(units)
+    link, slack = math.acos(COSINE), 1e-9
+    far = math.acos(THIN) + link
+    near = units @ pivots[places].T
+    first = near.argmax(axis=1)
+    most = near[np.arange(len(units)), first]
+    homed = most >= math.cos(far)
+    apart = np.sqrt(np.maximum(2 - 2 * pivots[places[first]] @ pivots[places].T, 0))
+    inside = most[:, None] - near <= (math.sin(link) + slack) * apart + slack
+    inside &= near >= math.cos(far + link) - slack
+    inside &= ~homed[:, None] | (np.arange(len(places)) <= first[:, None])
+    home = np.where(homed, places[first], -1).astype(np.int32)
+    return home, [places[row] for row in inside]
+
+
 def index(classes: DataFrame) -> DataFrame:
     """The stored index of ``classes`` (node, embedding, copies)."""
     spark = classes.sparkSession
@@ -88,7 +145,12 @@ def index(classes: DataFrame) -> DataFrame:
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r[0]), []).append(r[0])
-    shared = spark.sparkContext.broadcast({d: _unit(v) for d, v in by_dim.items()})
+    sample = {}
+    for dim, held in by_dim.items():
+        units = _unit(held)
+        stay, crowded = thinned(units)
+        sample[dim] = units[stay], crowded
+    shared = spark.sparkContext.broadcast(sample)
 
     def entries(batches):
         sample = dict(shared.value)
@@ -97,21 +159,29 @@ def index(classes: DataFrame) -> DataFrame:
             vectors = column(batch, "embedding")
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                units = _unit([vectors[i] for i in own])
-                pivots = describe(units, _pivots_of(sample, int(dim)))
-                keys = list_keys(pivots, int(dim))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([node[i] for i in own], pa.int64()),
-                        pa.array([copies[i] for i in own], pa.int64()),
-                        pa.array(np.full(len(own), dim, np.int32)),
-                        pa.array(list(pivots), pa.list_(pa.int32())),
-                        pa.array([u.tobytes() for u in units], pa.binary()),
-                        pa.array(list(keys), pa.list_(pa.int64())),
-                    ],
-                    schema=ENTRY_ARROW,
-                )
+                every = np.flatnonzero(dims == dim)
+                for own in np.split(every, range(ROWS, len(every), ROWS)):
+                    units = _unit([vectors[i] for i in own])
+                    known, crowded = _pivots_of(sample, int(dim))
+                    pivots = describe(units, known)
+                    home, lists = home_lists(units, known, crowded)
+                    pairs = list_keys(pivots, int(dim))
+                    keys = [
+                        np.append(home_keys(places, int(dim)), pair if h < 0 else pair[:0])
+                        for h, places, pair in zip(home, lists, pairs)
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([node[i] for i in own], pa.int64()),
+                            pa.array([copies[i] for i in own], pa.int64()),
+                            pa.array(np.full(len(own), dim, np.int32)),
+                            pa.array(list(pivots), pa.list_(pa.int32())),
+                            pa.array(home),
+                            pa.array([u.tobytes() for u in units], pa.binary()),
+                            pa.array(keys, pa.list_(pa.int64())),
+                        ],
+                        schema=ENTRY_ARROW,
+                    )
 
     return stored(classes.select("node", "copies", "embedding").mapInArrow(entries, ENTRY), "index")
 
@@ -132,11 +202,19 @@ def compare(
     return linked, linked & ~(earlier @ earlier.T > 0)
 
 
+def compare_at_home(home: np.ndarray, units: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs of a home's list are links: those with a vector that is at home there."""
+    own = home == (key & 0xFFFFF)
+    linked = (units @ units.T >= COSINE) & (own[:, None] | own[None, :])
+    np.fill_diagonal(linked, False)
+    return linked
+
+
 def links(entries: DataFrame) -> DataFrame:
     """(node, root, links) from the index: for each list, each linked member with the first
     member of its component there, and the vectors linked to it that count there."""
     members = entries.withColumn("key", F.explode("keys")).select(
-        "key", "node", "copies", "pivots", "unit"
+        "key", "node", "copies", "pivots", "home", "unit"
     )
 
     def verify(batches):
@@ -144,8 +222,12 @@ def links(entries: DataFrame) -> DataFrame:
             key, lo, hi = (table.column(n)[0].as_py() for n in ("key", "lo", "hi"))
             units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64)
             units = units.reshape(table.num_rows, -1)
-            pivots = np.array(table.column("pivots").to_pylist())
-            linked, counted = compare(pivots, units, key)
+            if (key >> 20) & 0xFFFFF == key & 0xFFFFF:
+                linked = compare_at_home(table.column("home").to_numpy(), units, key)
+                counted = linked.copy()
+            else:
+                pivots = np.array(table.column("pivots").to_pylist())
+                linked, counted = compare(pivots, units, key)
             if lo != hi:
                 part = table.column("part").to_numpy()
                 across = part[:, None] != part[None, :]

@@ -75,3 +75,29 @@ def test_recall_at_the_threshold():
     a, b = (neighbors.describe(v, pivots) for v in (base, near))
     shared = np.array([len(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())])
     assert (shared >= neighbors.LEAST_SHARED).mean() >= 0.98
+
+
+@pytest.mark.parametrize("block", [100, 1024])
+def test_near_copies_of_one_vector_in_a_third_of_the_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    units = neighbors._unit(rng.standard_normal((900, 64)))
+    units[:300] = math.sqrt(0.955) * units[300] + math.sqrt(0.045) * units[:300]
+    rows = [(k, v.tolist()) for k, v in enumerate(units)]
+    rows += [(1000 + k, (v + rng.normal(0, 0.01, 64)).tolist()) for k, v in enumerate(units[400:440])]
+    assert _found(spark, rows) == _brute(rows)
+
+
+def test_lists_of_homes_hold_every_link_of_a_vector_at_home():
+    rng = np.random.default_rng(3)
+    dense = rng.standard_normal((40, 8))
+    x = neighbors._unit(np.repeat(dense, 50, axis=0) + rng.normal(0, 0.25, (2000, 8)))
+    stay, crowded = neighbors.thinned(x[::20])
+    pivots = x[::20][stay]
+    home, lists = neighbors.home_lists(x, pivots, crowded)
+    a, b = np.nonzero(np.triu(x @ x.T >= neighbors.COSINE, 1))
+    some = (home[a] >= 0) | (home[b] >= 0)
+    assert len(set(home)) > 10 and some.sum() > 1000
+    for i, j in zip(a[some], b[some]):
+        both = np.intersect1d(lists[i], lists[j])
+        assert np.isin(both, (home[i], home[j])).sum() == 1  # compared, and in one list only
