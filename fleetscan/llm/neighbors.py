@@ -82,12 +82,15 @@ def thinned(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pivots_of(sample: dict[int, tuple], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sampled pivots of a dimension and which are crowded; for one without any, random
-    directions."""
-    if dim not in sample:
-        random = np.random.default_rng(SEED + dim).standard_normal((LEAST_PIVOTS, dim))
-        sample[dim] = _unit(random), np.zeros(LEAST_PIVOTS, bool)
-    return sample[dim]
+    """The sampled pivots of a dimension and which are crowded; where they are fewer than
+    LEAST_PIVOTS, random directions make up the number."""
+    pivots, crowded = sample.get(dim, (np.zeros((0, dim)), np.zeros(0, bool)))
+    if len(pivots) < LEAST_PIVOTS:
+        random = np.random.default_rng(SEED + dim).standard_normal((LEAST_PIVOTS - len(pivots), dim))
+        pivots = np.concatenate((pivots, _unit(random)))
+        crowded = np.append(crowded, np.zeros(len(random), bool))
+        sample[dim] = pivots, crowded
+    return pivots, crowded
 
 
 def describe(units: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:

@@ -101,3 +101,11 @@ def test_lists_of_homes_hold_every_link_of_a_vector_at_home():
     for i, j in zip(a[some], b[some]):
         both = np.intersect1d(lists[i], lists[j])
         assert np.isin(both, (home[i], home[j])).sum() == 1  # compared, and in one list only
+
+
+def test_a_length_with_one_sampled_pivot(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "MOST_PIVOTS", 1)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, 20))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate((base, base + 0.01)))]
+    assert _found(spark, rows) == _brute(rows)
