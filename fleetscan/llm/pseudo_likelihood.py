@@ -3,7 +3,8 @@
 A small network predicts each token from a window on both of its sides, never from itself. It is
 trained in numpy inside Spark tasks: every task starts from the same parameters, steps through the
 masked positions of its documents, and the parameters are averaged by tokens seen, round
-by round. A document's score is the sum of its tokens' conditional log-probabilities.
+by round. A document's score is the sum of its words' conditional log-probabilities: the network's
+for the token, and for words that share a token (a bucket) the word's share in its bucket.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, rows_to_batches, stored, summed_arrays
@@ -32,6 +33,8 @@ BATCH = 1024
 RATE = 0.1
 #: Tokens scored at once.
 BLOCK = 1 << 16
+#: What a word that was never counted counts as in its bucket.
+UNSEEN = 0.5
 #: Words remembered by a task besides the vocabulary.
 REMEMBERED = 500_000
 SEED = 11
@@ -234,12 +237,13 @@ def _whole(found: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary and parameters, learned from all texts of ``docs``. The driver gets one set of
-    summed parameters for each round, whatever the number of tasks."""
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """Vocabulary and parameters, learned from all texts of ``docs`` (``counts``: their stored word
+    counts). The driver gets one set of summed parameters for each round, whatever the number of
+    tasks."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = stored(word_counts(docs), "words")
+    counts = stored(word_counts(docs), "words") if counts is None else counts
     words = vocabulary(counts)
     shared = spark.sparkContext.broadcast(dict(words))
 
@@ -270,17 +274,6 @@ def train(docs: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     return words, p
 
 
-RESULT = "doc_id long, n_tokens long, pseudo_log_likelihood double, per_token double"
-RESULT_ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_tokens", pa.int64()),
-        ("pseudo_log_likelihood", pa.float64()),
-        ("per_token", pa.float64()),
-    ]
-)
-
-
 def score_texts(texts: list, words: Vocabulary, p: dict) -> list[tuple[int, float]]:
     """(tokens, summed log-probability) of each text. Texts are scored in runs of tokens with
     the outside token between them; a text of any length is cut into overlapping runs."""
@@ -296,12 +289,49 @@ def score_texts(texts: list, words: Vocabulary, p: dict) -> list[tuple[int, floa
     return [(int(n), float(logs[s : s + n].sum())) for s, n in zip(starts, sizes)]
 
 
-def scored(docs: DataFrame, words: Vocabulary, p: dict) -> DataFrame:
+SCORED = "row long, doc_id long, n_tokens long, total double, word string, rows array<long>"
+SCORED_ARROW = pa.schema(
+    [
+        ("row", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("total", pa.float64()),
+        ("word", pa.string()),
+        ("rows", pa.list_(pa.int64())),
+    ]
+)
+
+
+def bucket_words(rows: list[int], texts: list, words: Vocabulary) -> dict[str, list[int]]:
+    """The words of the texts that stand for no token of their own, with the row of each place."""
+    found: dict[str, list[int]] = {}
+    for row, text in zip(rows, texts):
+        for w in text.lower().split() if text else ():
+            if words[w] > WORDS:
+                found.setdefault(w, []).append(row)
+    return found
+
+
+def bucket_shares(counts: DataFrame, words: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """(word, n) of the words outside the vocabulary, and (bucket, bucket_n): the sums of n."""
+    spark = counts.sparkSession
+    own = [(w,) for w, k in words.items() if k <= WORDS]
+    rare = counts.join(F.broadcast(spark.createDataFrame(own, "word string")), "word", "left_anti")
+    sums = rare.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.sum("n").alias("bucket_n"))
+    return rare.select(F.col("word").alias("c_word"), "n"), sums
+
+
+def _bucket(word: Column) -> Column:
+    return F.crc32(F.encode(F.right(word, F.lit(2)), "UTF-8")) % BUCKETS
+
+
+def scored(docs: DataFrame, words: Vocabulary, p: dict, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood and per_token of every row of ``docs`` (doc_id, text;
-    other columns are not looked at).
+    other columns are not looked at). ``counts`` are those of :func:`word_counts`.
 
     A text that is null or has no words has no tokens, a sum of 0 and a null mean. Rows that
-    repeat are scored alike. An empty table gives an empty result.
+    repeat are scored alike. An empty table gives an empty result. A run of texts names each word
+    once, with all its places, so a frequent word is a row for each run in the join with the counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast((dict(words), p))
 
@@ -310,21 +340,50 @@ def scored(docs: DataFrame, words: Vocabulary, p: dict) -> DataFrame:
 
         def rows():
             for batch in batches:
-                ids, texts = column(batch, "doc_id"), column(batch, "text")
+                places, ids, texts = (column(batch, c) for c in ("row", "doc_id", "text"))
                 held, size = 0, 0
                 for k, text in enumerate(texts):
                     size += len(text) if text else 0
                     if size >= 1 << 22 or k == len(texts) - 1:
-                        found = score_texts(texts[held : k + 1], known, parameters)
-                        for doc, (n, total) in zip(ids[held : k + 1], found):
-                            yield 0, (doc, n, total, total / n if n else None)
+                        part = slice(held, k + 1)
+                        found = score_texts(texts[part], known, parameters)
+                        for row, doc, (n, total) in zip(places[part], ids[part], found):
+                            yield 0, (row, doc, n, total, None, None)
+                        for word, at in bucket_words(places[part], texts[part], known).items():
+                            yield len(word) + 8 * len(at), (None, None, None, None, word, at)
                         held, size = k + 1, 0
 
-        yield from rows_to_batches(rows(), RESULT_ARROW)
+        yield from rows_to_batches(rows(), SCORED_ARROW)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text")
+    )
+    both = stored(texts.mapInArrow(run, SCORED), "scored")
+    rare, sums = bucket_shares(counts, words)
+    share = F.log(F.coalesce("n", F.lit(UNSEEN)) / (F.coalesce("bucket_n", F.lit(0)) + UNSEEN))
+    inside = (
+        both.filter("word is not null")
+        .select("word", "rows")
+        .join(rare, F.col("word") == F.col("c_word"), "left")
+        .join(F.broadcast(sums), _bucket(F.col("word")) == F.col("bucket"), "left")
+        .select(F.explode("rows").alias("i_row"), share.alias("share"))
+        .groupBy("i_row")
+        .agg(F.sum("share").alias("inside"))
+    )
+    total = F.col("total") + F.coalesce("inside", F.lit(0.0))
+    return (
+        both.filter("row is not null")
+        .join(inside, F.col("row") == F.col("i_row"), "left")
+        .select(
+            "doc_id",
+            "n_tokens",
+            total.alias("pseudo_log_likelihood"),
+            F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"),
+        )
+    )
 
 
 def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     """Every document scored by a network trained on all of them."""
-    return scored(docs, *train(docs))
+    counts = stored(word_counts(docs), "words")
+    return scored(docs, *train(docs, counts), counts)

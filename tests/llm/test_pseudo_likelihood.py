@@ -96,3 +96,26 @@ def test_odd_documents(spark, odd_docs, odd_texts, no_docs):
     same = {r.pseudo_log_likelihood for r in rows if r.doc_id in (6, 7, 8, None)}
     assert max(same) - min(same) < 1e-3
     assert pl.pseudo_likelihoods(no_docs).count() == 0
+
+
+def test_every_word_counts(spark):
+    texts = ["the cat sat on the mat", "the flat cat", "the zat", None, "the the the the cat cat sat sat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = pl.word_counts(docs)
+    words = pl.Vocabulary({"the": 1, "cat": 2, "sat": 3})
+    p = pl.starting_parameters(np.ones(pl.VOCABULARY))
+    more = docs.union(spark.createDataFrame([(5, "the xyzat"), (6, "the mat")], docs.schema))
+    got = {r.doc_id: r for r in pl.scored(more, words, p, counts).collect()}
+    own = {"on": 1, "mat": 1, "flat": 1, "zat": 1}
+    sums = {}
+    for w, n in own.items():
+        sums[w[-2:]] = sums.get(w[-2:], 0) + n
+    rows = [(r.doc_id, r.text) for r in more.collect()]
+    for (doc, text), (n, total) in zip(rows, pl.score_texts([t for _, t in rows], words, p)):
+        inside = sum(
+            np.log(own.get(w, pl.UNSEEN) / (sums[w[-2:]] + pl.UNSEEN))
+            for w in (text or "").split() if w not in ("the", "cat", "sat")
+        )
+        assert got[doc].n_tokens == n and abs(got[doc].pseudo_log_likelihood - total - inside) < 1e-6
+        assert got[doc].per_token is None if n == 0 else abs(got[doc].per_token - (total + inside) / n) < 1e-6
+    assert got[6].per_token > got[5].per_token  # a word that was never seen is less likely
