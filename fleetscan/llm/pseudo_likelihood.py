@@ -27,8 +27,8 @@ WORDS = VOCABULARY - BUCKETS - 1
 WINDOW = (-2, -1, 1, 2)
 REACH = 2
 HIDDEN = 24
-#: In each round one position in MASK is predicted, another one each round.
-ROUNDS, MASK = 2, 10
+#: In each round one position in MASK is predicted, another one each round: all of them in all.
+ROUNDS = MASK = 2
 BATCH = 1024
 RATE = 0.1
 #: Tokens scored at once.
@@ -174,7 +174,7 @@ class Trainer:
         """Take one position in MASK of a document's tokens; which one follows from the tokens."""
         if not len(own):
             return
-        first = (int(own[: 2 * REACH].sum()) + turn * (MASK // 2 + 1)) % MASK
+        first = (int(own[: 2 * REACH].sum()) + turn) % MASK
         at = np.arange(first if first < len(own) else len(own) // 2, len(own), MASK)
         padded = np.concatenate((np.zeros(REACH, np.int64), own, np.zeros(REACH, np.int64)))
         self.waiting.append(np.stack([padded[at + REACH + d] for d in (*WINDOW, 0)]))

@@ -119,3 +119,16 @@ def test_every_word_counts(spark):
         assert got[doc].n_tokens == n and abs(got[doc].pseudo_log_likelihood - total - inside) < 1e-6
         assert got[doc].per_token is None if n == 0 else abs(got[doc].per_token - (total + inside) / n) < 1e-6
     assert got[6].per_token > got[5].per_token  # a word that was never seen is less likely
+
+
+def test_every_position_is_a_target_in_some_round(monkeypatch):
+    monkeypatch.setattr(pl, "BATCH", 10**9)
+    _, p = _model()
+    for n in (1, 2, 3, 10, 37):
+        own = np.arange(1, n + 1)
+        seen = set()
+        for turn in range(pl.ROUNDS):
+            trainer = pl.Trainer(p)
+            trainer.add(own, turn)
+            seen |= set(trainer.waiting[0][-1].tolist())
+        assert seen == set(own.tolist())
