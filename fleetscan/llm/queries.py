@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     chat,
     jaccard,
     language,
+    line_dedup,
     media,
     mixing,
     neighbors,
@@ -76,6 +78,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that at least five share."""
+    left = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -87,6 +95,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 # formatted_chars follows from the template: 20 control characters for a turn, =role or null for
@@ -212,5 +221,24 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size + greatest(0,
     least(place + size, quota % source_size) - place) END::BIGINT AS taken
 FROM q
+""",
+    "op11_line_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM d
+), k AS (
+  SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM l
+), h AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE len(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.*, coalesce(k.doc_id < h.top, false) AS goes FROM k LEFT JOIN h ON k.key = h.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
+FROM m GROUP BY r
 """,
 }
