@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat,
+    conversation_trie,
     jaccard,
     language,
     line_dedup,
@@ -84,6 +85,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
     "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 # formatted_chars follows from the template: 20 control characters for a turn, =role or null for
@@ -240,5 +247,45 @@ WITH d AS (
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
 FROM m GROUP BY r
+""",
+    # a turn's id is a digest of role and text; the CRC runs over the digits, eight steps for each
+    "op12_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text,
+    md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list({'id': id, 'n': len(text)} ORDER BY turn NULLS FIRST, id) AS own FROM t GROUP BY conv_id
+), h AS (
+  SELECT *, xor(list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END), 4294967295) % 6 AS h
+  FROM o
+), s AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, h.h), list_slice(h.own, h.h + 1, len(h.own))) AS turns
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100
+), p AS (
+  SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM s
+), m AS (
+  SELECT conv_id AS c, depth, len(turns) = depth AS ends,
+    array_to_string(list_transform(list_slice(turns, 1, depth), lambda x: x.id), '') AS k,
+    CASE WHEN depth > 0 THEN turns[depth].n ELSE 0 END AS n
+  FROM p
+), n AS (
+  SELECT k, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, left(k, 32 * (depth - 1)) AS up,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY k, depth
+), ch AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch ON ch.up = n.k AND ch.depth = n.depth
+), a AS (SELECT unnest(range(0, depth + 1)) AS lvl, * FROM w),
+sub AS (
+  SELECT left(k, 32 * lvl) AS k, lvl AS depth, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * n) AS saved_tokens
+  FROM a GROUP BY left(k, 32 * lvl), lvl
+)
+SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, sub.n_leaves,
+  sub.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN sub USING (k, depth) LEFT JOIN n up ON w.depth > 0 AND up.k = w.up AND up.depth = w.depth - 1
 """,
 }
