@@ -10,6 +10,7 @@ from . import (
     conversation_trie,
     jaccard,
     language,
+    lexical_search,
     line_dedup,
     media,
     mixing,
@@ -90,6 +91,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that rank highest for each benchmark item."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -103,6 +109,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_line_dedup": op11_line_dedup,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 # formatted_chars follows from the template: 20 control characters for a turn, =role or null for
@@ -287,5 +294,34 @@ sub AS (
 SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, sub.n_leaves,
   sub.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
 FROM w JOIN sub USING (k, depth) LEFT JOIN n up ON w.depth > 0 AND up.k = w.up AND up.depth = w.depth - 1
+""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS terms
+  FROM documents
+), s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), t AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM t, s GROUP BY term
+), m AS (SELECT r, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, s),
+i AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS impact FROM t JOIN w USING (term) JOIN m USING (r)
+), h AS (
+  SELECT item_id, r, sum(impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, r
+), k AS (
+  SELECT item_id, doc_id, score, row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM h JOIN m USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
 """,
 }

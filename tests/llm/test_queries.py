@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from fleetscan.llm.queries import ORACLES, QUERIES
 
-TABLES = ["documents", "embeddings", "pages", "labels", "conversations"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
