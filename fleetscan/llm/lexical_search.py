@@ -295,7 +295,9 @@ def _pass(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def searched(rows: DataFrame, floors: list[int]) -> DataFrame:
         shared = spark.sparkContext.broadcast((held, weights, floors))
-        ordered = rows.repartitionByRange(buckets, F.desc("norm")).sortWithinPartitions(F.desc("norm"))
+        # copies have equal lengths: their ids spread them
+        order = F.desc("norm"), F.col("doc_id")
+        ordered = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
         return ordered.mapInArrow(lambda b: _searched(b, shared), HITS)
 
     first = stored(searched(impacts.where(F.col("norm") >= limit.at), [0] * len(ids)), "hits")
