@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ NOT_A_CANDIDATE = -40.0
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Words held at once: their scores go through the Viterbi steps together.
-HELD_WORDS = 2_000_000
+HELD_WORDS = 200_000
 
 #: First code points of scripts (fixed values, from the Unicode block table). A script reaches to
 #: the next entry.
@@ -135,7 +136,12 @@ def words_of(text: str | None) -> Words | None:
     small = np.concatenate(([0], np.where(kind > 0, lower[codes], 0), [0])).astype(np.int64)
     hashed = small[:-2] * 961_748_941 + small[1:-1] * 32_452_843 + small[2:] * 15_485_863
     hashed = ((hashed ^ (hashed >> 17)) * 0x9E3779B1 >> 11) & (BUCKETS - 1)
-    return Words(starts, stops - starts, script[codes[starts]], hashed[kind > 0])
+    return Words(
+        starts.astype(np.int32),
+        (stops - starts).astype(np.int32),
+        script[codes[starts]],
+        hashed[kind > 0].astype(np.uint16),
+    )
 
 
 @dataclass
@@ -149,7 +155,7 @@ class Model:
 
     def scores(self, words: Words) -> np.ndarray:
         """Words by languages, with a maximum of 0 for each word."""
-        ends = np.cumsum(words.lengths)
+        ends = np.cumsum(words.lengths, dtype=np.int64)
         each = np.add.reduceat(self.table[words.buckets], ends - words.lengths, axis=0)
         allowed = self.candidates[words.scripts]
         each = np.where(allowed, each, -np.inf)
@@ -227,7 +233,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
-RESULT = "lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>"
+RESULT = "struct<lang_pred:string,score:double,spans:array<struct<start:long,stop:long,lang:string>>>"
 
 
 def _label(model: Model, held: list[Words | None]) -> list[tuple]:
@@ -268,37 +274,36 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null, empty or without letters is ``und`` with score 0 and no spans, and so is
     every text under a model that has learned no language. Rows that repeat get equal results. A
     script of no learned language leaves all of them as candidates. The other columns go along as
-    they are, whatever their names.
+    they are, whatever their names; only texts go to the Python workers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches):
+    @F.arrow_udf(RESULT)
+    def label(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in batches:
-            rows = batch.column(0)
-            texts, found, held, n = rows.field("text").to_pylist(), [], [], 0
+        for texts in parts:
+            found, held, n = [], [], 0
             for text in texts:
-                words = words_of(text) if model.languages else None
+                words = words_of(text.as_py()) if model.languages else None
                 held.append(words)
                 n += len(words.starts) if words else 0
                 if n >= HELD_WORDS:
-                    found += _label(model, held)
+                    found.append(_labelled(model, held))
                     held, n = [], 0
-            found += _label(model, held)
-            languages, scores, spans = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows,
-                    pa.array(languages, pa.string()),
-                    pa.array(scores, pa.float64()),
-                    pa.array(spans, pa.list_(SPAN)),
-                ],
-                ["row", "lang_pred", "score", "spans"],
-            )
+            found.append(_labelled(model, held))
+            del held
+            yield pa.concat_arrays(found)
 
     rows = docs.select(F.struct("*").alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(label, f"row {kind}, {RESULT}")
+    return rows.withColumn("found", label(F.col("row.text").cast("string"))).select("row", "found.*")
+
+
+def _labelled(model: Model, held: list[Words | None]) -> pa.Array:
+    languages, scores, spans = zip(*_label(model, held)) if held else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))],
+        ["lang_pred", "score", "spans"],
+    )
 
 
 def predicted(docs: DataFrame) -> DataFrame:
@@ -320,7 +325,8 @@ KEPT_SHARE = 0.3
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and any others) with a language: those that are not
-    ``und`` and mostly of one language. The model is learned as in :func:`predicted`."""
+    ``und`` and have at least ``KEPT_SHARE`` of their letters in one language. The model is learned as
+    in :func:`predicted`."""
     model = learn(docs.filter(fold_of(F.col("doc_id")) != 0))
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= KEPT_SHARE)
     return identify(docs, model).filter(good).select("row.*")
