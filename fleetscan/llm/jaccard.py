@@ -17,10 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, column_of, rows_to_batches, stored, summed_arrays
+from .common import column, column_of, rows_to_batches, shuffle_partitions, stored, summed_arrays
 from .components import components, dealt, in_blocks, roots, tasks
 
 SHINGLE = 5
@@ -47,18 +47,28 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-_powers: list[np.ndarray] = []
+#: Powers that a worker keeps; a longer text has its own worked out and dropped.
+KEPT_POWERS = 1 << 16
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = np.full(n, _BASE & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    inverse = np.full(n, _INVERSE, np.uint64)
+    base[0] = inverse[0] = 1
+    return np.cumprod(base), np.cumprod(inverse)
+
+
+@lru_cache(1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, up to n of them."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        base = np.full(size, _BASE & 0xFFFFFFFFFFFFFFFF, np.uint64)
-        inverse = np.full(size, _INVERSE, np.uint64)
-        base[0] = inverse[0] = 1
-        _powers[:] = [np.cumprod(base), np.cumprod(inverse)]
-    return _powers[0][:n], _powers[1][:n]
+    if n > KEPT_POWERS:
+        return _powers(n)
+    up, down = _kept_powers()
+    return up[:n], down[:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -275,11 +285,12 @@ def _signatures(sets, sizes, bits):
 # -- the operator
 
 #: Rows of kind 0: a document's set, its size n, digest and signature; of kind 1: counters.
-SET = "kind int, doc_id long, n long, node long, key string, data binary"
+SET = "kind int, doc_id long, text_hash long, n long, node long, key string, data binary"
 SET_ARROW = pa.schema(
     [
         ("kind", pa.int32()),
         ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
         ("n", pa.int64()),
         ("node", pa.int64()),
         ("key", pa.string()),
@@ -309,7 +320,8 @@ def _sets(texts: DataFrame) -> DataFrame:
         def rows():
             nonlocal held
             for batch in batches:
-                for doc, text in zip(column(batch, "doc_id"), column(batch, "text")):
+                own = (column(batch, c) for c in ("doc_id", "text_hash", "text"))
+                for doc, text_hash, text in zip(*own):
                     s = shingles(text)
                     waiting.append(s)
                     held += len(s)
@@ -317,15 +329,20 @@ def _sets(texts: DataFrame) -> DataFrame:
                         count()
                         held = 0
                     bits = signature(s)
-                    yield len(bits), (0, doc, len(s), set_digest(s), None, bits)
+                    yield len(bits), (0, doc, text_hash, len(s), set_digest(s), None, bits)
             count()
             for k in range(0, COUNTERS, CHUNK):
                 if counters[k : k + CHUNK].any():
-                    yield 4 * CHUNK, (1, None, None, None, str(k), counters[k : k + CHUNK].tobytes())
+                    yield 4 * CHUNK, (1, None, None, None, None, str(k), counters[k : k + CHUNK].tobytes())
 
         yield from rows_to_batches(rows(), SET_ARROW)
 
-    return texts.mapInArrow(run, SET)
+    return texts.withColumn("text_hash", _text_hash()).mapInArrow(run, SET)
+
+
+def _text_hash() -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _levels(counters: DataFrame) -> np.ndarray:
@@ -363,18 +380,64 @@ def _first_shingles(texts: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    """(node, block): sets that share a first shingle, under the smallest of them."""
-    from pyspark.sql import Window
-
-    rows = keyed.select(F.explode("keys").alias("key"), "node")
-    by_key = Window.partitionBy("key")
-    return (
-        rows.withColumn("block", F.min("node").over(by_key))
-        .withColumn("top", F.max("node").over(by_key))
-        .filter("block <> top")
-        .select("node", "block")
-        .distinct()
+    """(node, block): sets that share a first shingle, under the smallest of them.
+
+    Rows are range-partitioned by shingle and node, so a shingle of very many sets lies on
+    several partitions; only the first and the last shingle of a partition can.
+    """
+    n = shuffle_partitions(keyed.sparkSession)
+    rows = stored(keyed, "keyed").select(F.explode("keys").alias("key"), "node")
+    ordered = rows.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
+    found = stored(ordered.mapInArrow(_shared_keys, "key long, node long, block long"), "shared")
+    opened = found.filter("block is null")
+    # two shingles for each partition at most
+    ends = (
+        opened.groupBy(F.col("key").alias("e_key"))
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .filter("low <> high")
     )
+    across = opened.join(F.broadcast(ends), F.col("key") == F.col("e_key")).select("node", F.col("low").alias("block"))
+    return found.filter("block is not null").select("node", "block").union(across).distinct()
+
+
+def _shared_keys(batches):
+    """(key, node, block) of one partition's sorted rows: the nodes of each key that has several,
+    with the smallest; block is null where the key may go on in another partition."""
+
+    def rows(key, node, block):
+        names = ["key", "node", "block"]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, node, block)], names)
+
+    now = low = None
+    first = several = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (column_of(batch, c).to_numpy() for c in ("key", "node"))
+        starts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if now is None:
+            now, low, first = key[0], node[0], True
+        elif key[0] != now:
+            starts = np.r_[0, starts]
+        ends = np.r_[starts, len(key)]
+        # what goes on from the batch before
+        if (stop := int(ends[0])) > 0:
+            if first:
+                yield rows(key[:stop], node[:stop], [None] * stop)
+            elif several or node[stop - 1] != low:
+                own = node[:stop] if several else np.r_[low, node[:stop]]
+                several = True
+                yield rows(np.full(len(own), now), own, np.full(len(own), low))
+        if len(starts):
+            lengths = np.diff(ends)
+            lows, highs = node[starts], node[ends[1:] - 1]
+            many = np.repeat(lows != highs, lengths)
+            at = int(starts[0])
+            if many.any():
+                yield rows(key[at:][many], node[at:][many], np.repeat(lows, lengths)[many])
+            now, low, first, several = key[-1], lows[-1], False, bool(lows[-1] != highs[-1])
+    if now is not None and not first:
+        yield rows([now], [low], [None])
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -495,12 +558,18 @@ def join(docs: DataFrame) -> DataFrame:
 
     Rows without words, with a null text or a null id link with nothing; a row that links with
     nothing has itself as component. Rows that repeat are linked with each other and each
-    counts as a link; rows of one id with different texts share what that id reaches. An empty
-    table gives an empty result.
+    counts as a link. Rows of one id with different texts are documents of their own: that they
+    have an id in common does not link them. An empty table gives an empty result.
     """
+    return _joined(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`join`, and for rows with an id and words the text's hash, the set's
+    digest (node) and its component's (part)."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     first = stored(_sets(texts), "sets")
-    sets = first.filter("kind = 0").select("doc_id", "n", "node", F.col("data").alias("bits"))
+    sets = first.filter("kind = 0").select("doc_id", "text_hash", "n", "node", F.col("data").alias("bits"))
     able = sets.filter("n > 0 and doc_id is not null")
     classes = stored(
         able.groupBy("node").agg(
@@ -530,6 +599,7 @@ def join(docs: DataFrame) -> DataFrame:
         .select(
             F.col("node").alias("p_node"),
             F.coalesce("group_id", "first_id").alias("p_id"),
+            F.coalesce("component", "node").alias("part"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("p_links"),
         )
     )
@@ -538,6 +608,9 @@ def join(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.col("p_id").alias("component_id"),
         F.col("p_links").alias("n_links"),
+        "text_hash",
+        "node",
+        "part",
     )
     rest = sets.filter("not (n > 0 and doc_id is not null)").select(
         "doc_id",
@@ -545,13 +618,23 @@ def join(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("component_id"),
         F.lit(0).cast("long").alias("n_links"),
     )
-    return out.unionByName(rest)
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that stay when one document of each
-    group of :func:`join` does: that of the smallest doc_id. Rows without id all stay."""
-    kept = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    rows = docs.filter("doc_id is not null").select("doc_id", F.struct("*").alias("row"))
-    firsts = rows.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi").dropDuplicates(["doc_id"])
-    return firsts.select("row.*").unionByName(docs.filter("doc_id is null"))
+    group of :func:`join` does: that of the smallest doc_id, of several of this id the one whose set
+    has the smallest digest, of rows that repeat any one. Rows without id or words all stay."""
+    chosen = (
+        _joined(docs)
+        .filter("part is not null and doc_id = component_id")
+        .groupBy("part")
+        .agg(F.min(F.struct("node", "text_hash")).alias("one"), F.first("doc_id").alias("k_id"))
+        .select("k_id", F.col("one.text_hash").alias("k_hash"))
+    )
+    linking = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(linking).select("doc_id", _text_hash().alias("text_hash"), F.struct("*").alias("row"))
+    firsts = rows.join(
+        chosen, (F.col("doc_id") == F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left_semi"
+    ).dropDuplicates(["doc_id", "text_hash"])
+    return firsts.select("row.*").unionByName(docs.filter(~linking))

@@ -115,3 +115,42 @@ def test_one_document_of_each_group_stays(spark, odd_docs):
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids, key=lambda x: (x is None, x)) == [1, 2, 3, 4, 5, 6, 10, 12, 13, 14, None]
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(30)) for x in "abc")
+    near = b.replace("b29", "other")
+    rows = [(1, a), (1, b), (2, b), (3, near), (1, b), (4, c), (4, c + "more"), (5, None), (5, ""), (None, a)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node long")
+    assert _found(df) == _brute(rows)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(df).collect())
+    fours = [t for i, t in kept if i == 4]
+    assert len(fours) == 1 and fours[0] in (c, c + "more")
+    assert [x for x in kept if x[0] != 4] == [(0, a), (1, a), (1, b), (5, ""), (5, "")]
+
+
+def test_powers_of_a_long_text_are_not_kept(monkeypatch):
+    text = "a b c d e f g " * 50
+    whole = jaccard.shingles(text)
+    monkeypatch.setattr(jaccard, "KEPT_POWERS", 16)
+    jaccard._kept_powers.cache_clear()
+    assert (jaccard.shingles(text) == whole).all() and (jaccard.shingles("a b") == jaccard.shingles("A b")).all()
+    jaccard._kept_powers.cache_clear()
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_sets_of_one_shingle_on_many_partitions(spark, rows):
+    rng = np.random.default_rng(2)
+    keyed = [(int(n), [7] * (n % 3 > 0) + [int(k) for k in rng.integers(0, 60, 2)]) for n in range(200)]
+    keyed += keyed[:50]  # a set that two tasks saw
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        df = spark.createDataFrame(keyed, "node long, keys array<long>").repartition(6)
+        got = {tuple(r) for r in jaccard._groups(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    holders = {}
+    for node, keys in keyed:
+        for k in keys:
+            holders.setdefault(k, set()).add(node)
+    assert got == {(n, min(own)) for own in holders.values() if len(own) > 1 for n in own}
