@@ -13,7 +13,7 @@ from fleetscan.llm.common import stored, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language, or mostly of none, go."""
+    """Texts without a language, or with no language that has a fair share of them, go."""
     return language.filtered(docs)
 
 
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
+    """Of each group of near duplicates one row of the smallest doc_id stays."""
     return jaccard.one_of_each(docs)
 
 
