@@ -4,6 +4,11 @@ The semantics are those git documents: rules apply in order and the last match w
 ``!`` takes a path back in, a slash at the start or inside anchors the pattern to the
 root, a slash at the end restricts it to directories, and nothing below an ignored
 directory can be taken back.
+
+Matching takes time in proportion to pattern and path, whatever the pattern: a wildcard takes
+the first place where the fixed characters behind it match and never comes back to it, which is
+right since all that follows may only start later; only the last directory wildcard of a pattern
+tries one directory after the other.
 """
 
 from __future__ import annotations
@@ -12,10 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscan.plans.reuse import once
-from fleetscan.plans.sizing import stored
+from fleetscan.plans.sizing import small, stored
 
+# Rules of different rule sets, their characters, projects, and ignored paths (and their
+# characters) that may be broadcast.
 BROADCAST_RULES = 200_000
 BROADCAST_CHARS = 16_000_000
+BROADCAST_PROJECTS = 500_000
+BROADCAST_PATHS = 1_000_000
+BROADCAST_PATH_CHARS = 64_000_000
 
 RULE = ["negated", "dir_only", "kind", "arg", "regex"]
 RULES_TYPE = (
@@ -99,12 +109,9 @@ def _bracket(part: Column, ignore_case: bool) -> Column:
 
 
 def _part(part: Column, ignore_case: bool) -> Column:
+    """One character of a path segment."""
     return (
-        F.when(part.rlike(r"\A(?:\*\*/)+\z"), "(?:.*/)?")
-        .when(part.rlike(r"\A/(?:\*\*/)+\z"), "/(?:.*/)?")
-        .when(part == "/**", "/.+")
-        .when(part.rlike(r"\A\*+\z"), "[^/]*")
-        .when(part == "?", "[^/]")
+        F.when(part == "?", "[^/]")
         .when(part == "\\", "")  # nothing is left to escape
         .when(part.startswith("\\"), _quoted(F.substr(part, F.lit(2))))
         .when(part.startswith("[") & (F.length(part) > 1), _bracket(part, ignore_case))
@@ -112,12 +119,57 @@ def _part(part: Column, ignore_case: bool) -> Column:
     )
 
 
+# Up to any start of a segment; up to the first place in the segment; the end of the segment.
+_TO_SEGMENT = r"(?s:.*?)(?<![^/])"
+_ONCE_TO = "(?>[^/]*?"
+_SEGMENT_END = r"(?=/|\z)"
+
+
 @once
 def _glob_regex(ignore_case: bool) -> Column:
-    """The regular expression of pattern ``p``, its ``!`` and outer slashes removed."""
+    """The regular expression of pattern ``p``, its ``!`` and outer slashes removed.
+
+    A run of fixed characters behind a star is a group that is entered once; behind the last
+    star of a segment it ends with the segment. What stands between two directory wildcards is
+    such a group too.
+    """
     parts = F.regexp_extract_all(F.col("p"), F.lit(_PARTS), F.lit(0))
-    out = F.array_join(F.transform(parts, lambda x: _part(x, ignore_case)), "")
-    return F.concat(F.when(F.col("anchored"), "").otherwise("(?:.*/)?"), out)
+    n_dirs = F.size(F.filter(parts, lambda x: x.rlike(r"\A/?(?:\*\*/)+\z")))
+
+    def step(state: Column, part: Column) -> Column:
+        out, star, dirs = state["out"], state["star"], state["dirs"]
+        segment = F.concat(out, F.when(star, _SEGMENT_END + ")").otherwise(""))
+        closed = F.concat(segment, F.lit("/"), F.when(dirs > 0, ")").otherwise(""))
+        opened = F.concat(F.when(dirs + 1 < n_dirs, "(?>").otherwise("(?:"), F.lit(_TO_SEGMENT))
+
+        def to(text: Column, in_star: bool | Column, in_dirs: Column) -> Column:
+            flag = F.lit(in_star) if isinstance(in_star, bool) else in_star
+            return F.struct(text.alias("out"), flag.alias("star"), in_dirs.alias("dirs"))
+
+        return (
+            F.when(part.rlike(r"\A(?:\*\*/)+\z"), to(F.concat(out, opened), False, dirs + 1))
+            .when(part.rlike(r"\A/(?:\*\*/)+\z"), to(F.concat(closed, opened), False, dirs + 1))
+            .when(part == "/**", to(F.concat(closed, F.lit("(?s:.+)")), False, F.lit(0)))
+            .when(part == "/", to(F.concat(segment, F.lit("/")), False, dirs))
+            .when(
+                part.rlike(r"\A\*+\z"),
+                to(F.concat(out, F.when(star, ")").otherwise(""), F.lit(_ONCE_TO)), True, dirs),
+            )
+            .otherwise(to(F.concat(out, _part(part, ignore_case)), star, dirs))
+        )
+
+    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("star"), F.lit(0).alias("dirs"))
+    return F.aggregate(
+        parts,
+        start,
+        step,
+        lambda s: F.concat(
+            F.when(F.col("anchored"), "").otherwise(_TO_SEGMENT),
+            s["out"],
+            F.when(s["star"], _SEGMENT_END + ")").otherwise(""),
+            F.when(s["dirs"] > 0, ")").otherwise(""),
+        ),
+    )
 
 
 def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
@@ -151,7 +203,7 @@ def parse_rules(lines: DataFrame, ignore_case: bool = True) -> DataFrame:
     rows = rows.withColumn("kind", kind)
     plain = F.concat(F.lit(r"\Q"), F.col("p"), F.lit(r"\E"))
     regex = F.when(F.col("kind") == "path", plain).when(
-        F.col("kind") == "name", F.concat(F.lit("(?:.*/)?"), plain)
+        F.col("kind") == "name", F.concat(F.lit(_TO_SEGMENT), plain)
     )
     rows = rows.withColumn("regex", regex.otherwise(_glob_regex(ignore_case)))
     return rows.select(
@@ -209,18 +261,40 @@ def _matches(rule: Column, place: Column, is_dir: Column) -> Column:
     return hit & (is_dir | ~rule.dir_only)
 
 
+def _rule_sets(rules: DataFrame) -> DataFrame:
+    """``project_id, set_id, rules, maybe``: each project's rules as one array. Projects with the
+    same rules have the same ``set_id``, the smallest of their ids."""
+    in_order = F.sort_array(F.collect_list(F.struct("seq", *RULE)))
+    own = F.transform(in_order, lambda r: F.struct(*[r[c].alias(c) for c in RULE]))
+    per_project = rules.groupBy("project_id").agg(own.cast(RULES_TYPE).alias("rules"))
+    # templates are shared by very many projects: a digest is what they are grouped by
+    key = F.sha2(F.to_json("rules"), 256)
+    firsts = (
+        per_project.withColumn("key", key)
+        .groupBy("key")
+        .agg(F.min("project_id").alias("set_id"))
+    )
+    return per_project.withColumn("key", key).join(firsts, "key").drop("key")
+
+
 def with_ignored(
     files: DataFrame, rules: DataFrame, ignore_case: bool = True, exclude_patterns=()
 ) -> DataFrame:
     """``files`` with a boolean ``ignored``: the project's own rules, then the caller's.
 
-    A project's rules travel as one array. Their table is stored, and broadcast when it
-    measures small, so contents stay where they were read; otherwise the join is left to the
-    optimizer, which splits skewed projects.
+    Equal rule sets are one. Where sets and projects measure small they are broadcast, and paths
+    are judged where their contents were read. Otherwise paths alone, without contents, meet
+    their rules in a join that splits skewed projects; what comes back to the files is the list
+    of ignored paths, broadcast if it measures small.
     """
-    rules = stored(rules)
-    size = rules.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.length("arg")), F.lit(0)).alias("chars")
+    sets = stored(_rule_sets(rules))
+    distinct = sets.where(F.col("project_id") == F.col("set_id")).select("set_id", "rules")
+    size = distinct.agg(
+        F.coalesce(F.sum(F.size("rules")), F.lit(0)).alias("n"),
+        F.coalesce(
+            F.sum(F.aggregate("rules", F.lit(0), lambda n, r: n + F.length(r.arg) + F.length(r.regex))),
+            F.lit(0),
+        ).alias("chars"),
     ).first()
     shared = F.lit(None).cast(RULES_TYPE)
     if exclude_patterns:
@@ -228,25 +302,41 @@ def with_ignored(
     elif size.n == 0:
         return files.withColumn("ignored", F.lit(False))
     if size.n == 0:
-        out = files.withColumns({"rules": shared, "maybe": _any_of(shared)})
-    else:
-        in_order = F.sort_array(F.collect_list(F.struct("seq", *RULE)))
-        own = F.transform(in_order, lambda r: F.struct(*[r[c].alias(c) for c in RULE]))
-        per_project = rules.groupBy("project_id").agg(own.cast(RULES_TYPE).alias("rules"))
-        if exclude_patterns:
-            per_project = per_project.withColumn("rules", F.concat("rules", shared))
-        per_project = per_project.withColumn("maybe", _any_of(F.col("rules")))
-        if size.n <= BROADCAST_RULES and size.chars <= BROADCAST_CHARS:
-            per_project = F.broadcast(per_project)
-        out = files.join(per_project, "project_id", "left")
-        if exclude_patterns:
-            out = out.withColumns(
-                {
-                    "rules": F.coalesce("rules", shared),
-                    "maybe": F.coalesce("maybe", _any_of(shared)),
-                }
-            )
-    return out.withColumns({"ignored": _ignored(ignore_case)}).drop("rules", "maybe")
+        return _judged(files.withColumns({"rules": shared, "maybe": _any_of(shared)}), ignore_case)
+    if exclude_patterns:
+        distinct = distinct.withColumn("rules", F.concat("rules", shared))
+    distinct = distinct.withColumn("maybe", _any_of(F.col("rules")))
+    owners = sets.select("project_id", "set_id")
+    if (
+        size.n <= BROADCAST_RULES
+        and size.chars <= BROADCAST_CHARS
+        and small(owners, BROADCAST_PROJECTS)
+    ):
+        met = files.join(F.broadcast(owners), "project_id", "left")
+        met = met.join(F.broadcast(distinct), "set_id", "left").drop("set_id")
+        return _judged(_with_shared(met, shared, exclude_patterns), ignore_case)
+    paths = files.select("project_id", "path")
+    met = paths.join(owners, "project_id", "left").join(distinct, "set_id", "left")
+    judged = _judged(_with_shared(met, shared, exclude_patterns), ignore_case)
+    found = stored(judged.where("ignored").select("project_id", "path", "ignored").distinct())
+    weight = found.agg(F.coalesce(F.sum(F.length("path")), F.lit(0)).alias("chars")).first()
+    if weight.chars <= BROADCAST_PATH_CHARS and small(found, BROADCAST_PATHS):
+        found = F.broadcast(found)
+    out = files.join(found, ["project_id", "path"], "left")
+    return out.withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+
+
+def _with_shared(met: DataFrame, shared: Column, exclude_patterns) -> DataFrame:
+    """The caller's rules for projects that have none of their own."""
+    if not exclude_patterns:
+        return met
+    return met.withColumns(
+        {"rules": F.coalesce("rules", shared), "maybe": F.coalesce("maybe", _any_of(shared))}
+    )
+
+
+def _judged(met: DataFrame, ignore_case: bool) -> DataFrame:
+    return met.withColumns({"ignored": _ignored(ignore_case)}).drop("rules", "maybe", "set_id")
 
 
 def _any_of(rules: Column) -> Column:

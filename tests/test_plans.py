@@ -33,9 +33,9 @@ def static_plans(spark):
 
 def test_observing_moves_nothing(corpus, static_plans):
     text = plan(observe(mark_selected(corpus), default_registry()), "simple")
-    contents, rules = text.split("BroadcastExchange")
+    contents, *rules = text.split("BroadcastExchange")
     assert "Python" not in text and "Exchange" not in contents
-    assert contents.count("FileScan") == rules.count("FileScan") == 1
+    assert contents.count("FileScan") == 1 and [r.count("FileScan") for r in rules] == [1, 1]
 
 
 def test_generated_code_can_be_compiled(corpus, static_plans):
@@ -65,6 +65,29 @@ def test_ignore_files_are_found_by_pushdown(corpus, static_plans):
     assert "EqualTo(path,.gitignore)" in plan(ignore_rules(corpus))
 
 
+def test_a_million_rules_move_no_contents(spark, make_files, monkeypatch, tmp_path, static_plans):
+    from fleetscan.operators import gitignore
+
+    lines = "\n".join(f"rule{k}*.ts" for k in range(1000))
+    make_files({f"p{i}": {".gitignore": f"own{i}\n{lines}", "a.ts": "x"} for i in range(20)}).write.parquet(
+        str(tmp_path / "files")
+    )
+    files = spark.read.parquet(str(tmp_path / "files"))
+    monkeypatch.setattr(gitignore, "BROADCAST_RULES", 10_000)
+    out = gitignore.with_ignored(files, gitignore.ignore_rules(files))
+    text = plan(out, "simple")
+    assert "Exchange hashpartitioning" not in text and text.count("BroadcastExchange") == 1
+    assert out.where("ignored").count() == 0
+
+
+def test_equal_rule_sets_are_one(spark, make_files):
+    from fleetscan.operators import gitignore
+
+    files = make_files({f"p{i}": {".gitignore": "a\n" if i else "b\n"} for i in range(9)})
+    sets = gitignore._rule_sets(gitignore.ignore_rules(files)).collect()
+    assert len(sets) == 9 and {r.set_id for r in sets} == {"p0", "p1"}
+
+
 def test_size_checks(spark):
     df = spark.range(10)
     assert small(df, 10) and not small(df, 9)

@@ -87,6 +87,30 @@ GIT_CASES = [
     ("a/**/**/z.ts", "a/z.ts", True),
     ("# only\n# comments\n\n", "a.ts", False),
     ("foo[\n*.ts", "a.ts", True),
+    # wildcards that take the first place, and may not take too much
+    ("a*b*b", "abb", True),
+    ("a*b*b", "ab", False),
+    ("*ab", "aab", True),
+    ("*ab*ab", "abab", True),
+    ("*ab*ab", "aab", False),
+    ("a*", "a/b", True),
+    ("x*/y", "xz/y", True),
+    ("x*/y", "x/z/y", False),
+    ("*a?c", "aabac", False),
+    ("*a?c", "xaxaac", True),
+    ("*.t*s", "a.test.ts", True),
+    ("**/a/**/b", "a/x/a/b", True),
+    ("**/a/**/b", "x/a/y/z/b", True),
+    ("**/a/**/b", "xa/b", False),
+    ("**/a*/b/**/c", "a1/a2/b/c", True),
+    ("**/a/b/**", "a/a/b/c", True),
+    ("**/a/b/**", "a/b", False),
+    ("x/**/a/b", "x/a/a/b", True),
+    ("x/**/a/b", "x/a/c/b", False),
+    ("**/**/a", "a", True),
+    ("a**b", "axxb", True),
+    ("*[ab]*[ab]", "xaxb", True),
+    ("*[ab]*[ab]", "xax", False),
 ]
 
 
@@ -108,6 +132,39 @@ def test_ignore_rules(make_files):
     assert wrong == []
 
 
+STARS = "*a" * 30 + "*b"
+
+
+def test_many_wildcards_take_no_time(make_files):
+    """Thirty stars against names and directories of 4,000 characters, matching or just not."""
+    import time
+
+    long = {"a" * 4000: False, "a" * 3999 + "b": True, "a/" * 2000 + "b": False, "x" * 4000: False}
+    lines = f"{STARS}\n**/a*a*a*b/**/a*a*c/**/q\n[!/]*[a]*[a]*[a]*[a]*[a]*[a]*d\n"
+    files = make_files({"p": {".gitignore": lines, **{p: "" for p in long}}})
+    marked = gitignore.with_ignored(files, gitignore.ignore_rules(files)).where("path <> '.gitignore'")
+    marked.collect()
+    start = time.perf_counter()
+    assert {r.path: r.ignored for r in marked.collect()} == long
+    assert time.perf_counter() - start < 5
+    few = make_files({"p": {p: "" for p in long}})
+    assert paths(selection.select_files(few, exclude_patterns=(STARS,))) == set()
+
+
+def test_rules_of_a_large_fleet_are_met_by_paths_alone(make_files, monkeypatch):
+    projects = {f"{i:03}": {".gitignore": r, p: "", "kept.ts": ""} for i, (r, p, _) in enumerate(GIT_CASES)}
+    files = make_files(projects)
+    want = gitignore.with_ignored(files, gitignore.ignore_rules(files)).orderBy("project_id", "path").collect()
+    for name in ("BROADCAST_RULES", "BROADCAST_PROJECTS"):
+        with monkeypatch.context() as m:
+            m.setattr(gitignore, name, 1)
+            got = gitignore.with_ignored(files, gitignore.ignore_rules(files))
+            assert got.columns == [*files.columns, "ignored"]
+            assert got.orderBy("project_id", "path").collect() == want
+            extra = gitignore.with_ignored(files, gitignore.ignore_rules(files), True, ("kept.ts",))
+            assert {r.ignored for r in extra.where("path = 'kept.ts'").collect()} == {True}
+
+
 def test_ignore_case_is_an_option(make_files):
     files = make_files({"p": {".gitignore": "A.TS", "a.ts": ""}})
     assert paths(selection.select_files(files, ignore_case=False)) == {".gitignore", "a.ts"}

@@ -29,7 +29,7 @@ FINDING = [
     "project_id", "rule_id", "severity", "category", "deploy_blocking", "confidence", "file",
     "line", "evidence",
 ]
-EXCLUDES = ("components/", "/src/s*1.ts", "pages/**", "!pages/p1*.tsx")
+EXCLUDES = ("c*o*m*p*o*n*e*n*t*s*/", "/src/s*1.ts", "pages/**", "!pages/p1*.tsx")
 CAP = 12
 STREAM_GAP = "6 hours"
 
