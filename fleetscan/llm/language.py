@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -233,7 +232,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
-RESULT = "struct<lang_pred:string,score:double,spans:array<struct<start:long,stop:long,lang:string>>>"
+RESULT = "lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>"
 
 
 def _label(model: Model, held: list[Words | None]) -> list[tuple]:
@@ -274,35 +273,39 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null, empty or without letters is ``und`` with score 0 and no spans, and so is
     every text under a model that has learned no language. Rows that repeat get equal results. A
     script of no learned language leaves all of them as candidates. The other columns go along as
-    they are, whatever their names; only texts go to the Python workers.
+    they are, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(RESULT)
-    def label(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def label(batches):
         model = shared.value
-        for texts in parts:
-            found, held, n = [], [], 0
-            for text in texts:
+        for batch in batches:
+            rows = batch.column(0)
+            texts = rows.field("text")
+            start, held, n = 0, [], 0
+            for k, text in enumerate(texts):
                 words = words_of(text.as_py()) if model.languages else None
                 held.append(words)
                 n += len(words.starts) if words else 0
-                if n >= HELD_WORDS:
-                    found.append(_labelled(model, held))
-                    held, n = [], 0
-            found.append(_labelled(model, held))
-            del held
-            yield pa.concat_arrays(found)
+                if n >= HELD_WORDS or k == len(texts) - 1:
+                    yield _labelled(model, rows.slice(start, len(held)), held)
+                    start, held, n = k + 1, [], 0
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.withColumn("found", label(F.col("row.text").cast("string"))).select("row", "found.*")
-
-
-def _labelled(model: Model, held: list[Words | None]) -> pa.Array:
-    languages, scores, spans = zip(*_label(model, held)) if held else ((), (), ())
-    return pa.StructArray.from_arrays(
-        [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))],
-        ["lang_pred", "score", "spans"],
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(label, f"row {kind}, {RESULT}")
+
+
+def _labelled(model: Model, rows: pa.Array, held: list[Words | None]) -> pa.RecordBatch:
+    languages, scores, spans = zip(*_label(model, held))
+    return pa.RecordBatch.from_arrays(
+        [
+            rows,
+            pa.array(languages, pa.string()),
+            pa.array(scores, pa.float64()),
+            pa.array(spans, pa.list_(SPAN)),
+        ],
+        ["row", "lang_pred", "score", "spans"],
     )
 
 
