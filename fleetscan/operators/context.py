@@ -74,46 +74,84 @@ def manifest_error(text: Column, parsed: Column) -> Column:
     )
 
 
-def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
-    """One row per project: context (C1-C10), counts of file and line findings, sums.
+# What a row of contributions is about: the project, or one of its manifests.
+CONTRIBUTION_KEY = ["project_id", "m_path", "m_selected", "manifest"]
+
+
+def contributions(observations: DataFrame, registry: Registry, sign: int = 1) -> DataFrame:
+    """What observation rows add to their projects: sums of a fixed width, one row for each project
+    and one for each manifest in it.
 
-    Flags, counts and sums of all observation rows have buffers of a fixed width, so they are
-    hash-aggregated, and a huge project costs one row per task in the shuffle. The texts of
-    manifests, which would have every row sorted, are picked from the few rows that hold one.
+    Contributions of different files add up (:func:`combined`), and ``sign=-1`` takes those of
+    earlier versions away again, so a project is kept current from its changed files alone.
+    Everything is hash-aggregated: the text of a manifest is a key that is null in all other
+    rows, so a huge project costs one row per task in the shuffle.
     """
-    aggregates, texts, parsed, maps, derived, dropped = _fact_columns(tuple(registry.rules))
-    facts = observations.groupBy("project_id").agg(*aggregates)
-    manifests = observations.where("manifest is not null").groupBy("project_id").agg(*texts)
-    facts = facts.join(manifests, "project_id", "left")
-    return facts.withColumns(parsed).withColumns(maps).withColumns(derived).drop(*dropped)
+    keys, sums = _contribution_columns(tuple(registry.rules))
+    rows = observations.withColumns(keys).groupBy(*CONTRIBUTION_KEY).agg(*[v.alias(k) for k, v in sums.items()])
+    return rows if sign == 1 else rows.withColumns({k: -F.col(k) for k in sums})
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """Contributions of several scans, rescans and withdrawals, added up."""
+    names = [c for c in parts.columns if c not in CONTRIBUTION_KEY]
+    sums = parts.groupBy(*CONTRIBUTION_KEY).agg(*[F.sum(c).alias(c) for c in names])
+    return sums.where("m_path is null or n_files > 0")
+
+
+def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
+    """One row per project: context (C1-C10), counts of file and line findings, sums."""
+    return facts_of(contributions(observations, registry), registry)
+
+
+def facts_of(parts: DataFrame, registry: Registry) -> DataFrame:
+    """The same from contributions, at most one row for each key of them."""
+    sums, flags, texts, parsed, maps, derived, dropped = _fact_columns(tuple(registry.rules))
+    facts = parts.groupBy("project_id").agg(*sums, *texts).where("n_files > 0")
+    facts = facts.withColumns(flags).withColumns(parsed).withColumns(maps)
+    return facts.withColumns(derived).drop(*dropped)
+
+
+_ROOT_FILES = {
+    "has_typescript": ["tsconfig.json"],
+    "has_gitignore": [".gitignore", "gitignore"],
+    "has_env_file": [".env", ".env.local"],
+    "has_env_example": [".env.example"],
+    "has_readme": ["README.md"],
+    "uses_pnpm": ["pnpm-lock.yaml"],
+    "uses_yarn": ["yarn.lock"],
+}
 
 
 @once
-def _fact_columns(rules: tuple) -> tuple:
+def _contribution_columns(rules: tuple) -> tuple[dict, dict]:
     path, is_file = F.col("path"), F.col("rule_no") == 0
     picked = is_file & F.col("selected")
+    held = F.col("manifest").isNotNull()
+    keys = {"m_path": F.when(held, path), "m_selected": F.when(held, F.col("selected"))}
 
-    def root(*names: str) -> Column:
-        return F.bool_or(is_file & path.isin(*names))
-
-    manifest_at = F.when(picked & F.col("manifest").isNotNull(), F.struct(P.depth(path), path))
-    aggregates = [
-        root("tsconfig.json").alias("has_typescript"),
-        root(".gitignore", "gitignore").alias("has_gitignore"),
-        root(".env", ".env.local").alias("has_env_file"),
-        root(".env.example").alias("has_env_example"),
-        root("README.md").alias("has_readme"),
-        root("pnpm-lock.yaml").alias("uses_pnpm"),
-        root("yarn.lock").alias("uses_yarn"),
-        F.bool_or(is_file & F.col("env_listed")).alias("env_listed"),
-        F.sum(F.when(picked, F.col("any_count")).otherwise(0)).alias("any_total"),
-        F.count_if(picked).alias("files_scanned"),
-        F.sum(F.when(picked, F.col("n_lines")).otherwise(0)).cast("bigint").alias("lines_scanned"),
-        *_hit_counts(rules),
-    ]
+    def total(value: Column) -> Column:
+        return F.sum(value.cast("bigint"))
+
+    sums = {"n_files": total(F.when(is_file, 1).otherwise(0))}
+    for name, paths in _ROOT_FILES.items():
+        sums[name] = total(F.when(is_file & path.isin(*paths), 1).otherwise(0))
+    sums["env_listed"] = total(F.when(is_file & F.col("env_listed"), 1).otherwise(0))
+    sums["any_total"] = total(F.when(picked, F.col("any_count")).otherwise(0))
+    sums["files_scanned"] = total(F.when(picked, 1).otherwise(0))
+    sums["lines_scanned"] = total(F.when(picked, F.col("n_lines")).otherwise(0))
+    return keys, sums | _hit_counts(rules)
+
+
+@once
+def _fact_columns(rules: tuple) -> tuple:
+    sums = [F.sum(c).alias(c) for c in _contribution_columns(rules)[1]]
+    flags = {c: F.col(c) > 0 for c in [*_ROOT_FILES, "env_listed"]}
+    present = (F.col("n_files") > 0) & F.col("manifest").isNotNull()
+    manifest_at = F.when(present & F.col("m_selected"), F.struct(P.depth(F.col("m_path")), F.col("m_path")))
     texts = [
-        F.max(F.when(is_file & (path == "package.json"), F.col("manifest"))).alias("root_manifest"),
-        F.min_by(F.struct("path", "manifest"), manifest_at).alias("first_manifest"),
+        F.max(F.when(present & (F.col("m_path") == "package.json"), F.col("manifest"))).alias("root_manifest"),
+        F.min_by(F.struct(F.col("m_path").alias("path"), "manifest"), manifest_at).alias("first_manifest"),
     ]
     parsed = {
         "pkg": parse_json(F.col("root_manifest"), MANIFEST),
@@ -148,8 +186,8 @@ def _fact_columns(rules: tuple) -> tuple:
         | F.exists(F.map_keys("scripts"), lambda k: k.contains("test")),
         "nextjs_version": F.regexp_replace(F.try_element_at(deps, F.lit("next")), r"[\^~]", ""),
     }
-    dropped = ["pkg", "first_pkg", "first_manifest", "root_manifest", "uses_pnpm", "uses_yarn"]
-    return aggregates, texts, parsed, maps, derived, dropped
+    dropped = ["pkg", "first_pkg", "first_manifest", "root_manifest", "uses_pnpm", "uses_yarn", "n_files"]
+    return sums, flags, texts, parsed, maps, derived, dropped
 
 
 def project_context(raw_files: DataFrame) -> DataFrame:
@@ -158,23 +196,23 @@ def project_context(raw_files: DataFrame) -> DataFrame:
     return project_facts(observations, Registry()).select("project_id", *CONTEXT_COLUMNS)
 
 
-def _hit_counts(rules: tuple) -> list[Column]:
+def _hit_counts(rules: tuple) -> dict[str, Column]:
     """Findings per severity and category and their penalty, from rule numbers alone."""
     numbered = [(no, r) for no, r in enumerate(rules, 1) if not isinstance(r, ProjectRule)]
 
-    def tally(name: str, value_of) -> Column:
+    def tally(value_of) -> Column:
         cases = {no: value_of(r) for no, r in numbered if value_of(r)}
         value = F.lit(0)
         for weight in sorted(set(cases.values())):
             numbers = [no for no, w in cases.items() if w == weight]
             value = F.when(F.col("rule_no").isin(numbers), weight).otherwise(value)
-        return F.sum(value.cast("bigint")).alias(name)
+        return F.sum(value.cast("bigint"))
 
-    out = [tally("file_penalty", lambda r: penalty_tenths_of(r.severity, r.category))]
+    out = {"file_penalty": tally(lambda r: penalty_tenths_of(r.severity, r.category))}
     for s in V.SEVERITIES:
-        out.append(tally(f"file_{s}", lambda r, s=s: int(r.severity == s)))
+        out[f"file_{s}"] = tally(lambda r, s=s: int(r.severity == s))
     for c in V.CATEGORIES:
-        out.append(tally(f"file_{c}", lambda r, c=c: int(r.category == c)))
+        out[f"file_{c}"] = tally(lambda r, c=c: int(r.category == c))
     return out
 
 
