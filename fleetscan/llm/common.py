@@ -47,6 +47,18 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts that are in one Arrow batch, where the session keeps Spark's default of 10,000.
+BATCH_TEXTS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand at a time, so that neither they nor the JVM hold
+    more; a session that has its own setting keeps it."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_TEXTS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
