@@ -5,7 +5,7 @@ from fleetscan.operators.context import project_context, project_summary
 from fleetscan.operators.fixes import FixRegistry, FixSpec, apply_fix, default_fixers, preview_fix
 from fleetscan.operators.repair import repair_plan, repair_steps
 from fleetscan.operators.scoring import score, summary
-from fleetscan.plans.scan import ScanTables, scan
+from fleetscan.plans.scan import Rescan, ScanTables, rescan, scan
 from fleetscan.rules.builtin import BUILTIN_RULES, default_registry
 from fleetscan.rules.model import DetectorSpec, FileRule, LineRule, ProjectRule, Registry
 from fleetscan.sources.corpus import read_corpus
@@ -22,6 +22,7 @@ __all__ = [
     "LineRule",
     "ProjectRule",
     "Registry",
+    "Rescan",
     "ScanConfig",
     "ScanTables",
     "apply_fix",
@@ -36,6 +37,7 @@ __all__ = [
     "read_trees",
     "repair_plan",
     "repair_steps",
+    "rescan",
     "scan",
     "score",
     "summary",

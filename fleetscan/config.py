@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscan import values as V
@@ -55,14 +55,55 @@ class ScanConfig:
         return self
 
 
+SETTINGS = (
+    "project_id string, root string, enabled_categories array<string>, min_severity string, "
+    "exclude_patterns array<string>, max_files int, timeout_ms int"
+)
+
+
+def with_all_settings(configs: DataFrame) -> DataFrame:
+    """``configs`` with every option of :data:`SETTINGS`; an absent one is null, which keeps the
+    scan's own value."""
+    given = {c.lower() for c in configs.columns}
+    columns = []
+    for part in SETTINGS.split(", "):
+        name, kind = part.split(" ", 1)
+        columns.append((F.col(name) if name in given else F.lit(None)).cast(kind).alias(name))
+    return configs.select(*columns, *[c for c in configs.columns if c == "error"])
+
+
 def validate_configs(configs: DataFrame) -> DataFrame:
-    """Per-project options (``project_id, root, max_files, timeout_ms``) with a column
-    ``error``: null for a usable row, otherwise everything wrong with it."""
-    problems = F.array_compact(
-        F.array(
-            F.when(F.coalesce(F.trim("root"), F.lit("")) == "", "root must not be empty"),
-            F.when(F.col("max_files") <= 0, "max_files must be positive"),
-            F.when(F.col("timeout_ms") <= 0, "timeout_ms must be positive"),
+    """Per-project options (``project_id`` and any of :data:`SETTINGS`) with a column ``error``:
+    null for a usable row, otherwise everything wrong with it."""
+    given = configs.columns
+    problems = []
+    if "root" in given:
+        empty = F.coalesce(F.trim("root"), F.lit("")) == ""
+        problems.append(F.when(empty, "root must not be empty"))
+    for name in ("max_files", "timeout_ms"):
+        if name in given:
+            problems.append(F.when(F.col(name) <= 0, f"{name} must be positive"))
+    if "min_severity" in given:
+        known = F.col("min_severity").isin(*V.SEVERITIES)
+        problems.append(F.when(~known, "min_severity is not known"))
+    if "enabled_categories" in given:
+        strange = F.array_except("enabled_categories", F.array(*[F.lit(c) for c in V.CATEGORIES]))
+        problems.append(
+            F.when(F.size(strange) > 0, F.concat(F.lit("not known: "), F.array_join(strange, " ")))
         )
-    )
-    return configs.withColumn("error", F.nullif(F.array_join(problems, ", "), F.lit("")))
+    error = F.array_join(F.array_compact(F.array(*problems)), ", ") if problems else F.lit("")
+    return configs.withColumn("error", F.nullif(error, F.lit("")))
+
+
+def rule_mask(rules: list) -> Column:
+    """Bits of the rules (bit n: rule n) that a row of settings leaves on."""
+    worst = F.lit(max(V.SEVERITY_RANK.values()))
+    for name, rank in V.SEVERITY_RANK.items():
+        worst = F.when(F.col("min_severity") == name, rank).otherwise(worst)
+    everything = F.array(*[F.lit(c) for c in V.CATEGORIES])
+    chosen = F.coalesce("enabled_categories", everything)
+    mask = F.lit(0).cast("bigint")
+    for no, rule in enumerate(rules, 1):
+        on = F.array_contains(chosen, rule.category) & (F.lit(V.SEVERITY_RANK[rule.severity]) <= worst)
+        mask = mask + F.when(on, 1 << no).otherwise(0).cast("bigint")
+    return mask

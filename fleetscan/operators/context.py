@@ -16,7 +16,7 @@ from fleetscan.functions.severity import (
 )
 from fleetscan.operators.observe import observe
 from fleetscan.plans.reuse import once
-from fleetscan.rules.model import ProjectRule, Registry
+from fleetscan.rules.model import PROJECT_HIT, ProjectRule, Registry
 
 MANIFEST = (
     "struct<scripts:map<string,string>,dependencies:map<string,string>,"
@@ -217,14 +217,21 @@ def _hit_counts(rules: tuple) -> dict[str, Column]:
 
 
 def with_project_hits(facts: DataFrame, registry: Registry) -> DataFrame:
-    """Evaluate the project rules: column ``hits_<no>`` holds a rule's hits."""
-    hits = _project_hits(tuple(registry.rules))
+    """Evaluate the project rules: column ``hits_<no>`` holds a rule's hits. Where facts have a
+    column ``active``, its bits say which rules run."""
+    hits = _project_hits(tuple(registry.rules), "active" in facts.columns)
     return facts.withColumns(hits) if hits else facts
 
 
 @once
-def _project_hits(rules: tuple) -> dict[str, Column]:
-    return {f"hits_{no}": r.hits(F.col) for no, r in Registry(rules).numbered(ProjectRule)}
+def _project_hits(rules: tuple, masked: bool) -> dict[str, Column]:
+    def hits(no: int, rule: ProjectRule) -> Column:
+        if not masked:
+            return rule.hits(F.col)
+        none = F.array().cast(f"array<{PROJECT_HIT}>")
+        return F.when(F.getbit("active", F.lit(no)) == 1, rule.hits(F.col)).otherwise(none)
+
+    return {f"hits_{no}": hits(no, r) for no, r in Registry(rules).numbered(ProjectRule)}
 
 
 def project_summary(facts: DataFrame, registry: Registry) -> DataFrame:

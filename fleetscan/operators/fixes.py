@@ -392,6 +392,11 @@ def apply_fix(findings: DataFrame, files: DataFrame, fixers: FixRegistry | None
     """The file table after all fixes: changed contents and added files."""
     # worked out once, and sent to where the files are if it measures small: then no content moves
     fixed = small_side(fixed_files(findings, files, fixers), weigh=F.length("new_content"))
+    return with_fixes(files, fixed)
+
+
+def with_fixes(files: DataFrame, fixed: DataFrame) -> DataFrame:
+    """``files`` with the contents of ``fixed(project_id, path, new_content)`` put in."""
     out = files.select("project_id", "path", "content").join(
         fixed, ["project_id", "path"], "left"
     )

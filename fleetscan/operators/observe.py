@@ -33,17 +33,21 @@ def observe(
 
     Files with ``selected = false`` only give their file row. Inline ignore comments
     take effect here, where the lines are at hand; ``honour_ignores=False`` leaves
-    all hits in, for :func:`fleetscan.operators.suppress.inline_ignores` to filter.
+    all hits in, for :func:`fleetscan.operators.suppress.inline_ignores` to filter. A column
+    ``active`` says by its bits which rules run on the file (bit n: rule n).
     """
     if "selected" not in files.columns:
         files = files.withColumn("selected", F.lit(True))
-    for columns in _stages(tuple(registry.rules), ignore_prefix, honour_ignores):
+    masked = "active" in files.columns
+    for columns in _stages(tuple(registry.rules), ignore_prefix, honour_ignores, masked):
         files = files.select(*columns)
     return files
 
 
 @once
-def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[list, ...]:
+def _stages(
+    rules: tuple, ignore_prefix: str, honour_ignores: bool, masked: bool
+) -> tuple[list, ...]:
     """The projections of :func:`observe`, in order."""
     registry = Registry(rules)
     line_rules = registry.numbered(LineRule)
@@ -63,12 +67,16 @@ def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[lis
         "selected",
         F.coalesce("content", F.lit("")).alias("content"),
         *[when.alias(name) for name, when in classes.items()],
+        *(["active"] if masked else []),
     ]
     none = F.array().cast("array<int>")
 
     def fires(no: int, when: Column) -> Column:
         return F.when(when, F.array(F.lit(no))).otherwise(none)
 
+    def runs(no: int, when: Column) -> Column:
+        return (F.getbit("active", F.lit(no)) == 1) & when if masked else when
+
     n_lines = line_count(content)
     view = FileView(path=path, content=content, n_lines=n_lines, **{c: F.col(c) for c in classes})
     per_file = [
@@ -76,10 +84,10 @@ def _stages(rules: tuple, ignore_prefix: str, honour_ignores: bool) -> tuple[lis
         "path",
         "selected",
         "content",
-        *[(selected & r.file_when(view)).alias(f"look_{no}") for no, r in line_rules],
+        *[(selected & runs(no, r.file_when(view))).alias(f"look_{no}") for no, r in line_rules],
         F.when(
             selected,
-            F.concat(F.array(F.lit(0)), *[fires(no, r.when(view)) for no, r in file_rules]),
+            F.concat(F.array(F.lit(0)), *[fires(no, runs(no, r.when(view))) for no, r in file_rules]),
         )
         .otherwise(F.array(F.lit(0)))
         .alias("file_hits"),

@@ -29,6 +29,7 @@ def mark_selected(
     max_files: int | None = None,
     targets: DataFrame | None = None,
     ignore_case: bool = True,
+    more_rules: DataFrame | None = None,
 ) -> DataFrame:
     """All files with a column ``selected``. Contents are only passed through: rules, targets
     and the cap are worked out on paths and come back as small tables. Files that the
@@ -39,6 +40,8 @@ def mark_selected(
         out = out.withColumn("selected", F.coalesce("selected", F.lit(False)))
     else:
         rules = ignore_rules(files, ignore_case)
+        if more_rules is not None:
+            rules = rules.unionByName(more_rules)
         out = with_ignored(files, rules, ignore_case, exclude_patterns)
         out = out.withColumn("selected", selectable(ignore_case) & ~F.col("ignored"))
         out = out.drop("ignored")
@@ -47,9 +50,10 @@ def mark_selected(
     return out if max_files is None else mark_capped(out, max_files)[0]
 
 
-def mark_capped(marked: DataFrame, max_files: int) -> tuple[DataFrame, DataFrame]:
-    """``marked`` with only the first ``max_files`` files of each project still selected, and for
-    each project that this cuts ``project_id, left_out``: how many files."""
+def mark_capped(marked: DataFrame, max_files: int | Column) -> tuple[DataFrame, DataFrame]:
+    """``marked`` with only the first ``max_files`` files of each project still selected (a column
+    may give each project a cap of its own, null for none), and for each project that this
+    cuts ``project_id, left_out``: how many files."""
     cut = small_side(last_kept_paths(marked.where("selected"), max_files))
     joined = marked.join(cut, "project_id", "left")
     within = F.col("last_path").isNull() | (F.col("path") <= F.col("last_path"))
@@ -70,31 +74,34 @@ def target_files(files: DataFrame, targets: DataFrame) -> DataFrame:
     return files.join(wanted, ["project_id", "path"], "left_semi")
 
 
-def last_kept_paths(files: DataFrame, max_files: int) -> DataFrame:
+def last_kept_paths(files: DataFrame, max_files: int | Column) -> DataFrame:
     """For each project with more than ``max_files`` files, the last path kept in path order.
 
     The first ``max_files`` paths are taken per salt and only then per project, so no task
     ever ranks more than ``SALTS * max_files`` paths of one project. Projects within the
     cap give no row.
     """
-    keys = files.select("project_id", "path")
+    limit = max_files if isinstance(max_files, Column) else F.lit(max_files)
+    keys = files.select("project_id", "path", limit.alias("most"))
+    if isinstance(max_files, Column):
+        keys = keys.where("most is not null")
     salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
     per_salt = W.partitionBy("project_id", "salt").orderBy("path")
     heads = (
         keys.withColumn("salt", salt)
         .withColumn("n", F.row_number().over(per_salt))
-        .where(F.col("n") <= max_files + 1)
+        .where(F.col("n") <= F.col("most") + 1)
     )
     per_project = W.partitionBy("project_id").orderBy("path")
     ranked = heads.withColumn("n", F.row_number().over(per_project))
     return (
-        ranked.where(F.col("n") <= max_files + 1)
+        ranked.where(F.col("n") <= F.col("most") + 1)
         .groupBy("project_id")
         .agg(
-            F.max("n").alias("n"),
-            F.max(F.when(F.col("n") <= max_files, F.col("path"))).alias("last_path"),
+            F.max(F.col("n") - F.col("most")).alias("over"),
+            F.max(F.when(F.col("n") <= F.col("most"), F.col("path"))).alias("last_path"),
         )
-        .where(F.col("n") > max_files)
+        .where("over > 0")
         .select("project_id", "last_path")
     )
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetscan import values as V
 from fleetscan.operators.context import CONTEXT_COLUMNS
 from fleetscan.operators.repair import ordered
+from fleetscan.sources.commits import Commits
 
 
 def result_documents(
@@ -54,15 +59,49 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").json(path)
 
 
+TABLES = ("findings", "steps", "projects", "errors")
+
+
 def write_tables(tables, path: str, scan_date: str) -> None:
-    """Findings, steps, scores and errors as Parquet, one partition per scan date.
-    Writing a date again replaces that date only."""
-    for name in ("findings", "steps", "projects", "errors"):
-        (
-            getattr(tables, name)
-            .withColumn("scan_date", F.lit(scan_date).cast("date"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scan_date")
-            .parquet(f"{path}/{name}")
-        )
+    """Findings, steps, scores and errors as Parquet, published together as those of a scan date.
+
+    The four are written to a folder of their own; a commit makes them the date's tables. If a
+    write fails, the date stays as it was. Writing a date again replaces that date only; folders
+    that no date names any more are left for :func:`vacuum`.
+    """
+    folder = f"data/{scan_date}-{uuid.uuid4().hex}"
+    schemas = {}
+    for name in TABLES:
+        rows = getattr(tables, name).withColumn("scan_date", F.lit(scan_date).cast("date"))
+        schemas[name] = rows.schema.json()
+        rows.write.parquet(f"{path}/{folder}/{name}")
+    commits = Commits(rows.sparkSession, f"{path}/commits")
+    number, document = commits.read()
+    dates = {**document.get("dates", {}), scan_date: {"folder": folder, "schemas": schemas}}
+    unused = [d["folder"] for d in document.get("dates", {}).values() if d not in dates.values()]
+    commits.write(number, {"dates": dates, "unused": [*document.get("unused", []), *unused]})
+
+
+def read_tables(spark: SparkSession, path: str, name: str, dates: list[str] | None = None) -> DataFrame:
+    """One of :data:`TABLES` over the published scan dates, or some of them."""
+    published = Commits(spark, f"{path}/commits").read()[1].get("dates", {})
+    out = None
+    for date in sorted(published) if dates is None else dates:
+        schema = StructType.fromJson(json.loads(published[date]["schemas"][name]))
+        rows = spark.read.schema(schema).parquet(f"{path}/{published[date]['folder']}/{name}")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no scan is published in {path}")
+    return out
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove folders of replaced dates, once nobody reads them any more; how many."""
+    commits = Commits(spark, f"{path}/commits")
+    number, document = commits.read()
+    unused = document.get("unused", [])
+    if unused:
+        commits.write(number, {**document, "unused": []})
+        for folder in unused:
+            commits.remove(f"{path}/{folder}")
+    return len(unused)

@@ -136,3 +136,69 @@ def test_a_scan_with_targets(spark, make_files):
     targets = spark.createDataFrame([("p", "b.ts")], "project_id string, path string")
     found = scan(files, ScanConfig(root="."), targets=targets).findings.where("line is not null")
     assert [r.file for r in found.collect()] == ["b.ts"]
+
+
+def _row(rows, **given):
+    columns = []
+    for c in FINDING_SCHEMA.split(", "):
+        name, kind = c.split(" ", 1)
+        value = F.col(name) if name == "project_id" else given.get(name, F.lit(0 if name in ("tail", "ordinal") else None))
+        columns.append(value.cast(kind).alias(name))
+    return rows.select(*columns)
+
+
+def test_a_detector_that_throws_in_a_task_is_told(spark, make_files):
+    def throwing(files, context):
+        return _row(files, id=F.raise_error(F.lit("no\nsuch thing")).cast("string"))
+
+    registry = default_registry()
+    registry.register(DetectorSpec("throwing", "Throwing", "secret", throwing))
+    files = make_files({"p": {"a.ts": "console.log(1)"}, "q": {"a.ts": ""}})
+    tables = scan(files, ScanConfig(root="."), registry)
+    errors = tables.errors.collect()
+    assert {(r.project_id, r.detector_id) for r in errors} == {("p", "throwing"), ("q", "throwing")}
+    assert all("\n" not in r.message and len(r.message) <= 500 for r in errors)
+    plain = scan(files, ScanConfig(root="."))
+    assert sorted(tables.findings.collect()) == sorted(plain.findings.collect())
+    with pytest.raises(Exception, match="such thing"):
+        scan(files, ScanConfig(root="."), registry, store=False).findings.collect()
+
+
+SETTINGS = "project_id string, enabled_categories array<string>, min_severity string, exclude_patterns array<string>, max_files int"
+
+
+def test_options_of_single_projects(spark, make_files):
+    code = "console.log(1)\ntry {} catch (e) {}\n"
+    names = ["plain", "auth", "medium", "without", "one", "bad", "strange"]
+    files = make_files({p: {"a.ts": code, "b.ts": code, ".gitignore": "!b.ts"} for p in names})
+    rows = [
+        ("auth", ["auth"], None, None, None), ("medium", None, "medium", None, None),
+        ("without", None, None, ["b.*"], None), ("one", None, None, None, 2),
+        ("bad", None, None, None, -1), ("strange", ["style"], "worst", None, None),
+    ]
+    tables = scan(files, ScanConfig(root="."), settings=spark.createDataFrame(rows, SETTINGS))
+    found = {}
+    for r in tables.findings.where("category = 'code_quality'").collect():
+        found.setdefault(r.project_id, []).append((r.rule_id.split("/")[1], r.file))
+    both = [("console-log", "a.ts"), ("console-log", "b.ts"), ("empty-catch", "a.ts"), ("empty-catch", "b.ts")]
+    assert {p: sorted(v) for p, v in found.items()} == {
+        "plain": both, "medium": both[2:], "without": both[::2], "one": both[::2],
+    }
+    scores = {r.project_id: r.total for r in tables.projects.collect()}
+    assert set(scores) == set(names) - {"bad", "strange"} and scores["auth"] == 0
+    errors = {r.project_id: r.message for r in tables.errors.collect()}
+    assert errors == {
+        "bad": "Invalid configuration: max_files must be positive",
+        "strange": "Invalid configuration: min_severity is not known, not known: style",
+        "one": "1 files beyond the cap were left out",
+    }
+    # project rules follow the mask too
+    structure = tables.findings.where("category = 'structure'").select("project_id").distinct()
+    assert {r.project_id for r in structure.collect()} == {"plain", "without", "one"}
+
+
+def test_options_that_are_not_given_change_nothing(spark, make_files):
+    files = make_files({"p": {"a.ts": "console.log(1)"}})
+    none = spark.createDataFrame([], "project_id string")
+    one, other = scan(files, ScanConfig(root=".")), scan(files, ScanConfig(root="."), settings=none)
+    assert one.findings.collect() == other.findings.collect() and other.errors.count() == 0

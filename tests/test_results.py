@@ -199,3 +199,30 @@ def test_categories_per_project(spark):
     )
     kept = {(r.project_id, r.category) for r in enabled_by_project(rows, settings).collect()}
     assert kept == {("a", "auth")} | {(p, c) for p in "cd" for c in ("auth", "structure")}
+
+
+def test_blocks_make_up_their_span(spark):
+    from pyspark.sql import functions as F
+
+    spans = [(a, b) for a in range(20) for b in range(a, 24)] + [(5, 1_000_000), (0, 2**31 - 2), (7, 7)]
+    df = spark.createDataFrame(spans, "a int, b int")
+    for r in df.select("a", "b", locate.blocks_of(F.col("a"), F.col("b")).alias("at")).collect():
+        pieces = sorted((x.block << x.level, (x.block + 1) << x.level) for x in r["at"])
+        assert pieces[0][0] == r.a and pieces[-1][1] == r.b + 1 and len(pieces) <= 62
+        assert all(x[1] == y[0] for x, y in zip(pieces, pieces[1:]))
+
+
+def test_positions_in_long_spans(spark):
+    rng = random.Random(4)
+    rows, spans = [], []
+    for k in range(60):
+        start, size = rng.randint(1, 3000), rng.choice([0, 1, 7, 500, 2_000_000])
+        spans.append((start - 1, start - 1 + size, k))
+        rows.append(finding(k, file="a.ts", line=start, end_line=start + size))
+    positions = [("p", "a.ts", rng.randint(0, 4000)) for _ in range(300)] + [("p", "a.ts", 1_500_000), ("p", "b.ts", 1)]
+    df = spark.createDataFrame(positions, "project_id string, path string, pos int")
+    got = sorted((r.path, r.pos, r.id) for r in locate.position_lookup(table(spark, rows), df).collect())
+    # of equal severity, the one that starts first counts
+    first = {p: min(((a, k) for a, b, k in spans if a <= p <= b), default=None) for _, f, p in positions if f == "a.ts"}
+    want = sorted((f, p, f"p-{first[p][1]}") for _, f, p in positions if f == "a.ts" and first[p])
+    assert got == want

@@ -1,8 +1,12 @@
 import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from fleetscan import ScanConfig, decode, read_corpus, read_trees, scan
-from fleetscan.sources.sinks import result_documents, write_documents, write_tables
+from fleetscan.sources.commits import Commits
+from fleetscan.sources.sinks import read_tables, result_documents, vacuum, write_documents, write_tables
 from fleetscan.sources.trees import skipped_files
 
 
@@ -65,7 +69,7 @@ def test_result_tables_and_documents(spark, tmp_path, make_files):
     for _ in range(2):
         write_tables(tables, str(tmp_path / "out"), "2024-01-01")
     write_tables(tables, str(tmp_path / "out"), "2024-01-02")
-    written = spark.read.parquet(str(tmp_path / "out" / "findings"))
+    written = read_tables(spark, str(tmp_path / "out"), "findings")
     n = tables.findings.count()
     assert written.count() == 2 * n and written.where("scan_date = '2024-01-01'").count() == n
     documents = result_documents(tables.projects, tables.findings, "2024-01-01T00:00:00Z", chunk=10)
@@ -76,3 +80,39 @@ def test_result_tables_and_documents(spark, tmp_path, make_files):
     parts = [json.loads(r.document) for r in sorted(rows, key=lambda r: r.part) if r.project_id == "p" and r.part]
     assert [len(p) for p in parts] == [10, 10, 8]
     assert [f["order"] for p in parts for f in p] == list(range(1, 29))
+
+
+def test_a_failed_write_leaves_what_was_published(spark, tmp_path, make_files):
+    out = str(tmp_path / "out")
+    tables = scan(make_files({"p": {"a.ts": "console.log(1)"}}), ScanConfig(root="."))
+    with pytest.raises(ValueError):
+        read_tables(spark, out, "findings")
+    write_tables(tables, out, "2024-01-01")
+    before = sorted(read_tables(spark, out, "findings").collect())
+    tables.projects = tables.projects.withColumn("score", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        write_tables(tables, out, "2024-01-01")
+    assert sorted(read_tables(spark, out, "findings").collect()) == before
+    assert vacuum(spark, out) == 0
+
+
+def test_replaced_dates_are_removed_when_asked(spark, tmp_path, make_files):
+    out = str(tmp_path / "out")
+    for text in ("console.log(1)", "clean"):
+        write_tables(scan(make_files({"p": {"a.ts": text}}), ScanConfig(root=".")), out, "2024-01-01")
+    assert len(os.listdir(tmp_path / "out" / "data")) == 2 and vacuum(spark, out) == 1
+    assert len(os.listdir(tmp_path / "out" / "data")) == 1
+    log = "rule_id = 'code_quality/console-log'"
+    assert read_tables(spark, out, "findings", ["2024-01-01"]).where(log).count() == 0
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    one, two = (Commits(spark, str(tmp_path / "c")) for _ in range(2))
+    number, _ = one.read()
+    assert one.write(number, {"a": "é"}) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.write(number, {"a": 2})
+    assert two.read() == (1, {"a": "é"})
+    for k in range(1, 9):
+        one.write(k, {"a": k})
+    assert two.read() == (9, {"a": 8}) and len([n for n in os.listdir(tmp_path / "c") if n.endswith(".json")]) == 3

@@ -843,6 +843,55 @@ ORACLES = {
         GROUP BY project_id, rule_id, file, line"""
     ),
     "merge_findings": later(f"SELECT {COLS} FROM findings", MARKED, LINES, CONTEXT, FINDINGS),
+    "rescan_scores": later(
+        """SELECT project_id, score, deploy_status, total, coalesce(files_scanned, 0) AS files_scanned,
+          coalesce(lines_scanned, 0) AS lines_scanned
+        FROM scores LEFT JOIN (SELECT project_id, count(*) AS files_scanned,
+            CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines_scanned
+          FROM files GROUP BY project_id) USING (project_id)""",
+        MARKED, LINES, CONTEXT, FINDINGS, SCORES,
+    ),
+    "scan_configs": found(
+        """SELECT f.project_id, rule_id, severity, file, line, NULL AS message
+        FROM findings f JOIN projects p USING (project_id)
+        WHERE s % 12 <> 4 AND NOT (s % 6 = 3 AND s % 12 = 3)
+          AND (s % 6 <> 0 OR category IN ('auth', 'code_quality'))
+          AND (s % 6 <> 1 OR severity IN ('critical', 'high'))
+          AND (s % 6 <> 2 OR (severity <> 'low' AND coalesce(file NOT LIKE 'components/%', true)))
+        UNION ALL SELECT project_id, NULL, NULL, NULL, NULL, 'Invalid configuration: not known: style'
+        FROM projects WHERE s % 12 = 4
+        UNION ALL SELECT project_id, NULL, NULL, NULL, NULL,
+          'Invalid configuration: max_files must be positive' FROM projects WHERE s % 12 = 3"""
+    ),
+    "custom_detectors": found(
+        """SELECT project_id, rule_id, count(*) AS n FROM (
+          SELECT project_id, rule_id FROM findings
+          UNION ALL SELECT project_id, 'own/long-line' FROM files WHERE len(list_filter(
+            string_split(content, chr(10)), lambda x: len(x) > 2000)) > 0
+          UNION ALL SELECT project_id, 'throwing' FROM projects)
+        GROUP BY project_id, rule_id"""
+    ),
+    "span_lookup": sql(
+        """SELECT project_id, path, pos, id, rule_id FROM (
+          SELECT DISTINCT project_id, path, doc_id, unnest([doc_id % 11, doc_id * 7919 % 6000,
+            doc_id * 104729 % 1000003]) AS pos FROM doc_files) p
+        JOIN (SELECT doc_id, 'S0-' || path AS id, 'own/span-0' AS rule_id, doc_id % 7 + 1 AS a,
+            doc_id * 1013 % 1000000 AS n, doc_id % 2 AS rank FROM doc_files
+          UNION ALL SELECT doc_id, 'S1-' || path, 'own/span-1', doc_id % 5 + 300, doc_id * 31 % 5000,
+            (doc_id + 1) % 2 FROM doc_files) f USING (doc_id)
+        WHERE pos BETWEEN a - 1 AND a + n - 1
+        QUALIFY row_number() OVER (PARTITION BY project_id, path, pos ORDER BY rank) = 1"""
+    ),
+    "tables_round_trip": found(
+        """SELECT project_id, scan_date, name, count(*) AS n, count(DISTINCT v) AS different FROM (
+          SELECT project_id, 'findings' AS name, id AS v FROM findings
+          UNION ALL SELECT project_id, 'steps', id FROM steps
+          UNION ALL SELECT project_id, 'projects', CAST(score AS VARCHAR) FROM scores
+          UNION ALL SELECT project_id, 'errors', message FROM dep_errors),
+          (VALUES ('2024-01-01'), ('2024-01-02')) dates(scan_date)
+        GROUP BY project_id, scan_date, name""",
+        STEPS, SCORES,
+    ),
     "debounce_saves": "WITH " + ",".join((_SAVES, _sessions("6 HOUR")))
     + " SELECT project_id, path, content, saves FROM sessions",
     "debounce_default": "WITH " + ",".join((_SAVES, _sessions("1500 MILLISECOND")))

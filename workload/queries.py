@@ -17,11 +17,11 @@ from fleetscan.operators import diff, fixes, gitignore, locate, repair, scoring,
 from fleetscan.operators import findings as fnd
 from fleetscan.operators.observe import observe
 from fleetscan.operators.suppress import inline_ignores
-from fleetscan.plans.scan import detector_errors, scan
-from fleetscan.plans.sizing import fresh_path, stored
+from fleetscan.plans.scan import Rescan, ScanTables, detector_errors, rescan, scan
+from fleetscan.plans.sizing import fresh_path, small_side, stored
 from fleetscan.rules.builtin import default_registry
-from fleetscan.rules.model import Registry
-from fleetscan.sources.sinks import result_documents
+from fleetscan.rules.model import DetectorSpec, Registry
+from fleetscan.sources.sinks import read_tables, result_documents, vacuum, write_tables
 from fleetscan.streaming.saves import IncrementalScan, code_saves, debounce
 from workload import corpus
 
@@ -411,18 +411,13 @@ def apply_fix(spark, sf_dir):
     return _digest(fixes.apply_fix(*_fix_inputs(spark, sf_dir)), "content")
 
 
-def _rescan(files: DataFrame) -> DataFrame:
-    registry = default_registry()
-    rows = stored(observe(selection.mark_selected(files), registry))
-    facts = ctx.project_facts(rows, registry)
-    hits = fnd.file_hits(rows).unionByName(fnd.project_hits(facts, registry))
-    return fnd.describe(hits, registry)
-
-
 def fix_verify(spark, sf_dir):
-    rows, files = _fix_inputs(spark, sf_dir)
-    after = _rescan(stored(fixes.apply_fix(rows, files)))
-    return diff.verify_fixes(fixes.fixable(rows), after)
+    """Only what the fixes wrote is looked at again."""
+    tables = scan(listing(spark, sf_dir), ScanConfig(root=sf_dir))
+    rows, files = stored(tables.findings), listing(spark, sf_dir)
+    fixed = small_side(fixes.fixed_files(rows, files), weigh=F.length("new_content"))
+    after = rescan(tables, fixes.with_fixes(files, fixed), fixed)
+    return diff.verify_fixes(fixes.fixable(rows), after.tables.findings)
 
 
 # --- comparing and merging -----------------------------------------------------------------------------------
@@ -439,27 +434,149 @@ def changed_files(spark, sf_dir) -> DataFrame:
     return later.unionByName(corpus.root_files(docs))
 
 
+def labelled_files(spark, sf_dir) -> DataFrame:
+    """``project_id, path`` of the files that :func:`changed_files` changes."""
+    docs = corpus.documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
+    files = corpus.document_files(docs).join(labels, "doc_id", "left_semi")
+    return files.select("project_id", "path")
+
+
+def _scan_and_rescan(spark, sf_dir) -> tuple[ScanTables, Rescan]:
+    before = scan(listing(spark, sf_dir), ScanConfig(root=sf_dir))
+    return before, rescan(before, changed_files(spark, sf_dir), labelled_files(spark, sf_dir))
+
+
 def scan_diff(spark, sf_dir):
-    before = scan_findings(spark, sf_dir)[0]
-    return diff.scan_diff(before, _rescan(changed_files(spark, sf_dir)))
+    before, after = _scan_and_rescan(spark, sf_dir)
+    return diff.scan_diff(before.findings, after.tables.findings)
 
 
 def merge_findings(spark, sf_dir):
     """Replacing the findings of the changed files must give the same as a full rescan."""
+    before, after = _scan_and_rescan(spark, sf_dir)
+    return diff.merge_findings(before.findings, after.partial, after.scope).select(*FINDING)
+
+
+def rescan_scores(spark, sf_dir):
+    """Scores and counts after the changes, from the sums that the changed files had and have."""
+    _, after = _scan_and_rescan(spark, sf_dir)
+    return after.tables.projects.select(
+        "project_id", "score", "deploy_status", "total", "files_scanned", "lines_scanned"
+    )
+
+
+# --- options and detectors of one's own ---------------------------------------------------------------------
+
+
+def project_settings(spark, sf_dir) -> DataFrame:
+    """Options by project number: some categories, a severity, patterns, and two kinds of mistakes."""
     docs = corpus.documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
-    scope = corpus.document_files(docs).join(labels, "doc_id", "left_semi")
-    scope = stored(scope.select("project_id", F.col("path").alias("file")))
-    full = scan_findings(spark, sf_dir, keep=True)[0]
-    new = _rescan(changed_files(spark, sf_dir))
-    project_rules = [r.rule_id for r in default_registry().rules if hasattr(r, "hits")]
-    level = F.col("file").isNull() | F.col("rule_id").isin(project_rules)
-    partial = (
-        new.where(~level)
-        .join(scope, ["project_id", "file"], "left_semi")
-        .unionByName(new.where(level).join(scope.select("project_id").distinct(), "project_id", "left_semi"))
+    project, number = corpus.project_of(F.col("source"), F.col("doc_id"))
+    s = F.col("s")
+    names = "array<string>"
+    return docs.select(project.alias("project_id"), number.alias("s")).distinct().where(s % 6 != 5).select(
+        "project_id",
+        F.when(s % 6 == 0, F.array(F.lit("auth"), F.lit("code_quality")))
+        .when(s % 12 == 4, F.array(F.lit("style"))).cast(names).alias("enabled_categories"),
+        F.when(s % 6 == 1, "high").when(s % 6 == 2, "medium").alias("min_severity"),
+        F.when(s % 6 == 2, F.array(F.lit("components/"))).cast(names).alias("exclude_patterns"),
+        F.when(s % 6 == 3, s % 12 - 4).cast("int").alias("max_files"),
+    )
+
+
+def scan_configs(spark, sf_dir):
+    """A scan in which projects have options of their own, and its error rows."""
+    files = listing(spark, sf_dir)
+    settings = project_settings(spark, sf_dir).withColumn(
+        "max_files", F.when(F.col("max_files") > 0, 1_000_000).otherwise(F.col("max_files"))
+    )
+    tables = scan(files, ScanConfig(root=sf_dir), settings=settings)
+    errors = tables.errors.where("detector_id = 'config'")
+    rows = tables.findings.select("project_id", "rule_id", "severity", "file", "line")
+    return rows.withColumn("message", F.lit(None).cast("string")).unionByName(
+        errors.select("project_id", "message"), allowMissingColumns=True
+    )
+
+
+def _as_findings(rows: DataFrame, **given) -> DataFrame:
+    """Rows of the findings schema with these columns; the others are null or, in the order, 0."""
+    columns = []
+    for part in fnd.FINDING_SCHEMA.split(", "):
+        name, kind = part.split(" ", 1)
+        value = given.get(name, F.lit(0 if name in ("tail", "rule_ord", "ordinal") else None))
+        columns.append((F.col(name) if name == "project_id" else value).cast(kind).alias(name))
+    return rows.select(*columns)
+
+
+def _long_lines(files: DataFrame, context: DataFrame) -> DataFrame:
+    """A detector of one's own: files with a line of more than 2,000 characters."""
+    longest = F.array_max(F.transform(F.split("content", "\n", -1), F.length))
+    rows = files.withColumn("n", longest).where("n > 2000")
+    return _as_findings(
+        rows, id=F.concat(F.lit("LONG-"), "path"), rule_id=F.lit("own/long-line"), title=F.lit("Long line"),
+        severity=F.lit("medium"), category=F.lit("code_quality"), file=F.col("path"),
+        evidence=F.col("n").cast("string"), severity_rank=F.lit(2), detector_ord=F.lit(100),
+    )
+
+
+def _throwing(files: DataFrame, context: DataFrame) -> DataFrame:
+    """A detector that fails on the first row it meets in a task."""
+    bad = F.raise_error(F.concat(F.lit("cannot read "), F.col("path")))
+    return _as_findings(files, id=bad.cast("string"), severity_rank=F.lit(0), detector_ord=F.lit(101))
+
+
+def custom_detectors(spark, sf_dir):
+    """Two detectors beside the built-in ones, one of which throws: its error, all others' findings."""
+    registry = default_registry()
+    registry.register(DetectorSpec("throwing", "Throwing", "structure", _throwing, order=1))
+    registry.register(DetectorSpec("long-lines", "Long lines", "code_quality", _long_lines, order=2))
+    tables = scan(listing(spark, sf_dir), ScanConfig(root=sf_dir), registry)
+    errors = tables.errors.where("detector_id = 'throwing'").groupBy("project_id", "detector_id").agg(
+        F.count("*").alias("n")
     )
-    return diff.merge_findings(full, partial, scope).select(*FINDING)
+    counts = tables.findings.groupBy("project_id", "rule_id").agg(F.count("*").alias("n"))
+    return counts.unionByName(
+        errors.select("project_id", F.col("detector_id").alias("rule_id"), "n")
+    )
+
+
+def span_lookup(spark, sf_dir):
+    """Three cursors per document file on findings whose spans have up to a million lines."""
+    doc = F.col("doc_id")
+    files = corpus.document_files(corpus.documents(spark, sf_dir)).select("project_id", "path", "doc_id")
+    spans = None
+    for k, (start, length) in enumerate([(doc % 7 + 1, doc * 1013 % 1_000_000), (doc % 5 + 300, doc * 31 % 5000)]):
+        one = _as_findings(
+            files, id=F.concat(F.lit(f"S{k}-"), "path"), rule_id=F.lit(f"own/span-{k}"), title=F.lit("Span"),
+            severity=F.lit("low"), file=F.col("path"), line=start, end_line=start + length,
+            severity_rank=(doc + k) % 2, detector_ord=F.lit(100),
+        )
+        spans = one if spans is None else spans.unionByName(one)
+    places = F.array(doc % 11, doc * 7919 % 6000, doc * 104_729 % 1_000_003)
+    positions = files.select("project_id", "path", F.explode(places).alias("pos")).distinct()
+    return locate.position_lookup(spans, positions).select("project_id", "path", "pos", "id", "rule_id")
+
+
+# --- round trips -------------------------------------------------------------------------------------------------
+
+
+def tables_round_trip(spark, sf_dir):
+    """Findings, steps, scores and errors published for two dates, one of them twice, read back."""
+    tables = scan(listing(spark, sf_dir), ScanConfig(root=sf_dir))
+    path = fresh_path(spark, "published")
+    for date in ("2024-01-01", "2024-01-02", "2024-01-01"):
+        write_tables(tables, path, date)
+    vacuum(spark, path)
+    counts = {"findings": "id", "steps": "finding_id", "projects": "score", "errors": "message"}
+    out = None
+    for name, column in counts.items():
+        rows = read_tables(spark, path, name).groupBy("project_id", "scan_date").agg(
+            F.count("*").alias("n"), F.countDistinct(column).alias("different")
+        )
+        rows = rows.withColumn("name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("scan_date", F.col("scan_date").cast("string"))
 
 
 # --- saves ------------------------------------------------------------------------------------------------------
@@ -621,6 +738,11 @@ QUERIES = {
     "fix_verify": fix_verify,
     "scan_diff": scan_diff,
     "merge_findings": merge_findings,
+    "rescan_scores": rescan_scores,
+    "scan_configs": scan_configs,
+    "custom_detectors": custom_detectors,
+    "span_lookup": span_lookup,
+    "tables_round_trip": tables_round_trip,
     "debounce_saves": debounce_saves,
     "debounce_default": debounce_default,
     "stream_debounce": stream_debounce,
