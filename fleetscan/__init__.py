@@ -10,7 +10,7 @@ from fleetscan.rules.builtin import BUILTIN_RULES, default_registry
 from fleetscan.rules.model import DetectorSpec, FileRule, LineRule, ProjectRule, Registry
 from fleetscan.sources.corpus import read_corpus
 from fleetscan.sources.trees import decode, read_trees
-from fleetscan.streaming.saves import IncrementalScan, debounce
+from fleetscan.streaming.saves import IncrementalScan, SessionLog, debounce
 
 __all__ = [
     "BUILTIN_RULES",
@@ -25,6 +25,7 @@ __all__ = [
     "Rescan",
     "ScanConfig",
     "ScanTables",
+    "SessionLog",
     "apply_fix",
     "debounce",
     "decode",

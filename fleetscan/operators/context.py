@@ -92,11 +92,17 @@ def contributions(observations: DataFrame, registry: Registry, sign: int = 1) ->
     return rows if sign == 1 else rows.withColumns({k: -F.col(k) for k in sums})
 
 
-def combined(parts: DataFrame) -> DataFrame:
-    """Contributions of several scans, rescans and withdrawals, added up."""
+def added(parts: DataFrame) -> DataFrame:
+    """Contributions of several scans, rescans and withdrawals, added up; what they take away from
+    parts that are not among them stays."""
     names = [c for c in parts.columns if c not in CONTRIBUTION_KEY]
     sums = parts.groupBy(*CONTRIBUTION_KEY).agg(*[F.sum(c).alias(c) for c in names])
-    return sums.where("m_path is null or n_files > 0")
+    return sums.where("m_path is null or n_files <> 0")
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """The same where all parts are there: manifests that are gone leave nothing."""
+    return added(parts).where("m_path is null or n_files > 0")
 
 
 def project_facts(observations: DataFrame, registry: Registry) -> DataFrame:
@@ -112,7 +118,8 @@ def facts_of(parts: DataFrame, registry: Registry) -> DataFrame:
     return facts.withColumns(derived).drop(*dropped)
 
 
-_ROOT_FILES = {
+# Files at a project's root that its context tells of.
+ROOT_FILES = {
     "has_typescript": ["tsconfig.json"],
     "has_gitignore": [".gitignore", "gitignore"],
     "has_env_file": [".env", ".env.local"],
@@ -134,7 +141,7 @@ def _contribution_columns(rules: tuple) -> tuple[dict, dict]:
         return F.sum(value.cast("bigint"))
 
     sums = {"n_files": total(F.when(is_file, 1).otherwise(0))}
-    for name, paths in _ROOT_FILES.items():
+    for name, paths in ROOT_FILES.items():
         sums[name] = total(F.when(is_file & path.isin(*paths), 1).otherwise(0))
     sums["env_listed"] = total(F.when(is_file & F.col("env_listed"), 1).otherwise(0))
     sums["any_total"] = total(F.when(picked, F.col("any_count")).otherwise(0))
@@ -146,7 +153,7 @@ def _contribution_columns(rules: tuple) -> tuple[dict, dict]:
 @once
 def _fact_columns(rules: tuple) -> tuple:
     sums = [F.sum(c).alias(c) for c in _contribution_columns(rules)[1]]
-    flags = {c: F.col(c) > 0 for c in [*_ROOT_FILES, "env_listed"]}
+    flags = {c: F.col(c) > 0 for c in [*ROOT_FILES, "env_listed"]}
     present = (F.col("n_files") > 0) & F.col("manifest").isNotNull()
     manifest_at = F.when(present & F.col("m_selected"), F.struct(P.depth(F.col("m_path")), F.col("m_path")))
     texts = [

@@ -450,15 +450,21 @@ sessions AS (
   FROM numbered GROUP BY project_id, path, session)"""
 
 
-_CLOSED = "closes <= (SELECT max(ts) FROM code_saves) - INTERVAL 5 SECOND"
-
 _LIVE = """
+moved AS (
+  SELECT project_id, CASE second(ts) % 7 WHEN 1 THEN 'docs/' || path WHEN 2 THEN 'package.json'
+      WHEN 3 THEN 'README.md' ELSE path END AS path,
+    CASE WHEN second(ts) % 7 = 2 THEN '{"dependencies": {"express": "' || len(content)
+      || '"}, "scripts": {"test": "x"}}' ELSE content END AS content, ts
+  FROM saves),
 live AS (
-  SELECT project_id, path, max_by(content, ts) AS content FROM code_saves
+  SELECT project_id, path, max_by(content, (ts, content)) AS content FROM moved
+  WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx)$') OR path IN ('package.json', 'README.md')
   GROUP BY project_id, path),
 raw_files AS (
-  SELECT project_id, path, content FROM doc_files
-  UNION ALL SELECT project_id, path, content FROM root_files
+  SELECT project_id, path, content FROM (
+    SELECT project_id, path, content FROM doc_files
+    UNION ALL SELECT project_id, path, content FROM root_files) ANTI JOIN live USING (project_id, path)
   UNION ALL SELECT project_id, path, content FROM live)"""
 
 # --- fixes -----------------------------------------------------------------------------------------
@@ -897,13 +903,13 @@ ORACLES = {
     "debounce_default": "WITH " + ",".join((_SAVES, _sessions("1500 MILLISECOND")))
     + " SELECT project_id, path, content, saves FROM sessions",
     "stream_debounce": "WITH " + ",".join((_SAVES, _sessions("6 HOUR")))
-    + f" SELECT project_id, path, content, saves FROM sessions WHERE {_CLOSED}",
+    + " SELECT project_id, path, content, saves FROM sessions",
     "stream_scores": "WITH "
     + ",".join(
         (CORPUS, _SAVES, _LIVE, MARKED, LINES, CONTEXT, FINDINGS, SCORES)
     )
     + """ SELECT project_id, score, deploy_status, total, files_scanned,
-        CAST(coalesce(n_code_quality, 0) AS BIGINT) AS n_code_quality, framework
+        CAST(coalesce(n_code_quality, 0) AS BIGINT) AS n_code_quality, framework, has_readme, has_tests
       FROM scores JOIN context USING (project_id)
       JOIN (SELECT project_id, count(*) AS files_scanned FROM files GROUP BY project_id)
         USING (project_id)

@@ -22,7 +22,7 @@ from fleetscan.plans.sizing import fresh_path, small_side, stored
 from fleetscan.rules.builtin import default_registry
 from fleetscan.rules.model import DetectorSpec, Registry
 from fleetscan.sources.sinks import read_tables, result_documents, vacuum, write_tables
-from fleetscan.streaming.saves import IncrementalScan, code_saves, debounce
+from fleetscan.streaming.saves import IncrementalScan, SessionLog, code_saves, debounce
 from workload import corpus
 
 FINDING = [
@@ -593,34 +593,37 @@ def debounce_default(spark, sf_dir):
 
 
 def stream_debounce(spark, sf_dir):
-    """The same as a stream, read to its end: sessions the watermark has closed."""
-    out = fresh_path(spark, "sessions")
-    rows = debounce(code_saves(event_stream(spark, sf_dir).withWatermark("ts", "5 seconds")), STREAM_GAP)
-    query = (
-        rows.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", fresh_path(spark, "stream"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    written = spark.read.schema(rows.schema).parquet(out)
-    return written.select("project_id", "path", "content", "saves")
+    """The same as a stream, read to its end: all sessions, those that are still open too."""
+    log = SessionLog(spark, fresh_path(spark, "sessions"), STREAM_GAP, buckets=16)
+    log.start(event_stream(spark, sf_dir), fresh_path(spark, "stream"), availableNow=True).awaitTermination()
+    return log.sessions().select("project_id", "path", "content", "saves")
 
 
 def stream_scores(spark, sf_dir):
-    """Scores after a full scan and a stream of saves on top."""
+    """Scores after a full scan and a stream of saves on top, of scripts, root files and files in
+    ignored places."""
     state = IncrementalScan(spark, fresh_path(spark, "state"), buckets=16)
-    state.seed(observe(marked(spark, sf_dir), state.registry))
+    files = listing(spark, sf_dir)
+    state.seed(observe(selection.mark_selected(files), state.registry), files)
     query = state.start(
-        event_stream(spark, sf_dir), fresh_path(spark, "stream"), availableNow=True
+        with_other_places(event_stream(spark, sf_dir)), fresh_path(spark, "stream"), availableNow=True
     )
     query.awaitTermination()
     return state.projects().select(
         "project_id", "score", "deploy_status", "total", "files_scanned", "n_code_quality",
-        "framework",
+        "framework", "has_readme", "has_tests",
+    )
+
+
+def with_other_places(saves: DataFrame) -> DataFrame:
+    """Some saves moved to places that are ignored in some projects, and to root files."""
+    second = F.second("ts") % 7
+    manifest = F.concat(
+        F.lit('{"dependencies": {"express": "'), F.length("content"), F.lit('"}, "scripts": {"test": "x"}}')
     )
+    moved = F.when(second == 1, F.concat(F.lit("docs/"), "path")).when(second == 2, "package.json")
+    moved = moved.when(second == 3, "README.md").otherwise(F.col("path"))
+    return saves.withColumns({"path": moved, "content": F.when(second == 2, manifest).otherwise(F.col("content"))})
 
 
 # --- functions and sinks --------------------------------------------------------------------------------------
