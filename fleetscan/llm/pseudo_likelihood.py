@@ -9,14 +9,16 @@ for the token, and for words that share a token (a bucket) the word's share in i
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows_to_batches, stored, summed_arrays
+from .common import column, column_of, rows_to_batches, stored, summed_arrays
 
 #: Tokens: 0 stands beyond a document's ends, then the most frequent words, then buckets of the
 #: other words by their endings. The two-level softmax has CLASSES classes of as many tokens.
@@ -29,10 +31,15 @@ REACH = 2
 HIDDEN = 24
 #: In each round one position in MASK is predicted, another one each round: all of them in all.
 ROUNDS = MASK = 2
-BATCH = 1024
+BATCH = 8192
 RATE = 0.1
 #: Tokens scored at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
+#: Words outside the vocabulary whose counts every task knows, the most frequent ones; the counts of
+#: all others are joined.
+HEAD = 200_000
+#: Different words that a task counts before it passes them on.
+COUNTED = 500_000
 #: What a word that was never counted counts as in its bucket.
 UNSEEN = 0.5
 #: Words remembered by a task besides the vocabulary.
@@ -40,8 +47,15 @@ REMEMBERED = 500_000
 SEED = 11
 CHUNK = 1 << 12
 
-#: What separates words: space and the ASCII controls 9 to 13.
-GAP = r"[\x20\x09-\x0D]+"
+#: What separates words: space and the ASCII controls 9 to 13. ``str.split`` knows more gaps than these.
+_GAP = re.compile(r"[\x20\x09-\x0D]+")
+_OTHER_GAPS = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def words_in(text: str | None) -> list[str]:
+    """The words of a text, in lower case; training, counts and scores all go by these."""
+    small = text.lower() if text else ""
+    return [w for w in _GAP.split(small) if w] if _OTHER_GAPS.search(small) else small.split()
 
 
 class Vocabulary(dict):
@@ -56,8 +70,8 @@ class Vocabulary(dict):
 
 
 def tokens(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
+    words = words_in(text)
+    return np.fromiter(map(vocabulary.__getitem__, words), np.uint16, len(words))
 
 
 # -- the network
@@ -96,14 +110,19 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) by rows, up to a factor, and the log of its sums with that factor in them."""
+    if -60 < z.min(initial=0) and z.max(initial=0) < 60:
+        e, top = np.exp(z), 0
+    else:
+        top = z.max(axis=1)
+        e = np.exp(z - top[:, None])
+    return e, np.log(e.sum(axis=1)) + top
 
 
 def _segments(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Rows in the order of their class, and where each class lies in it."""
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint8), kind="stable")
     stops = np.cumsum(np.bincount(group, minlength=CLASSES))
     return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip([0, *stops[:-1]], stops)) if b > a]
 
@@ -116,14 +135,16 @@ def log_probabilities(p: dict, padded: np.ndarray) -> np.ndarray:
         p["embed"][k][padded[REACH + d : REACH + d + n]] for k, d in enumerate(WINDOW)
     )
     np.tanh(h, out=h)
-    target = padded[REACH : REACH + n]
-    group, inner = np.divmod(target, CLASSES)
-    out = _log_softmax(h @ p["upper"] + p["upper_bias"])[np.arange(n), group].astype(np.float64)
+    group, inner = np.divmod(padded[REACH : REACH + n], CLASSES)
     order, segments = _segments(group)
-    h, inner = h[order], inner[order]
+    h, group, inner = h[order], group[order], inner[order]
+    z = h @ p["upper"] + p["upper_bias"]
+    found = z[np.arange(n), group] - _exponentials(z)[1]
     for c, a, b in segments:
-        z = _log_softmax(h[a:b] @ p["lower"][c] + p["lower_bias"][c])
-        out[order[a:b]] += z[np.arange(b - a), inner[a:b]]
+        z = h[a:b] @ p["lower"][c] + p["lower_bias"][c]
+        found[a:b] += z[np.arange(b - a), inner[a:b]] - _exponentials(z)[1]
+    out = np.empty(n)
+    out[order] = found
     return out
 
 
@@ -133,31 +154,37 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
     n = len(target)
     h = np.tanh(p["bias"] + sum(p["embed"][k][context[k]] for k in range(len(WINDOW))))
     group, inner = np.divmod(target, CLASSES)
-    upper = _log_softmax(h @ p["upper"] + p["upper_bias"])
-    loss = -float(upper[np.arange(n), group].sum())
-    e = np.exp(upper)
-    e[np.arange(n), group] -= 1
+    z = h @ p["upper"] + p["upper_bias"]
+    at = np.arange(n), group
+    e, total = _exponentials(z)
+    loss = float((total - z[at]).sum())
+    e /= e.sum(axis=1, keepdims=True)
+    e[at] -= 1
     g = {"upper": h.T @ e, "upper_bias": e.sum(axis=0)}
     g["lower"] = np.zeros(SHAPES["lower"], np.float32)
     g["lower_bias"] = np.zeros(SHAPES["lower_bias"], np.float32)
     dh = e @ p["upper"].T
     order, segments = _segments(group)
+    own, inner, more = h[order], inner[order], np.empty_like(dh)
     for c, a, b in segments:
-        rows = order[a:b]
-        z = _log_softmax(h[rows] @ p["lower"][c] + p["lower_bias"][c])
-        at = (np.arange(b - a), inner[rows])
-        loss -= float(z[at].sum())
-        e = np.exp(z)
+        z = own[a:b] @ p["lower"][c] + p["lower_bias"][c]
+        at = np.arange(b - a), inner[a:b]
+        e, total = _exponentials(z)
+        loss += float((total - z[at]).sum())
+        e /= e.sum(axis=1, keepdims=True)
         e[at] -= 1
-        g["lower"][c], g["lower_bias"][c] = h[rows].T @ e, e.sum(axis=0)
-        dh[rows] += e @ p["lower"][c].T
+        g["lower"][c], g["lower_bias"][c] = own[a:b].T @ e, e.sum(axis=0)
+        more[a:b] = e @ p["lower"][c].T
+    dh[order] += more
     dh *= 1 - h * h
     g["bias"] = dh.sum(axis=0)
     g["embed"] = []
     for k in range(len(WINDOW)):
+        # short integers are sorted by their digits
         order = np.argsort(context[k], kind="stable")
-        rows, first = np.unique(context[k][order], return_index=True)
-        g["embed"].append((rows, np.add.reduceat(dh[order], first, axis=0)))
+        at = context[k][order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        g["embed"].append((at[first], np.add.reduceat(dh[order], first, axis=0)))
     return loss, g
 
 
@@ -174,9 +201,10 @@ class Trainer:
         """Take one position in MASK of a document's tokens; which one follows from the tokens."""
         if not len(own):
             return
-        first = (int(own[: 2 * REACH].sum()) + turn) % MASK
+        first = (int(own[: 2 * REACH].sum(dtype=np.int64)) + turn) % MASK
         at = np.arange(first if first < len(own) else len(own) // 2, len(own), MASK)
-        padded = np.concatenate((np.zeros(REACH, np.int64), own, np.zeros(REACH, np.int64)))
+        gap = np.zeros(REACH, np.uint16)
+        padded = np.concatenate((gap, own, gap))
         self.waiting.append(np.stack([padded[at + REACH + d] for d in (*WINDOW, 0)]))
         self.held += len(at)
         if self.held >= BATCH:
@@ -206,18 +234,59 @@ class Trainer:
 # -- the operator
 
 
+COUNTS = "word string, n long"
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts."""
-    words = F.explode(F.split(F.lower(F.col("text").cast("string")), GAP))
-    return docs.select(words.alias("word")).filter("word <> ''").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")
-    )
 
+    def run(batches):
+        counts: Counter = Counter()
+
+        def flush():
+            words = pa.array(list(counts), pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in column_of(batch, "text"):
+                counts.update(words_in(text.as_py()))
+                if len(counts) >= COUNTED:
+                    yield flush()
+                    counts.clear()
+        if counts:
+            yield flush()
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Lexicon:
+    """What every task knows of words, of a bounded size: the vocabulary, the counts of the most
+    frequent words outside it, and how often the words of each bucket occur."""
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words, ties by word; their number bounds what comes to the driver."""
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    return Vocabulary({r["word"]: k + 1 for k, r in enumerate(top)})
+    def __init__(self, vocabulary: dict[str, int], head: dict[str, int], bucket_counts: np.ndarray):
+        self.vocabulary = vocabulary
+        self.head = head
+        #: Log of what stands under the share of a word in its bucket, by token.
+        self.under = np.zeros(VOCABULARY)
+        self.under[1 + WORDS :] = np.log(bucket_counts + UNSEEN)
+
+
+def most_frequent(counts: DataFrame) -> Lexicon:
+    """The lexicon of stored ``counts``; ties go by word. Besides the words, one number for each
+    bucket comes to the driver."""
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS + HEAD).toArrow()
+    words, n = top.column("word").to_pylist(), top.column("n").to_pylist()
+    rare = counts.join(
+        F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words[:WORDS]], "word string")),
+        "word", "left_anti",
+    )
+    sums = rare.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    buckets = np.zeros(BUCKETS)
+    for r in sums:
+        buckets[r.bucket] = r.n
+    vocabulary = {w: k + 1 for k, w in enumerate(words[:WORDS])}
+    return Lexicon(vocabulary, dict(zip(words[WORDS:], n[WORDS:])), buckets)
 
 
 def _gather(rows: DataFrame, run) -> dict[str, np.ndarray]:
@@ -237,15 +306,102 @@ def _whole(found: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary and parameters, learned from all texts of ``docs`` (``counts``: their stored word
-    counts). The driver gets one set of summed parameters for each round, whatever the number of
-    tasks."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = stored(word_counts(docs), "words") if counts is None else counts
-    words = vocabulary(counts)
-    shared = spark.sparkContext.broadcast(dict(words))
+TOKENS = "row long, doc_id long, tokens binary, inside double, word string, rows array<long>"
+TOKENS_ARROW = pa.schema(
+    [
+        ("row", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("tokens", pa.binary()),
+        ("inside", pa.float64()),
+        ("word", pa.string()),
+        ("rows", pa.list_(pa.int64())),
+    ]
+)
+#: Characters of texts whose rare words are named together, each word once.
+RUN_CHARS = 1 << 24
+
+
+class Reader:
+    """Texts to tokens, and the logs of the shares of their words in their buckets. Numbers of words
+    behind the tokens' tell words of a known count, the last ones rare words by their bucket."""
+
+    def __init__(self, lexicon: Lexicon):
+        head = list(lexicon.head)
+        known = Vocabulary({w: k for w, k in lexicon.vocabulary.items()})
+        self.numbers: dict[str, int] = dict(lexicon.vocabulary)
+        self.first_rare = VOCABULARY + len(head)
+        bucket = np.array([known[w] for w in head], np.int64)
+        self.numbers.update((w, VOCABULARY + k) for k, w in enumerate(head))
+        rare = np.arange(1 + WORDS, VOCABULARY)
+        self.token = np.concatenate((np.arange(VOCABULARY), bucket, rare)).astype(np.uint16)
+        logs = np.log(np.array(list(lexicon.head.values()), float)) - lexicon.under[bucket]
+        self.share = np.concatenate((np.zeros(VOCABULARY), logs, -lexicon.under[rare]))
+        self.learned = len(self.numbers)
+
+    def number(self, word: str) -> int:
+        found = self.numbers.get(word)
+        if found is None:
+            if len(self.numbers) > self.learned + REMEMBERED:
+                self.numbers = dict(list(self.numbers.items())[: self.learned])
+            bucket = zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % BUCKETS
+            self.numbers[word] = found = self.first_rare + bucket
+        return found
+
+    def read(self, text: str | None) -> tuple[np.ndarray, float, list[str]]:
+        """Tokens, summed logs (without the counts of rare words) and the rare words."""
+        words = words_in(text)
+        known = self.numbers
+        numbers = [known.get(w, -1) for w in words]
+        own = np.array(numbers, np.int64)
+        for k in np.flatnonzero(own < 0):
+            own[k] = self.number(words[k])
+        rare = np.flatnonzero(own >= self.first_rare)
+        return self.token[own], float(self.share[own].sum()), [words[k] for k in rare]
+
+
+def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """A row for each document: row, doc_id, tokens (16-bit numbers) and inside, the logs of the shares
+    of its words in their buckets but for the counts of rare words; and rows (word, rows) that name
+    these, each once for a run of texts, with the row of every occurrence."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        reader = Reader(shared.value)
+
+        def rows():
+            rare: dict[str, list[int]] = {}
+            size = 0
+            for batch in batches:
+                for row, doc, text in zip(column(batch, "row"), column(batch, "doc_id"), column_of(batch, "text")):
+                    text = text.as_py()
+                    own, inside, words = reader.read(text)
+                    for w in words:
+                        rare.setdefault(w, []).append(row)
+                    yield own.nbytes, (row, doc, own.astype("<u2").tobytes(), inside, None, None)
+                    size += len(text) if text else 0
+                    if size >= RUN_CHARS:
+                        yield from named(rare)
+                        rare, size = {}, 0
+            yield from named(rare)
+
+        def named(rare):
+            for word, at in rare.items():
+                yield len(word) + 8 * len(at), (None, None, None, None, word, at)
+
+        yield from rows_to_batches(rows(), TOKENS_ARROW)
+
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text")
+    )
+    return texts.mapInArrow(run, TOKENS)
+
+
+def train(read: DataFrame, counts: DataFrame, lexicon: Lexicon) -> dict[str, np.ndarray]:
+    """Parameters learned from the stored tokens of all texts. The driver gets one set of summed
+    parameters for each round, whatever the number of tasks."""
+    spark = read.sparkSession
+    documents = read.filter("row is not null").select("tokens")
+    shared = spark.sparkContext.broadcast(lexicon.vocabulary)
 
     def count(batches):
         known, total = Vocabulary(shared.value), np.zeros(VOCABULARY)
@@ -259,26 +415,25 @@ def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Vocabulary,
         start = spark.sparkContext.broadcast(p)
 
         def learn(batches, start=start, turn=turn):
-            known, trainer = Vocabulary(shared.value), Trainer(start.value)
+            trainer = Trainer(start.value)
             for batch in batches:
-                for text in column(batch, "text"):
-                    trainer.add(tokens(text, known), turn)
+                for data in column(batch, "tokens"):
+                    trainer.add(np.frombuffer(data, "<u2"), turn)
             trainer.step()
             if trainer.tokens:
                 yield from _chunks(np.append(flat(trainer.p), 1.0) * trainer.tokens)
 
         n = len(flat(p))
-        total = _whole(_gather(texts, learn), n + 1)
+        total = _whole(_gather(documents, learn), n + 1)
         if total[-1]:
             p = unflat(total[:-1] / total[-1])
-    return words, p
+    return p
 
 
-def score_texts(texts: list, words: Vocabulary, p: dict) -> list[tuple[int, float]]:
+def score_tokens(own: list[np.ndarray], p: dict) -> list[tuple[int, float]]:
     """(tokens, summed log-probability) of each text. Texts are scored in runs of tokens with
     the outside token between them; a text of any length is cut into overlapping runs."""
-    own = [tokens(t, words) for t in texts]
-    gap = np.zeros(REACH, np.int64)
+    gap = np.zeros(REACH, np.uint16)
     line = np.concatenate([gap, *[x for t in own for x in (t, gap)]])
     sizes = np.array([len(t) for t in own], np.int64)
     logs = np.zeros(len(line))
@@ -289,101 +444,59 @@ def score_texts(texts: list, words: Vocabulary, p: dict) -> list[tuple[int, floa
     return [(int(n), float(logs[s : s + n].sum())) for s, n in zip(starts, sizes)]
 
 
-SCORED = "row long, doc_id long, n_tokens long, total double, word string, rows array<long>"
+SCORED = "row long, doc_id long, n_tokens long, total double"
 SCORED_ARROW = pa.schema(
-    [
-        ("row", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("n_tokens", pa.int64()),
-        ("total", pa.float64()),
-        ("word", pa.string()),
-        ("rows", pa.list_(pa.int64())),
-    ]
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("total", pa.float64())]
 )
 
 
-def bucket_words(rows: list[int], texts: list, words: Vocabulary) -> dict[str, list[int]]:
-    """The words of the texts that stand for no token of their own, with the row of each place."""
-    found: dict[str, list[int]] = {}
-    for row, text in zip(rows, texts):
-        for w in text.lower().split() if text else ():
-            if words[w] > WORDS:
-                found.setdefault(w, []).append(row)
-    return found
-
-
-def bucket_shares(counts: DataFrame, words: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """(word, n) of the words outside the vocabulary, and (bucket, bucket_n): the sums of n."""
-    spark = counts.sparkSession
-    own = [(w,) for w, k in words.items() if k <= WORDS]
-    rare = counts.join(F.broadcast(spark.createDataFrame(own, "word string")), "word", "left_anti")
-    sums = rare.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.sum("n").alias("bucket_n"))
-    return rare.select(F.col("word").alias("c_word"), "n"), sums
-
-
 def _bucket(word: Column) -> Column:
     return F.crc32(F.encode(F.right(word, F.lit(2)), "UTF-8")) % BUCKETS
 
 
-def scored(docs: DataFrame, words: Vocabulary, p: dict, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, pseudo_log_likelihood and per_token of every row of ``docs`` (doc_id, text;
-    other columns are not looked at). ``counts`` are those of :func:`word_counts`.
+def scored(read: DataFrame, p: dict, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, pseudo_log_likelihood and per_token of every document of the stored table
+    ``read`` (see :func:`tokenised`); ``counts`` are those of :func:`word_counts`.
 
     A text that is null or has no words has no tokens, a sum of 0 and a null mean. Rows that
-    repeat are scored alike. An empty table gives an empty result. A run of texts names each word
-    once, with all its places, so a frequent word is a row for each run in the join with the counts.
+    repeat are scored alike. An empty table gives an empty result. A run of texts names each rare
+    word once, with all its places.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((dict(words), p))
+    shared = read.sparkSession.sparkContext.broadcast(p)
 
     def run(batches):
-        known, parameters = Vocabulary(shared.value[0]), shared.value[1]
-
         def rows():
             for batch in batches:
-                places, ids, texts = (column(batch, c) for c in ("row", "doc_id", "text"))
-                held, size = 0, 0
-                for k, text in enumerate(texts):
-                    size += len(text) if text else 0
-                    if size >= 1 << 22 or k == len(texts) - 1:
-                        part = slice(held, k + 1)
-                        found = score_texts(texts[part], known, parameters)
-                        for row, doc, (n, total) in zip(places[part], ids[part], found):
-                            yield 0, (row, doc, n, total, None, None)
-                        for word, at in bucket_words(places[part], texts[part], known).items():
-                            yield len(word) + 8 * len(at), (None, None, None, None, word, at)
-                        held, size = k + 1, 0
+                own = [np.frombuffer(t, "<u2") for t in column(batch, "tokens")]
+                found = zip(column(batch, "row"), column(batch, "doc_id"), column(batch, "inside"), score_tokens(own, shared.value))
+                for row, doc, inside, (n, total) in found:
+                    yield 32, (row, doc, n, total + inside)
 
         yield from rows_to_batches(rows(), SCORED_ARROW)
 
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text")
-    )
-    both = stored(texts.mapInArrow(run, SCORED), "scored")
-    rare, sums = bucket_shares(counts, words)
-    share = F.log(F.coalesce("n", F.lit(UNSEEN)) / (F.coalesce("bucket_n", F.lit(0)) + UNSEEN))
+    documents = read.filter("row is not null").select("row", "doc_id", "tokens", "inside")
+    both = documents.mapInArrow(run, SCORED)
+    rare = counts.select(F.col("word").alias("c_word"), "n")
     inside = (
-        both.filter("word is not null")
+        read.filter("word is not null")
         .select("word", "rows")
         .join(rare, F.col("word") == F.col("c_word"), "left")
-        .join(F.broadcast(sums), _bucket(F.col("word")) == F.col("bucket"), "left")
-        .select(F.explode("rows").alias("i_row"), share.alias("share"))
+        .select(F.explode("rows").alias("i_row"), F.log(F.coalesce("n", F.lit(UNSEEN))).alias("share"))
         .groupBy("i_row")
-        .agg(F.sum("share").alias("inside"))
+        .agg(F.sum("share").alias("rare"))
     )
-    total = F.col("total") + F.coalesce("inside", F.lit(0.0))
-    return (
-        both.filter("row is not null")
-        .join(inside, F.col("row") == F.col("i_row"), "left")
-        .select(
-            "doc_id",
-            "n_tokens",
-            total.alias("pseudo_log_likelihood"),
-            F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"),
-        )
+    total = F.col("total") + F.coalesce("rare", F.lit(0.0))
+    return both.join(inside, F.col("row") == F.col("i_row"), "left").select(
+        "doc_id",
+        "n_tokens",
+        total.alias("pseudo_log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"),
     )
 
 
 def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     """Every document scored by a network trained on all of them."""
     counts = stored(word_counts(docs), "words")
-    return scored(docs, *train(docs, counts), counts)
+    lexicon = most_frequent(counts)
+    read = stored(tokenised(docs, lexicon), "tokens")
+    return scored(read, train(read, counts, lexicon), counts)

@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pytest
 
 from fleetscan.llm import pseudo_likelihood as pl
 
@@ -30,8 +33,8 @@ def test_scores_are_those_of_the_slow_way(monkeypatch):
     words, p = _model()
     monkeypatch.setattr(pl, "BLOCK", 7)
     texts = ["the cat sat on the mat", None, "", "dog", "the unknown zebra sat", "a dog on a mat " * 9]
-    for text, (n, total) in zip(texts, pl.score_texts(texts, words, p)):
-        own = pl.tokens(text, words)
+    tokens = [pl.tokens(t, words) for t in texts]
+    for own, (n, total) in zip(tokens, pl.score_tokens(tokens, p)):
         assert n == len(own)
         assert abs(total - _slow(p, own)) < 1e-3
 
@@ -41,10 +44,10 @@ def test_a_token_is_not_its_own_context():
     own = pl.tokens("the cat sat on the", words)
     one, other = own.copy(), own.copy()
     other[2] = 6
-    pad = np.zeros(2, np.int64)
+    pad = np.zeros(2, np.uint16)
     a, b = (pl.log_probabilities(p, np.concatenate((pad, x, pad))) for x in (one, other))
     everything = np.exp([
-        pl.log_probabilities(p, np.concatenate((pad, own[:2], [v], own[3:], pad)))[2] for v in range(pl.VOCABULARY)
+        pl.log_probabilities(p, np.concatenate((pad, own[:2], np.array([v], np.uint16), own[3:], pad)))[2] for v in range(pl.VOCABULARY)
     ]).sum()
     assert abs(everything - 1) < 1e-3 and a[2] != b[2]
 
@@ -71,12 +74,16 @@ def test_gradients_agree_with_differences():
 
 def test_training_beats_word_shares_and_prefers_real_order(spark, data):
     docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
-    words, p = pl.train(docs.filter("doc_id % 4 <> 0"))
+    known = docs.filter("doc_id % 4 <> 0")
+    counts = pl.word_counts(known)
+    lexicon = pl.most_frequent(counts)
+    p = pl.train(pl.tokenised(known, lexicon), counts, lexicon)
+    words = pl.Vocabulary(lexicon.vocabulary)
     texts = [r.text for r in docs.filter("doc_id % 4 = 0").limit(100).collect()]
     counts = sum(np.bincount(pl.tokens(t, words), minlength=pl.VOCABULARY) for t in texts)
 
     def mean(parameters, of):
-        found = pl.score_texts(of, words, parameters)
+        found = pl.score_tokens([pl.tokens(t, words) for t in of], parameters)
         return sum(x for _, x in found) / sum(n for n, _ in found)
 
     rng = np.random.default_rng(1)
@@ -98,29 +105,71 @@ def test_odd_documents(spark, odd_docs, odd_texts, no_docs):
     assert pl.pseudo_likelihoods(no_docs).count() == 0
 
 
-def test_every_word_counts(spark):
-    texts = ["the cat sat on the mat", "the flat cat", "the zat", None, "the the the the cat cat sat sat"]
+@pytest.mark.parametrize("head", [0, 2, 100])
+def test_every_word_counts(spark, head):
+    """A word outside the vocabulary counts with its share in its bucket, whether tasks know its
+    count or it is joined."""
+    texts = ["the cat sat on the mat", "the flat cat", "the zat", None, "the the the the cat cat sat sat flat"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts = pl.word_counts(docs)
-    words = pl.Vocabulary({"the": 1, "cat": 2, "sat": 3})
+    own = {"on": 1, "mat": 1, "flat": 2, "zat": 1}
+    assert {r.word: r.n for r in counts.collect()} == own | {"the": 8, "cat": 4, "sat": 3}
+    vocabulary = {"the": 1, "cat": 2, "sat": 3}
+    buckets = np.zeros(pl.BUCKETS)
+    for w, n in own.items():
+        buckets[zlib.crc32(w[-2:].encode()) % pl.BUCKETS] += n
+    lexicon = pl.Lexicon(vocabulary, dict(list(own.items())[:head]), buckets)
     p = pl.starting_parameters(np.ones(pl.VOCABULARY))
     more = docs.union(spark.createDataFrame([(5, "the xyzat"), (6, "the mat")], docs.schema))
-    got = {r.doc_id: r for r in pl.scored(more, words, p, counts).collect()}
-    own = {"on": 1, "mat": 1, "flat": 1, "zat": 1}
+    got = {r.doc_id: r for r in pl.scored(pl.tokenised(more, lexicon), p, counts).collect()}
     sums = {}
     for w, n in own.items():
         sums[w[-2:]] = sums.get(w[-2:], 0) + n
     rows = [(r.doc_id, r.text) for r in more.collect()]
-    for (doc, text), (n, total) in zip(rows, pl.score_texts([t for _, t in rows], words, p)):
+    tokens = [pl.tokens(t, pl.Vocabulary(lexicon.vocabulary)) for _, t in rows]
+    for (doc, text), (n, total) in zip(rows, pl.score_tokens(tokens, p)):
         inside = sum(
-            np.log(own.get(w, pl.UNSEEN) / (sums[w[-2:]] + pl.UNSEEN))
-            for w in (text or "").split() if w not in ("the", "cat", "sat")
+            np.log(own.get(w, pl.UNSEEN) / (sums.get(w[-2:], 0) + pl.UNSEEN))
+            for w in (text or "").split() if w not in vocabulary
         )
         assert got[doc].n_tokens == n and abs(got[doc].pseudo_log_likelihood - total - inside) < 1e-6
         assert got[doc].per_token is None if n == 0 else abs(got[doc].per_token - (total + inside) / n) < 1e-6
     assert got[6].per_token > got[5].per_token  # a word that was never seen is less likely
 
 
+def test_one_split_for_counts_and_scores(spark):
+    """Only space and the controls 9 to 13 separate words, everywhere."""
+    text = "foo\xa0bar foo\x1cbar\tfoo\u2003bar FOO\x0bfoo"
+    words = ["foo\xa0bar", "foo\x1cbar", "foo\u2003bar", "foo", "foo"]
+    assert pl.words_in(text) == words and pl.words_in("a\x0cb  c ") == ["a", "b", "c"]
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    counts = pl.word_counts(docs)
+    assert {r.word: r.n for r in counts.collect()} == {w: words.count(w) for w in words}
+    lexicon = pl.most_frequent(counts)
+    p = pl.starting_parameters(np.ones(pl.VOCABULARY))
+    assert [r.n_tokens for r in pl.scored(pl.tokenised(docs, lexicon), p, counts).orderBy("doc_id").collect()] == [5, 0]
+
+
+def test_the_most_frequent_words(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{k:04}", 5000 - k // 2) for k in range(1500)], pl.COUNTS)
+    monkeypatch.setattr(pl, "HEAD", 300)
+    lexicon = pl.most_frequent(counts)
+    assert list(lexicon.vocabulary) == [f"w{k:04}" for k in range(pl.WORDS)] and lexicon.vocabulary["w0000"] == 1
+    assert lexicon.head == {f"w{k:04}": 5000 - k // 2 for k in range(pl.WORDS, pl.WORDS + 300)}
+    total = sum(5000 - k // 2 for k in range(pl.WORDS, 1500))
+    assert abs((np.exp(lexicon.under[1 + pl.WORDS :]) - pl.UNSEEN).sum() - total) < 1e-3
+
+
+def test_words_are_forgotten_when_there_are_too_many(monkeypatch):
+    lexicon = pl.Lexicon({"the": 1}, {"cat": 3}, np.ones(pl.BUCKETS))
+    want = pl.Reader(lexicon).read("the cat zat yat xat the zat")
+    monkeypatch.setattr(pl, "REMEMBERED", 1)
+    reader = pl.Reader(lexicon)
+    got = reader.read("the cat zat yat xat the zat")
+    assert (got[0] == want[0]).all() and got[1:] == want[1:] and got[2] == ["zat", "yat", "xat", "zat"]
+    assert reader.numbers["the"] == 1 and len(reader.numbers) <= reader.learned + 2
+
+
 def test_every_position_is_a_target_in_some_round(monkeypatch):
     monkeypatch.setattr(pl, "BATCH", 10**9)
     _, p = _model()
