@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetscan import ScanConfig, decode, read_corpus, read_trees, scan
 from fleetscan.sources.commits import Commits
 from fleetscan.sources.sinks import read_tables, result_documents, vacuum, write_documents, write_tables
-from fleetscan.sources.trees import skipped_files
+from fleetscan.sources.trees import list_trees, read_listed, skipped_files
 
 
 def tree(root, files):
@@ -37,8 +37,8 @@ def test_trees_keep_dotfiles_and_prune(spark, tmp_path):
     assert not any("node_modules" in p or "dist" in p for _, p in rows)
     unlinked = read_trees(spark, str(tmp_path), follow_links=False)
     assert unlinked.where("project_id = 'q'").count() == 1
-    # One task per directory of a project's root, so one project is many tasks.
-    assert raw.rdd.getNumPartitions() == 4
+    # One listing task per directory of a project's root, so one project is many tasks.
+    assert list_trees(spark, str(tmp_path)).rdd.getNumPartitions() == 4
 
 
 def test_large_files_are_reported(spark, tmp_path):
@@ -52,6 +52,35 @@ def test_large_files_are_reported(spark, tmp_path):
     assert [r.message for r in tables.errors.collect()] == ["big.ts: larger than 50 bytes"]
 
 
+def test_one_directory_of_many_files_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from fleetscan.sources import trees
+
+    tree(tmp_path, {f"p/src/f{i}.ts": b"x" * i for i in range(200)})
+    monkeypatch.setattr(trees, "PART_FILES", 20)
+    raw = read_trees(spark, str(tmp_path))
+    assert raw.rdd.getNumPartitions() == 10
+    assert {r.path: len(r.bytes) for r in raw.collect()} == {f"src/f{i}.ts": i for i in range(200)}
+    sizes = raw.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 60
+    monkeypatch.setattr(trees, "PART_BYTES", 1000)
+    assert read_trees(spark, str(tmp_path)).rdd.getNumPartitions() == 20
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
+    tree(tmp_path, {"p/.gitignore": b"a", "p/a.ts": b"1", "q/src/.gitignore": b"b", "q/src/b.ts": b"2"})
+    os.chmod(tmp_path / "p" / "a.ts", 0)
+    only = F.col("path").endswith(".gitignore")
+    names = list_trees(spark, str(tmp_path)).where(only)
+    raw = read_listed(names, str(tmp_path))
+    assert sorted((r.project_id, r.path, bytes(r.bytes)) for r in raw.collect()) == [
+        ("p", ".gitignore", b"a"), ("q", "src/.gitignore", b"b"),
+    ]
+    for name in ("p/.gitignore", "q/src/b.ts"):
+        os.utime(tmp_path / name, (1, 1))
+    old = read_trees(spark, str(tmp_path), only=F.col("changed") < "2000-01-01")
+    assert sorted((r.project_id, r.path) for r in old.collect()) == [("p", ".gitignore"), ("q", "src/b.ts")]
+
+
 def test_empty_root(spark, tmp_path):
     assert read_trees(spark, str(tmp_path)).count() == 0
 

@@ -552,6 +552,13 @@ _EXCLUDED = """(regexp_matches(lower(path), '(^|/)components/')
 assert EXCLUDES == ("c*o*m*p*o*n*e*n*t*s*/", "/src/s*1.ts", "pages/**", "!pages/p1*.tsx")
 
 
+def _crc32(col: str) -> str:
+    """The CRC-32 of an ASCII text: each byte, then eight steps."""
+    bits = f"flatten(list_transform(string_split({col}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END"
+    return f"xor(list_reduce([4294967295] || {bits}, lambda r, x: {step}), 4294967295)"
+
+
 def _json_map(col: str) -> str:
     pairs = f"list_transform(coalesce(json_keys({col}), []), lambda k: k || '=' || ({col} ->> k))"
     return f"array_to_string(list_sort({pairs}), ',')"
@@ -898,6 +905,13 @@ ORACLES = {
         GROUP BY project_id, scan_date, name""",
         STEPS, SCORES,
     ),
+    # excluded directories are not listed, by their exact names; two bad bytes become two marks
+    "tree_round_trip": sql(
+        f"""SELECT project_id, path, CAST(length(t) AS INT) AS chars, sha256(t) AS digest FROM (
+          SELECT project_id, path, CASE WHEN {_crc32("path")} % 7 = 0 THEN chr(65533) || chr(65533) ELSE '' END
+            || any_value(content) AS t
+          FROM raw_files WHERE NOT regexp_matches(path, '(^|/)({_DIRS})/') GROUP BY project_id, path)"""
+    ),
     "debounce_saves": "WITH " + ",".join((_SAVES, _sessions("6 HOUR")))
     + " SELECT project_id, path, content, saves FROM sessions",
     "debounce_default": "WITH " + ",".join((_SAVES, _sessions("1500 MILLISECOND")))

@@ -21,7 +21,9 @@ from fleetscan.plans.scan import Rescan, ScanTables, detector_errors, rescan, sc
 from fleetscan.plans.sizing import fresh_path, small_side, stored
 from fleetscan.rules.builtin import default_registry
 from fleetscan.rules.model import DetectorSpec, Registry
+from fleetscan.sources.corpus import read_corpus
 from fleetscan.sources.sinks import read_tables, result_documents, vacuum, write_tables
+from fleetscan.sources.trees import decode, read_trees
 from fleetscan.streaming.saves import IncrementalScan, SessionLog, code_saves, debounce
 from workload import corpus
 
@@ -558,6 +560,46 @@ def span_lookup(spark, sf_dir):
     return locate.position_lookup(spans, positions).select("project_id", "path", "pos", "id", "rule_id")
 
 
+def tree_files(spark, sf_dir) -> DataFrame:
+    """Where each file of the listing goes in a directory tree: its content, or bytes that are no
+    UTF-8 in front of it for every seventh."""
+    files = listing(spark, sf_dir).dropDuplicates(["project_id", "path"])
+    odd = F.crc32(F.col("path").cast("binary")) % 7 == 0
+    text = F.coalesce("content", F.lit("")).cast("binary")
+    return files.select(
+        "project_id", "path", F.when(odd, F.concat(F.unhex(F.lit("FFFE")), text)).otherwise(text).alias("bytes")
+    )
+
+
+def _written(batches, root):
+    """Write files below ``root``, in tasks; the number written."""
+    import os
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for project, path, data in zip(*(batch.column(n).to_pylist() for n in ("project_id", "path", "bytes"))):
+            full = os.path.join(root, project, path)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "wb") as f:
+                f.write(data)
+        yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+
+def tree_round_trip(spark, sf_dir):
+    """All files written to directories, listed, read and decoded, and as a table read again. The
+    folder must be one that every executor sees as a directory."""
+    files = tree_files(spark, sf_dir)
+    root = fresh_path(spark, "trees").removeprefix("file://")
+    files.mapInArrow(lambda b: _written(b, root), "n bigint").agg(F.sum("n")).collect()
+    table = fresh_path(spark, "corpus")
+    decode(read_trees(spark, root)).write.parquet(table)
+    content = F.col("content")
+    return read_corpus(spark, table).select(
+        "project_id", "path", F.length(content).cast("int").alias("chars"), F.sha2(F.encode(content, "UTF-8"), 256).alias("digest")
+    )
+
+
 # --- round trips -------------------------------------------------------------------------------------------------
 
 
@@ -746,6 +788,7 @@ QUERIES = {
     "custom_detectors": custom_detectors,
     "span_lookup": span_lookup,
     "tables_round_trip": tables_round_trip,
+    "tree_round_trip": tree_round_trip,
     "debounce_saves": debounce_saves,
     "debounce_default": debounce_default,
     "stream_debounce": stream_debounce,
