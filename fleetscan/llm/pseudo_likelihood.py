@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,14 +111,19 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) by rows, up to a factor, and the log of its sums with that factor in them."""
-    if -60 < z.min(initial=0) and z.max(initial=0) < 60:
-        e, top = np.exp(z), 0
-    else:
-        top = z.max(axis=1)
-        e = np.exp(z - top[:, None])
-    return e, np.log(e.sum(axis=1)) + top
+def _softmax_parts(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """z = h w + b by rows, exp(z) up to a factor for each row, the sums of these, and the logs of the
+    sums without the factor. No h is beyond 1, which bounds z; most often no factor is needed."""
+    z = h @ w
+    z += b
+    if np.abs(w).sum(axis=0).max() + np.abs(b).max() < 60:
+        e = np.exp(z)
+        total = e.sum(axis=1)
+        return z, e, total, np.log(total)
+    top = z.max(axis=1)
+    e = np.exp(z - top[:, None])
+    total = e.sum(axis=1)
+    return z, e, total, np.log(total) + top
 
 
 def _segments(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -138,11 +144,11 @@ def log_probabilities(p: dict, padded: np.ndarray) -> np.ndarray:
     group, inner = np.divmod(padded[REACH : REACH + n], CLASSES)
     order, segments = _segments(group)
     h, group, inner = h[order], group[order], inner[order]
-    z = h @ p["upper"] + p["upper_bias"]
-    found = z[np.arange(n), group] - _exponentials(z)[1]
+    z, _, _, log_total = _softmax_parts(h, p["upper"], p["upper_bias"])
+    found = z[np.arange(n), group] - log_total
     for c, a, b in segments:
-        z = h[a:b] @ p["lower"][c] + p["lower_bias"][c]
-        found[a:b] += z[np.arange(b - a), inner[a:b]] - _exponentials(z)[1]
+        z, _, _, log_total = _softmax_parts(h[a:b], p["lower"][c], p["lower_bias"][c])
+        found[a:b] += z[np.arange(b - a), inner[a:b]] - log_total
     out = np.empty(n)
     out[order] = found
     return out
@@ -154,11 +160,10 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
     n = len(target)
     h = np.tanh(p["bias"] + sum(p["embed"][k][context[k]] for k in range(len(WINDOW))))
     group, inner = np.divmod(target, CLASSES)
-    z = h @ p["upper"] + p["upper_bias"]
+    z, e, total, log_total = _softmax_parts(h, p["upper"], p["upper_bias"])
     at = np.arange(n), group
-    e, total = _exponentials(z)
-    loss = float((total - z[at]).sum())
-    e /= e.sum(axis=1, keepdims=True)
+    loss = float((log_total - z[at]).sum())
+    e /= total[:, None]
     e[at] -= 1
     g = {"upper": h.T @ e, "upper_bias": e.sum(axis=0)}
     g["lower"] = np.zeros(SHAPES["lower"], np.float32)
@@ -167,11 +172,10 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
     order, segments = _segments(group)
     own, inner, more = h[order], inner[order], np.empty_like(dh)
     for c, a, b in segments:
-        z = own[a:b] @ p["lower"][c] + p["lower_bias"][c]
+        z, e, total, log_total = _softmax_parts(own[a:b], p["lower"][c], p["lower_bias"][c])
         at = np.arange(b - a), inner[a:b]
-        e, total = _exponentials(z)
-        loss += float((total - z[at]).sum())
-        e /= e.sum(axis=1, keepdims=True)
+        loss += float((log_total - z[at]).sum())
+        e /= total[:, None]
         e[at] -= 1
         g["lower"][c], g["lower_bias"][c] = own[a:b].T @ e, e.sum(axis=0)
         more[a:b] = e @ p["lower"][c].T
@@ -306,7 +310,7 @@ def _whole(found: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-TOKENS = "row long, doc_id long, tokens binary, inside double, word string, rows array<long>"
+TOKENS = "row long, doc_id long, tokens binary, inside double, word string"
 TOKENS_ARROW = pa.schema(
     [
         ("row", pa.int64()),
@@ -314,11 +318,11 @@ TOKENS_ARROW = pa.schema(
         ("tokens", pa.binary()),
         ("inside", pa.float64()),
         ("word", pa.string()),
-        ("rows", pa.list_(pa.int64())),
     ]
 )
-#: Characters of texts whose rare words are named together, each word once.
-RUN_CHARS = 1 << 24
+#: Rows, of documents or of rare words, in one batch; bytes of tokens, too.
+TOKEN_ROWS = 1 << 16
+TOKEN_BYTES = 1 << 23
 
 
 class Reader:
@@ -350,9 +354,7 @@ class Reader:
     def read(self, text: str | None) -> tuple[np.ndarray, float, list[str]]:
         """Tokens, summed logs (without the counts of rare words) and the rare words."""
         words = words_in(text)
-        known = self.numbers
-        numbers = [known.get(w, -1) for w in words]
-        own = np.array(numbers, np.int64)
+        own = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
         for k in np.flatnonzero(own < 0):
             own[k] = self.number(words[k])
         rare = np.flatnonzero(own >= self.first_rare)
@@ -361,34 +363,36 @@ class Reader:
 
 def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """A row for each document: row, doc_id, tokens (16-bit numbers) and inside, the logs of the shares
-    of its words in their buckets but for the counts of rare words; and rows (word, rows) that name
-    these, each once for a run of texts, with the row of every occurrence."""
+    of its words in their buckets but for the counts of rare words; and a row (row, word) for each
+    occurrence of such a word."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         reader = Reader(shared.value)
-
-        def rows():
-            rare: dict[str, list[int]] = {}
-            size = 0
-            for batch in batches:
-                for row, doc, text in zip(column(batch, "row"), column(batch, "doc_id"), column_of(batch, "text")):
-                    text = text.as_py()
-                    own, inside, words = reader.read(text)
-                    for w in words:
-                        rare.setdefault(w, []).append(row)
-                    yield own.nbytes, (row, doc, own.astype("<u2").tobytes(), inside, None, None)
-                    size += len(text) if text else 0
-                    if size >= RUN_CHARS:
-                        yield from named(rare)
-                        rare, size = {}, 0
-            yield from named(rare)
-
-        def named(rare):
-            for word, at in rare.items():
-                yield len(word) + 8 * len(at), (None, None, None, None, word, at)
-
-        yield from rows_to_batches(rows(), TOKENS_ARROW)
+        for batch in batches:
+            rows, docs = column_of(batch, "row").to_numpy(), column(batch, "doc_id")
+            found, rare, owners, counts, size, start = [], [], [], [], 0, 0
+            for k, text in enumerate(column_of(batch, "text")):
+                own, inside, words = reader.read(text.as_py())
+                found.append((own.astype("<u2").tobytes(), inside))
+                size += own.nbytes
+                if words:
+                    rare += words
+                    owners.append(rows[k])
+                    counts.append(len(words))
+                if size >= TOKEN_BYTES or len(rare) >= TOKEN_ROWS or k == batch.num_rows - 1:
+                    tokens, inside = zip(*found)
+                    yield _token_rows(
+                        row=pa.array(rows[start : k + 1]),
+                        doc_id=pa.array(docs[start : k + 1], pa.int64()),
+                        tokens=pa.array(tokens, pa.binary()),
+                        inside=pa.array(inside, pa.float64()),
+                    )
+                    if rare:
+                        yield _token_rows(
+                            row=pa.array(np.repeat(np.array(owners, np.int64), counts)), word=pa.array(rare, pa.string())
+                        )
+                    found, rare, owners, counts, size, start = [], [], [], [], 0, k + 1
 
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text")
@@ -396,11 +400,16 @@ def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return texts.mapInArrow(run, TOKENS)
 
 
+def _token_rows(row: pa.Array, **given: pa.Array) -> pa.RecordBatch:
+    columns = [given.get(f.name, pa.nulls(len(row), f.type)) for f in list(TOKENS_ARROW)[1:]]
+    return pa.RecordBatch.from_arrays([row, *columns], schema=TOKENS_ARROW)
+
+
 def train(read: DataFrame, counts: DataFrame, lexicon: Lexicon) -> dict[str, np.ndarray]:
     """Parameters learned from the stored tokens of all texts. The driver gets one set of summed
     parameters for each round, whatever the number of tasks."""
     spark = read.sparkSession
-    documents = read.filter("row is not null").select("tokens")
+    documents = read.filter("tokens is not null").select("tokens")
     shared = spark.sparkContext.broadcast(lexicon.vocabulary)
 
     def count(batches):
@@ -459,8 +468,7 @@ def scored(read: DataFrame, p: dict, counts: DataFrame) -> DataFrame:
     ``read`` (see :func:`tokenised`); ``counts`` are those of :func:`word_counts`.
 
     A text that is null or has no words has no tokens, a sum of 0 and a null mean. Rows that
-    repeat are scored alike. An empty table gives an empty result. A run of texts names each rare
-    word once, with all its places.
+    repeat are scored alike. An empty table gives an empty result.
     """
     shared = read.sparkSession.sparkContext.broadcast(p)
 
@@ -474,14 +482,14 @@ def scored(read: DataFrame, p: dict, counts: DataFrame) -> DataFrame:
 
         yield from rows_to_batches(rows(), SCORED_ARROW)
 
-    documents = read.filter("row is not null").select("row", "doc_id", "tokens", "inside")
+    documents = read.filter("tokens is not null").select("row", "doc_id", "tokens", "inside")
     both = documents.mapInArrow(run, SCORED)
     rare = counts.select(F.col("word").alias("c_word"), "n")
     inside = (
         read.filter("word is not null")
-        .select("word", "rows")
+        .select(F.col("row").alias("i_row"), "word")
         .join(rare, F.col("word") == F.col("c_word"), "left")
-        .select(F.explode("rows").alias("i_row"), F.log(F.coalesce("n", F.lit(UNSEEN))).alias("share"))
+        .select("i_row", F.log(F.coalesce("n", F.lit(UNSEEN))).alias("share"))
         .groupBy("i_row")
         .agg(F.sum("share").alias("rare"))
     )
