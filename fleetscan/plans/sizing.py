@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +71,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_own: list[str] = []
+
+
+def own_folder(spark: SparkSession) -> None:
+    """Where the session names no folder for intermediate tables: one of its own for a session
+    that is a single process, removed when that ends. Tests and trials call this; on a cluster it
+    does nothing."""
+    master = spark.sparkContext.master
+    if spark.conf.get("spark.checkpoint.dir", None) or not re.fullmatch(r"local(\[.*\])?", master):
+        return
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="fleetscan-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    use_folder(_own[0])
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -9,16 +9,11 @@ rules are written as SQL in :mod:`workload.oracle`.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscan.plans.reuse import once
-from fleetscan.plans.sizing import spread, use_folder
+from fleetscan.plans.sizing import own_folder, spread
 
 KINDS = 16
 
@@ -80,23 +75,8 @@ ENV_TEXT = "# local values\n\nDB_URL=postgres://db\nTOKEN=a=b\r\nEMPTY=\nplain w
 DEPENDENCY_COUNT = 85
 
 
-_own: list[str] = []
-
-
-def name_folder(spark: SparkSession) -> None:
-    """Where the session names no folder for intermediate tables: one of its own for a session
-    that is a single process, removed when that ends."""
-    master = spark.sparkContext.master
-    if spark.conf.get("spark.checkpoint.dir", None) or not re.fullmatch(r"local(\[.*\])?", master):
-        return
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="fleetscan-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    use_folder(_own[0])
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name_folder(spark)
+    own_folder(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
