@@ -55,15 +55,16 @@ def render_turn(role: str | None, text: str) -> tuple[str, str, str]:
     return f"<s>[ROLE]{named}[/ROLE]", escape(text), "</s>"
 
 
-def parse(rendered: str) -> list[tuple[str | None, str]]:
-    """The turns of a rendering, by its control strings alone."""
+def parse(rendered: str) -> list[tuple[str | None, str, int, int]]:
+    """The turns of a rendering, by its control strings alone: role, text, and where the escaped text
+    starts and stops."""
     turns, at = [], 0
     while at < len(rendered):
         head = _HEAD.match(rendered, at)
         role = "user" if head[3] else None if head[1] == "null" else restore(head[2])
         stop = rendered.index("</s>", head.end())
-        body = rendered[head.end() : stop]
-        turns.append((role, restore(body.removesuffix("[/INST]") if head[3] else body)))
+        end = stop - len("[/INST]") if head[3] else stop
+        turns.append((role, restore(rendered[head.end() : end]), head.end(), end))
         at = stop + len("</s>")
     return turns
 
@@ -118,6 +119,18 @@ def masked_texts(rendered: str, spans: np.ndarray, offsets: np.ndarray, mask: np
     return out
 
 
+def learned_spans(spans: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The spans all of whose tokens are masked: a token that reaches over the edge of a masked span
+    may touch the next, whose other tokens are not."""
+    if not len(offsets):
+        return spans[:0]
+    first = np.searchsorted(offsets[:, 1], spans[:, 0], "right")
+    last = np.searchsorted(offsets[:, 0], spans[:, 1], "left")
+    total = np.r_[0, np.cumsum(mask)]
+    filled = (spans[:, 1] > spans[:, 0]) & (last > first)
+    return spans[filled & (total[last] - total[first] == last - first)]
+
+
 @dataclass
 class Formatted:
     """One run of a conversation: its rendering, tokens, offsets and mask."""
@@ -126,7 +139,6 @@ class Formatted:
     ids: np.ndarray
     offsets: np.ndarray
     mask: np.ndarray
-    spans: np.ndarray
 
 
 def format_run(turns: list[tuple[str | None, str]], encoder: Encoder) -> Formatted:
@@ -140,7 +152,7 @@ def format_run(turns: list[tuple[str | None, str]], encoder: Encoder) -> Formatt
     rendered = "".join(parts)
     ids, offsets = encoder.encode(rendered)
     edges = np.array(spans, dtype=np.int64).reshape(-1, 2)
-    return Formatted(rendered, ids, offsets, loss_mask(edges, offsets), edges)
+    return Formatted(rendered, ids, offsets, loss_mask(edges, offsets))
 
 
 @dataclass
@@ -154,10 +166,15 @@ class Digest:
     loss: object = field(default_factory=hashlib.sha256)
 
     def add(self, run: Formatted) -> None:
-        for role, text in parse(run.rendered):
+        """Take up a run, by what its output holds: where turns lie is parsed from the rendering, and
+        which text is learned follows from mask and offsets."""
+        spans = []
+        for role, text, start, stop in parse(run.rendered):
             self.n_turns += 1
             self.turns.update(f"{role or ''}\n{text}\n".encode("utf-8", "surrogatepass"))
-        for text in masked_texts(run.rendered, run.spans, run.offsets, run.mask):
+            spans.append((start, stop))
+        edges = np.array(spans, dtype=np.int64).reshape(-1, 2)
+        for text in masked_texts(run.rendered, learned_spans(edges, run.offsets, run.mask), run.offsets, run.mask):
             plain = restore(text)
             self.loss_chars += len(plain)
             self.loss.update(plain.encode("utf-8", "surrogatepass"))

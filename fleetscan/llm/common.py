@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,29 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscan.plans import sizing
+
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folders: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. A session that is one process and names no folder gets one for its own
+    lifetime; on a cluster that stays an error."""
+    sizing.own_folder(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it names none, a local
-    session gets a temporary folder of its own; on a cluster that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="fleetscan-llm-")
-    return _own_folders[app]
+    """The folder for intermediate tables: that of ``spark.checkpoint.dir``, or the one that the
+    caller named."""
+    return sizing.shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -24,11 +24,16 @@ def test_escapes_are_reversible_and_leave_no_control(text):
 @given(TURNS)
 def test_turns_and_loss_come_back_from_the_output(turns):
     run = chat.format_run(turns, ENCODER)
-    assert chat.parse(run.rendered) == [(r, t) for r, t in turns]
-    texts = chat.masked_texts(run.rendered, run.spans, run.offsets, run.mask)
-    assert [chat.restore(t) for t in texts] == [t for r, t in turns if r == "assistant"]
-    slow = [any(a < e and s < b for s, e in run.spans) for a, b in run.offsets]
-    assert run.mask.tolist() == slow
+    parsed = chat.parse(run.rendered)
+    assert [p[:2] for p in parsed] == [(r, t) for r, t in turns]
+    assert all(chat.restore(run.rendered[a:b]) == t for _, t, a, b in parsed)
+    spans = np.array([p[2:] for p in parsed], np.int64).reshape(-1, 2)
+    # which turns are learned follows from mask and offsets alone
+    learned = chat.learned_spans(spans, run.offsets, run.mask)
+    texts = chat.masked_texts(run.rendered, learned, run.offsets, run.mask)
+    assert [chat.restore(t) for t in texts] == [t for r, t in turns if r == "assistant" and t]
+    own = [p[2:] for p in parsed if p[0] == "assistant"]
+    assert run.mask.tolist() == [any(a < e and s < b for s, e in own) for a, b in run.offsets]
     assert ENCODER.tokenizer.decode(run.ids.tolist(), skip_special_tokens=False) == run.rendered
 
 

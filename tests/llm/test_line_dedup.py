@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetscan.llm import line_dedup
@@ -90,3 +91,31 @@ def test_digest_is_of_the_kept_text(spark, data):
     texts = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
     for r in op11_line_dedup(spark, data).collect():
         assert r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_runs_that_go_on_in_the_next_batch(size):
+    """One partition's sorted lines in batches of any size: what is dropped, what stays open."""
+    rng = np.random.default_rng(size)
+    rows = sorted(
+        {(int(rng.integers(0, 6)), -int(rng.integers(0, 9)), int(rng.integers(0, 3))) for _ in range(120)}
+    )
+    table = pa.table(
+        [[r[0] for r in rows], [0] * len(rows), [-r[1] for r in rows], [7] * len(rows), pa.array([r[2] for r in rows], pa.int32())],
+        schema=line_dedup.LINES_ARROW,
+    )
+    out = pa.Table.from_batches(line_dedup._decided(table.to_batches(max_chunksize=size), 5), line_dedup.MARKS_ARROW)
+    marks = out.to_pylist()
+    holders = {}
+    for h, d, _ in rows:
+        holders.setdefault(h, set()).add(-d)
+    first, last = rows[0][0], rows[-1][0]
+    want = {(-d, p) for h, d, p in rows if h != first and len(holders[h]) >= 5 and -d < max(holders[h])}
+    dropped = [(m["doc"], m["pos"]) for m in marks if m["kind"] == line_dedup.DROPPED]
+    assert sorted(dropped) == sorted(
+        (-d, p) for h, d, p in rows if h != first and len(holders[h]) >= 5 and -d < max(holders[h])
+    ) and set(dropped) == want
+    opened = {(m["high"], m["doc"], m["pos"]) for m in marks if m["kind"] == line_dedup.OPEN}
+    assert opened == {(h, -d, p) for h, d, p in rows if h == first or (h == last and len(holders[h]) < 5)}
+    ends = [(m["high"], m["doc"], m["last_doc"], m["docs"]) for m in marks if m["kind"] == line_dedup.SUMMARY]
+    assert ends == [(h, max(holders[h]), min(holders[h]), len(holders[h])) for h in dict.fromkeys([first, last])]
