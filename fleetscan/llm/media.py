@@ -1,9 +1,13 @@
 """Copies of images, cropped or edited, by local descriptors.
 
-Corners are found at several scales; around each, binary tests on a patch turned to its own
-orientation give a descriptor. Tables over parts of the descriptors' bits bring equal parts together,
-where every image meets the first one; what is near in Hamming distance votes for a rotation, a scale
-and a shift, and images with enough votes for one of them are linked.
+Corners are found at scales over two octaves, some in every part of the image; around each, binary
+tests on a patch turned to its own orientation give a descriptor. Tables over parts of the descriptors'
+bits bring equal parts together; what is near in Hamming distance votes for a rotation, a scale and
+a shift, and images with enough votes for one of them are linked.
+
+Images with equal corners are one. In a table's entry, all images meet the first; those that this
+has not linked yet then meet each other, so what an entry costs beyond its size are pairs of images
+that are not known to be copies.
 """
 
 from __future__ import annotations
@@ -16,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, stored
-from .components import components
+from .components import components, dealt, in_blocks, tasks
 
 #: Linear scales at which corners are sought.
-SCALES = (1.0, 4 / 3)
-MOST_CORNERS = 32
+SCALES = (1.0, 4 / 3, 2.0, 8 / 3, 4.0)
+#: Of every cell of so many pixels at a scale, the strongest corners are kept.
+CELL_PIXELS = 24
+CELL_CORNERS = 8
 #: Corners this near to the edge are left out, as their patches would be.
 MARGIN = 16
 LEAST_RESPONSE = 1e3
@@ -30,7 +36,9 @@ MOST_DIFFERENT = 28
 TURNS = 24
 SHIFT = 5
 SPOT = 6
+#: Votes that link two images: so many, and one for so many corners of the one that has fewer.
 LEAST_VOTES = 4
+CORNERS_PER_VOTE = 50
 SEED = 3
 #: Pixels handled at once.
 HELD_PIXELS = 1 << 21
@@ -138,8 +146,9 @@ def _bits(x: np.ndarray, at: np.ndarray, angle: np.ndarray) -> np.ndarray:
 
 
 def corners(images: np.ndarray) -> list[tuple]:
-    """(image, x, y, scale, angle, descriptor bytes) of the strongest corners of a stack of images, at
-    each scale, positions in pixels of the image itself."""
+    """(image, x, y, scale, angle, descriptor bytes) of the strongest corners in each part of a stack
+    of images, at each scale, positions in pixels of the image itself. Their number grows with the
+    image's area."""
     out = []
     for number, scale in enumerate(SCALES):
         x = _box(_resized(images.astype(np.float32), scale) if scale != 1 else images.astype(np.float32), 1)
@@ -153,10 +162,13 @@ def corners(images: np.ndarray) -> list[tuple]:
         if not len(at):
             continue
         strength = response[tuple(at.T)]
-        order = np.lexsort((at[:, 2], at[:, 1], -strength, at[:, 0]))
-        at = at[order]
-        first = np.searchsorted(at[:, 0], np.arange(len(images)))
-        at = at[np.arange(len(at)) - first[at[:, 0]] < MOST_CORNERS]
+        across = -(-x.shape[2] // CELL_PIXELS)
+        cell = (at[:, 1] - MARGIN) // CELL_PIXELS * across + (at[:, 2] - MARGIN) // CELL_PIXELS
+        order = np.lexsort((at[:, 2], at[:, 1], -strength, cell, at[:, 0]))
+        at, cell = at[order], cell[order]
+        starts = np.flatnonzero(np.r_[True, (at[1:, 0] != at[:-1, 0]) | (cell[1:] != cell[:-1])])
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+        at = at[rank < CELL_CORNERS]
         smooth = _box(x, 1)
         angle = _angles(smooth, at)
         packed = _bits(smooth, at, angle)
@@ -211,32 +223,101 @@ def _corner_batch(ids: list[int], found: list[tuple]) -> pa.RecordBatch:
 
 # -- tables, votes, classes
 
+KNOWN = ["image_id", "corner", "x", "y", "scale", "angle", "d0", "d1"]
+#: Corners of an entry that one task compares with each other.
+BLOCK = 512
 
-def matches(found: DataFrame) -> DataFrame:
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(image_id, same_as): images with corners, each with the smallest id among those whose corners
+    are the same, places included."""
+    corner = F.xxhash64(*KNOWN[2:])
+    sums = found.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(corner).alias("h1"), F.bit_xor(F.xxhash64(corner, F.lit(1))).alias("h2")
+    )
+    firsts = sums.groupBy("n", "h1", "h2").agg(F.min("image_id").alias("same_as"))
+    return sums.join(firsts, ["n", "h1", "h2"]).select("image_id", "same_as")
+
+
+def _entries(found: DataFrame) -> DataFrame:
+    return found.withColumn("key", F.explode("keys")).drop("keys")
+
+
+def lead_matches(found: DataFrame) -> DataFrame:
     """Pairs of corners (of an image, and of the first image of a table's entry) with descriptors
     that differ in few bits. Every entry gives at most as many rows as it has; the corners of a hot
     image spread over as many entries as it has corners and tables."""
-    known = ["image_id", "corner", "x", "y", "scale", "angle", "d0", "d1"]
-    rows = found.withColumn("key", F.explode("keys")).drop("keys")
-    lead = F.min(F.struct(*known)).over(Window.partitionBy("key"))
+    lead = F.min(F.struct(*KNOWN)).over(Window.partitionBy("key"))
     different = F.bit_count(F.col("d0").bitwiseXOR(F.col("first.d0"))) + F.bit_count(
         F.col("d1").bitwiseXOR(F.col("first.d1"))
     )
     return (
-        rows.withColumn("first", lead)
+        _entries(found)
+        .withColumn("first", lead)
         .filter(F.col("image_id") != F.col("first.image_id"))
         .filter(different <= MOST_DIFFERENT)
         .select(
-            *known[:6],
+            *KNOWN[:6],
             F.col("first.image_id").alias("lead"),
-            *[F.col(f"first.{c}").alias(f"l_{c}") for c in known[2:6]],
+            *[F.col(f"first.{c}").alias(f"l_{c}") for c in KNOWN[2:6]],
         )
     )
 
 
-def links(pairs: DataFrame) -> DataFrame:
+MATCH = (
+    "image_id long, corner int, x float, y float, scale int, angle float, lead long, "
+    "l_x float, l_y float, l_scale int, l_angle float"
+)
+
+
+def other_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of near corners that share an entry and whose images have different ``labels`` (node,
+    component; an image without one is its own). Entries of one label are left out first; a large
+    one is cut into blocks that are compared two by two."""
+    named = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
+    owner = F.coalesce("l_component", "image_id")
+    rows = found.join(named, F.col("image_id") == F.col("l_node"), "left").withColumn("owner", owner)
+    rows = _entries(rows.drop("l_node", "l_component"))
+    mixed = stored(
+        rows.groupBy(F.col("key").alias("m_key"))
+        .agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
+        .filter("low <> high")
+        .select("m_key"),
+        "mixed",
+    )
+    members = rows.join(mixed, F.col("key") == F.col("m_key")).drop("m_key")
+    members = in_blocks(stored(members, "members"), "key", "image_id", BLOCK)
+
+    def compare(batches):
+        for table in tasks(batches, "key"):
+            lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
+            owner, part, image = (table.column(c).to_numpy() for c in ("owner", "part", "image_id"))
+            words = np.stack([table.column(c).to_numpy() for c in ("d0", "d1")], axis=1).view(np.uint64)
+            pairs = []
+            for k in range(len(owner)):
+                far = np.bitwise_count(words[k + 1 :] ^ words[k]).sum(axis=1, dtype=np.int64)
+                near = (far <= MOST_DIFFERENT) & (owner[k + 1 :] != owner[k])
+                if lo != hi:
+                    near &= part[k + 1 :] != part[k]
+                at = np.flatnonzero(near) + k + 1
+                pairs.append(np.stack([np.full(len(at), k), at]))
+            a, b = np.concatenate(pairs, axis=1)
+            # the image with the smaller id leads
+            later, first = np.where(image[a] > image[b], a, b), np.where(image[a] > image[b], b, a)
+            if not len(a):
+                continue
+            own, lead = table.take(pa.array(later)), table.take(pa.array(first))
+            columns = [own.column(c) for c in KNOWN[:6]] + [lead.column(c) for c in ("image_id", *KNOWN[2:6])]
+            names = [*KNOWN[:6], "lead", *[f"l_{c}" for c in KNOWN[2:6]]]
+            yield from pa.table(columns, names=names).combine_chunks().to_batches()
+
+    return dealt(members, "key").mapInArrow(compare, MATCH)
+
+
+def links(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """(image_id, lead, votes): images whose matched corners agree on a similarity: turn, scale and,
-    on a grid and on the grid shifted by half a step in each direction, shift."""
+    on a grid and on the grid shifted by half a step in each direction, shift. Images with many
+    corners, of which some agree by chance, need more of them."""
     step = 2 * math.pi / TURNS
     turn = F.pmod(F.round((F.col("l_angle") - F.col("angle")) / step), F.lit(TURNS)).cast("int")
     ratio = F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.col("l_scale") + 1) / F.element_at(
@@ -264,24 +345,41 @@ def links(pairs: DataFrame) -> DataFrame:
     # corners at one spot, found at several scales, are one vote
     spot = F.struct(F.round(F.col("x") / SPOT), F.round(F.col("y") / SPOT))
     votes = moved.groupBy(*place).agg(F.size(F.collect_set(spot)).alias("n"))
-    return (
+    best = (
         votes.filter(F.col("n") >= LEAST_VOTES)
         .groupBy("image_id", "lead")
         .agg(F.max("n").alias("votes"))
     )
+    counts = found.groupBy(F.col("image_id").alias("n_id")).agg(F.count(F.lit(1)).alias("corners"))
+    lead_counts = counts.select(F.col("n_id").alias("l_id"), F.col("corners").alias("l_corners"))
+    fewer = F.least("corners", "l_corners")
+    return (
+        best.join(counts, F.col("image_id") == F.col("n_id"))
+        .join(lead_counts, F.col("lead") == F.col("l_id"))
+        .filter(F.col("votes") * CORNERS_PER_VOTE >= fewer)
+        .select("image_id", "lead", "votes")
+    )
 
 
 def copies(images: DataFrame) -> DataFrame:
     """image_id, n_corners and class_id (the smallest image_id that links reach) of every row of
     ``images`` (image_id, height, width, pixels; other columns are not looked at).
 
-    Images without corners (null, empty, flat, too small) are classes of their own. Rows that
+    Images without corners (null, empty, flat, too small) are classes of their own. A very large
+    image has corners in proportion to its area. Rows that
     repeat an id are one image with the corners of all. A null id stays null and is in no class.
     An empty table gives an empty result.
     """
     found = stored(described(images.filter("image_id is not null")), "corners")
-    linked = stored(links(matches(found)), "linked")
-    reach = components(linked.select(F.col("image_id").alias("a"), F.col("lead").alias("b")))
+    same = stored(representatives(found), "same")
+    firsts = same.filter("image_id = same_as").select(F.col("image_id").alias("f_id"))
+    chosen = stored(found.join(firsts, F.col("image_id") == F.col("f_id"), "left_semi"), "chosen")
+    linked = stored(links(lead_matches(chosen), chosen), "linked")
+    edges = linked.select(F.col("image_id").alias("a"), F.col("lead").alias("b"))
+    more = stored(links(other_matches(chosen, components(edges)), chosen), "linked")
+    edges = edges.union(more.select("image_id", "lead"))
+    edges = edges.union(same.filter("image_id <> same_as").select("image_id", "same_as"))
+    reach = components(edges)
     counts = found.groupBy(F.col("image_id").alias("n_id")).agg(F.count(F.lit(1)).alias("n"))
     return (
         images.select("image_id")
@@ -305,8 +403,8 @@ CELLS = 8
 def drawn(vectors: DataFrame) -> DataFrame:
     """Images drawn from ``vectors`` (vec_id, embedding): 8 by 8 cells whose grey values are the
     first 64 components. Image 2 * vec_id is the drawing, of near vectors a near copy; for every
-    vec_id divisible by 20, image 2 * vec_id + 1 is a cropped, turned and brightened copy. Vectors
-    that are null or hold nulls are images without pixels; rows without vec_id go."""
+    vec_id divisible by 20, image 2 * vec_id + 1 is a cropped, turned and brightened copy, every fourth
+    of these also twice as large. Vectors that are null or hold nulls are images without pixels; rows without vec_id go."""
 
     def run(batches):
         for batch in batches:
@@ -324,6 +422,8 @@ def drawn(vectors: DataFrame) -> DataFrame:
                 if vec % 20 == 0:
                     cut = picture[5:, : -(CELL // 2)]
                     cut = np.rot90(cut, vec // 20 % 4).astype(float)
+                    if vec // 20 % 4 == 1:
+                        cut = np.repeat(np.repeat(cut, 2, axis=0), 2, axis=1)
                     edited = np.ascontiguousarray(np.clip(cut * 0.85 + 20, 0, 255).astype(np.uint8))
                     rows.append((2 * vec + 1, *edited.shape, edited.tobytes()))
             if rows:
