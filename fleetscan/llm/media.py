@@ -13,6 +13,7 @@ that are not known to be copies.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,16 @@ CELL_CORNERS = 8
 MARGIN = 16
 LEAST_RESPONSE = 1e3
 BITS = 128
-TABLES = 4
-MOST_DIFFERENT = 28
+#: A descriptor's bits are cut into PARTS; each two of them together are a table's key.
+PARTS = 4
+TABLES = list(combinations(range(PARTS), 2))
+MOST_DIFFERENT = 20
 TURNS = 24
 SHIFT = 5
 SPOT = 6
 #: Votes that link two images: so many, and one for so many corners of the one that has fewer.
-LEAST_VOTES = 4
-CORNERS_PER_VOTE = 50
+LEAST_VOTES = 6
+CORNERS_PER_VOTE = 5
 SEED = 3
 #: Pixels handled at once.
 HELD_PIXELS = 1 << 21
@@ -123,7 +126,8 @@ def _peaks(r: np.ndarray) -> np.ndarray:
 
 
 _RNG = np.random.default_rng(SEED)
-_TESTS = np.clip(_RNG.normal(0, 6, (BITS, 2, 2)), -11, 11)
+_TESTS = _RNG.normal(0, 9, (BITS, 2, 2))
+_TESTS *= np.minimum(1, (MARGIN - 1) / np.linalg.norm(_TESTS, axis=2, keepdims=True))
 _DISC = np.array([(dy, dx) for dy in range(-8, 9) for dx in range(-8, 9) if dy * dy + dx * dx <= 64])
 
 
@@ -203,7 +207,9 @@ def described(images: DataFrame) -> DataFrame:
 
 def _corner_batch(ids: list[int], found: list[tuple]) -> pa.RecordBatch:
     data = np.frombuffer(b"".join(f[5] for f in found), np.uint8).reshape(len(found), BITS // 8)
-    parts = data.view(">u4").astype(np.int64) + (np.arange(TABLES, dtype=np.int64) << 32)
+    parts = data.view(">u4").astype(np.uint64)
+    # keys of different tables may meet by chance: what shares an entry is compared as a whole
+    keys = np.stack([_mixed(parts[:, list(chosen)], t) for t, chosen in enumerate(TABLES)], axis=1)
     words = data.view(">i8").astype(np.int64)
     return pa.RecordBatch.from_arrays(
         [
@@ -215,12 +221,20 @@ def _corner_batch(ids: list[int], found: list[tuple]) -> pa.RecordBatch:
             pa.array([f[4] for f in found], pa.float32()),
             pa.array(words[:, 0]),
             pa.array(words[:, 1]),
-            pa.array(list(parts), pa.list_(pa.int64())),
+            pa.array(list(keys), pa.list_(pa.int64())),
         ],
         schema=CORNERS_ARROW,
     )
 
 
+def _mixed(parts: np.ndarray, table: int) -> np.ndarray:
+    x = np.full(len(parts), table + 1, np.uint64)
+    for part in parts.T:
+        x = (x ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x.view(np.int64)
+
+
 # -- tables, votes, classes
 
 KNOWN = ["image_id", "corner", "x", "y", "scale", "angle", "d0", "d1"]
