@@ -68,7 +68,7 @@ GITIGNORE = (
     # lines as people write them: unclosed, backwards, cut short; none stops the others
     "foo[\n[z-a].ts\nx\\\n\\#x\n\\!x\na{b\n[[:nope:]].md\nsrc/[!a-z]*.ts\nlib/h[[:digit:]]*3.js\n"
     # many wildcards in one line: neither may stall the others, nor match what it does not
-    "*r*o*u*t*e*.*t*s*x*q\npages/**/p*1*1*.t*s*x*\n"
+    "*r*o*u*t*e*.*t*s*x*q\nlib/**/h*1*1*.j*s*\n"
 )
 GITIGNORE_ENV = "  .env\t\n"
 ENV_TEXT = "# local values\n\nDB_URL=postgres://db\nTOKEN=a=b\r\nEMPTY=\nplain words"

@@ -97,7 +97,7 @@ _IGNORED = """(regexp_matches(lower(r.path), '\\.log$')
         AND NOT regexp_matches(lower(r.path), '^src/e[^/]*7\\.ts$'))
       OR regexp_matches(lower(r.path), '^src/[^a-z/][^/]*\\.ts$')
       OR regexp_matches(lower(r.path), '^lib/h[0-9][^/]*3\\.js$')
-      OR regexp_matches(lower(r.path), '^pages/p[^/]*1[^/]*1[^/]*[.]t[^/]*s[^/]*x[^/]*$')
+      OR regexp_matches(lower(r.path), '^lib/h[^/]*1[^/]*1[^/]*[.]j[^/]*s[^/]*$')
       OR regexp_matches(lower(r.path), '^cfg[^/]*/'))"""
 
 _NAMES = (
