@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, stored
+from .common import column, small_batches, stored
 from .components import components, dealt, in_blocks, tasks
 
 #: Linear scales at which corners are sought.
@@ -44,7 +44,7 @@ LEAST_VOTES = 6
 CORNERS_PER_VOTE = 5
 SEED = 3
 #: Pixels handled at once.
-HELD_PIXELS = 1 << 21
+HELD_PIXELS = 1 << 20
 
 IMAGES = "image_id long, height int, width int, pixels binary"
 IMAGES_ARROW = pa.schema(
@@ -278,6 +278,38 @@ def lead_matches(found: DataFrame) -> DataFrame:
     )
 
 
+def _parts(words: np.ndarray) -> np.ndarray:
+    """The PARTS of descriptors that are two words each."""
+    low = np.uint64(0xFFFFFFFF)
+    return np.stack([words[:, 0] >> np.uint64(32), words[:, 0] & low, words[:, 1] >> np.uint64(32), words[:, 1] & low], axis=1)
+
+
+def _table_of(key: int, words: np.ndarray) -> int:
+    """The first table in which this descriptor has that key."""
+    parts = _parts(words)
+    return next(t for t, chosen in enumerate(TABLES) if _mixed(parts[:, list(chosen)], t)[0] == key)
+
+
+def _in_earlier_table(differ: np.ndarray, table: int) -> np.ndarray:
+    equal = _parts(differ) == 0
+    out = np.zeros(len(differ), bool)
+    for a, b in TABLES[:table]:
+        out |= equal[:, a] & equal[:, b]
+    return out
+
+
+def _all_pairs(n: int, most: int = 1 << 16):
+    """All pairs a < b below n, in pieces of bounded size."""
+    start = 0
+    while start < n - 1:
+        stop = min(n - 1, start + max(1, most // n))
+        a = np.repeat(np.arange(start, stop), n - 1 - np.arange(start, stop))
+        first = np.cumsum(n - 1 - np.arange(start, stop)) - (n - 1 - np.arange(start, stop))
+        b = np.arange(len(a)) - np.repeat(first, n - 1 - np.arange(start, stop)) + a + 1
+        yield a, b
+        start = stop
+
+
 MATCH = (
     "image_id long, corner int, x float, y float, scale int, angle float, lead long, "
     "l_x float, l_y float, l_scale int, l_angle float"
@@ -304,18 +336,22 @@ def other_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
 
     def compare(batches):
         for table in tasks(batches, "key"):
-            lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
+            key, lo, hi = (table.column(c)[0].as_py() for c in ("key", "lo", "hi"))
             owner, part, image = (table.column(c).to_numpy() for c in ("owner", "part", "image_id"))
             words = np.stack([table.column(c).to_numpy() for c in ("d0", "d1")], axis=1).view(np.uint64)
+            number = _table_of(key, words[:1])
             pairs = []
-            for k in range(len(owner)):
-                far = np.bitwise_count(words[k + 1 :] ^ words[k]).sum(axis=1, dtype=np.int64)
-                near = (far <= MOST_DIFFERENT) & (owner[k + 1 :] != owner[k])
+            for a, b in _all_pairs(len(owner)):
+                other = owner[a] != owner[b]
                 if lo != hi:
-                    near &= part[k + 1 :] != part[k]
-                at = np.flatnonzero(near) + k + 1
-                pairs.append(np.stack([np.full(len(at), k), at]))
-            a, b = np.concatenate(pairs, axis=1)
+                    other &= part[a] != part[b]
+                a, b = a[other], b[other]
+                differ = words[a] ^ words[b]
+                near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= MOST_DIFFERENT
+                # two corners that share several tables meet in the first of them
+                near &= ~_in_earlier_table(differ, number)
+                pairs.append(np.stack([a[near], b[near]]))
+            a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
             # the image with the smaller id leads
             later, first = np.where(image[a] > image[b], a, b), np.where(image[a] > image[b], b, a)
             if not len(a):
@@ -384,6 +420,7 @@ def copies(images: DataFrame) -> DataFrame:
     repeat an id are one image with the corners of all. A null id stays null and is in no class.
     An empty table gives an empty result.
     """
+    small_batches(images.sparkSession)
     found = stored(described(images.filter("image_id is not null")), "corners")
     same = stored(representatives(found), "same")
     firsts = same.filter("image_id = same_as").select(F.col("image_id").alias("f_id"))

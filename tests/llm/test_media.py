@@ -128,11 +128,13 @@ def test_against_all_pairs_of_corners(spark):
 def test_members_that_the_first_image_does_not_link_meet(spark, monkeypatch):
     """A copy pair shares its entries with an unlinked image of smaller id."""
     def rows(shared):
-        out = []
+        out, parts = [], np.zeros((1, 2), np.uint64)
+        key = int(media._mixed(parts, 0)[0])
         for image, other in ((1, 0), (2, 1), (3, 1)):
             for c in range(6):
-                d0 = c * 0x0101 + other * ((2**30 - 1) << 30)
-                out.append((image, c, 20.0 + 9 * c, 20.0 + 31 * (c % 3), 0, 0.5, d0, c, [c if shared else 100 * image + c]))
+                # equal in the first two parts, far or near in the others
+                d1 = c * 0x0101 + other * ((2**30 - 1) << 30)
+                out.append((image, c, 20.0 + 9 * c, 20.0 + 31 * (c % 3), 0, 0.5, 0, d1, [key if shared else 100 * image + c]))
         return spark.createDataFrame(out, media.CORNERS)
 
     found = rows(True)
@@ -160,3 +162,22 @@ def test_corners_grow_with_the_area():
     assert large > 12 * small
     huge = media.corners(np.zeros((1, 40, 3000), np.uint8))
     assert huge == []
+
+
+def test_all_pairs_come_in_pieces_and_once():
+    for n, most in ((0, 4), (1, 4), (2, 1), (7, 5), (40, 100), (40, 1 << 16)):
+        got = [(int(x), int(y)) for a, b in media._all_pairs(n, most) for x, y in zip(a, b)]
+        assert got == [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
+def test_corners_that_share_tables_meet_once():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 2**63, (1, 2)).astype(np.uint64)
+    parts = media._parts(words)
+    for t, chosen in enumerate(media.TABLES):
+        assert media._table_of(int(media._mixed(parts[:, list(chosen)], t)[0]), words) == t
+    for bits in range(16):
+        differ = np.array([[sum(1 << (32 * (1 - k)) for k in (0, 1) if bits >> k & 1), sum(1 << (32 * (1 - k)) for k in (0, 1) if bits >> (k + 2) & 1)]], np.uint64)
+        shared = [t for t, (a, b) in enumerate(media.TABLES) if not (bits >> a & 1 or bits >> b & 1)]
+        meets = [t for t in shared if not media._in_earlier_table(differ, t)[0]]
+        assert meets == shared[:1]
