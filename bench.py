@@ -47,7 +47,11 @@ HEADLINES = [
     "fix_verify",
     "scan_diff",
     "merge_findings",
+    "rescan_scores",
+    "scan_configs",
+    "span_lookup",
     "debounce_saves",
+    "stream_debounce",
     "stream_scores",
     "redact",
     "trimmed_lines",

@@ -25,13 +25,13 @@ def depth(path: Column) -> Column:
 
 def has_extension(path: Column, extensions) -> Column:
     """True when the path ends in one of the extensions, dot included."""
-    return any_of(path.endswith("." + e) for e in extensions)
+    return any_of(path.endswith(e) for e in extensions)
 
 
 def scannable(path: Column) -> Column:
     """A known file name, or a known extension; a bare dotfile has no extension."""
-    dotted = "|".join(V.SCANNABLE_EXTENSIONS)
-    return basename(path).isin(V.SCANNABLE_NAMES) | path.rlike(rf"[^/]\.(?:{dotted})\z")
+    endings = "|".join(re.escape(e) for e in V.SCANNABLE_EXTENSIONS)
+    return basename(path).isin(V.SCANNABLE_NAMES) | path.rlike(rf"[^/](?:{endings})\z")
 
 
 def excluded(path: Column, ignore_case: bool = True) -> Column:

@@ -51,7 +51,7 @@ DEBOUNCE = "1500 milliseconds"
 
 # --- Fixed values: file selection --------------------------------------------
 
-SCANNABLE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "json"]
+SCANNABLE_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 
 SCANNABLE_NAMES = [
     ".env",
@@ -87,8 +87,8 @@ EXCLUDED_DIRS = [
     "temp",
 ]
 
-CODE_EXTENSIONS = ["ts", "tsx", "js", "jsx"]
-MODULE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
+CODE_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx"]
+MODULE_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 
 # --- Fixed values: route and content markers ----------------------------------
 
@@ -162,16 +162,9 @@ ADMIN_KEY_MARKERS = ["SERVICE_ROLE_KEY", "service_role"]
 
 PUBLIC_SECRET_PATTERN = r"(?i)NEXT_PUBLIC_[A-Z_]*(?:SECRET|PRIVATE|PASSWORD|SERVICE_ROLE)[A-Z_]*"
 
-OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-LOCAL_HOSTS = (
-    r"localhost|127\.0\.0\.1|\[?::1\]?"
-    rf"|10\.{OCTET}\.{OCTET}\.{OCTET}"
-    rf"|192\.168\.{OCTET}\.{OCTET}"
-    rf"|172\.(?:1[6-9]|2\d|3[01])\.{OCTET}\.{OCTET}"
-)
-LOCAL_HOST_PATTERN = rf"(?i)(?<!\w)(?:{LOCAL_HOSTS})(?!\w)"
+LOCAL_HOST_PATTERN = r"(?i)(?<!\w)(?:localhost|127\.0\.0\.1|\[?::1\]?|10\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)|192\.168\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)|172\.(?:1[6-9]|2\d|3[01])\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w)"
 
-# Every LOCAL_HOSTS match but the name holds at least one of these.
+# Every match of LOCAL_HOST_PATTERN but the name holds at least one of these.
 LOCAL_NUMBER_HINTS = ["127.0.0.1", "::1", "10.", "192.168.", "172."]
 
 # --- Fixed values: manifests and project files --------------------------------
