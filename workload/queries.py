@@ -483,17 +483,15 @@ def project_settings(spark, sf_dir) -> DataFrame:
         .when(s % 12 == 4, F.array(F.lit("style"))).cast(names).alias("enabled_categories"),
         F.when(s % 6 == 1, "high").when(s % 6 == 2, "medium").alias("min_severity"),
         F.when(s % 6 == 2, F.array(F.lit("components/"))).cast(names).alias("exclude_patterns"),
-        F.when(s % 6 == 3, s % 12 - 4).cast("int").alias("max_files"),
+        F.when(s % 12 == 3, -1).when(s % 12 == 9, 1_000_000).alias("max_files"),
     )
 
 
 def scan_configs(spark, sf_dir):
     """A scan in which projects have options of their own, and its error rows."""
-    files = listing(spark, sf_dir)
-    settings = project_settings(spark, sf_dir).withColumn(
-        "max_files", F.when(F.col("max_files") > 0, 1_000_000).otherwise(F.col("max_files"))
+    tables = scan(
+        listing(spark, sf_dir), ScanConfig(root=sf_dir), settings=project_settings(spark, sf_dir)
     )
-    tables = scan(files, ScanConfig(root=sf_dir), settings=settings)
     errors = tables.errors.where("detector_id = 'config'")
     rows = tables.findings.select("project_id", "rule_id", "severity", "file", "line")
     return rows.withColumn("message", F.lit(None).cast("string")).unionByName(
