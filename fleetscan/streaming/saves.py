@@ -24,7 +24,7 @@ from fleetscan.operators.context import (
     project_summary,
 )
 from fleetscan.operators.findings import describe, file_hits, project_hits
-from fleetscan.operators.gitignore import ignore_rules, with_ignored
+from fleetscan.operators.gitignore import file_rule_sets, with_ignored_by_sets
 from fleetscan.operators.observe import DEFAULT_IGNORE_PREFIX, observe
 from fleetscan.operators.selection import selectable
 from fleetscan.plans.sizing import broadcast_if_small, stored
@@ -181,24 +181,19 @@ class IncrementalScan:
         """
         if batch <= self.layers.batch():
             return
-        saved = saved.persist()
-        try:
-            self._apply(saved, batch)
-        finally:
-            saved.unpersist()
-
-    def _apply(self, saved: DataFrame, batch: int) -> None:
         if "saved_at" not in saved.columns:
             saved = saved.withColumn("saved_at", F.lit(None).cast("timestamp"))
-        buckets = self._buckets_of(saved)
-        if not buckets:
-            return
         place = ["project_id", "path"]
         # the last save of each file; of one time, the largest text, so that a replay agrees
-        last = saved.groupBy(*place).agg(
-            F.max(F.struct("saved_at", "content")).alias("last")
-        ).select(*place, "last.content", "last.saved_at")
-        touched = broadcast_if_small(saved.select(*place).distinct())
+        last = stored(
+            saved.groupBy(*place).agg(F.max(F.struct("saved_at", "content")).alias("last")).select(
+                *place, "last.content", "last.saved_at"
+            )
+        )
+        buckets = self._buckets_of(last)
+        if not buckets:
+            return
+        touched = broadcast_if_small(last.select(*place))
         known = self.layers.read("observations", buckets).join(touched, place, "left_semi")
         known = stored(_latest_files(known).drop("bucket"))
         # a save that comes late is not lost and undoes nothing
@@ -211,7 +206,7 @@ class IncrementalScan:
         projects = broadcast_if_small(last.select("project_id").distinct())
         held = self.layers.read("ignores", buckets).drop("bucket").join(projects, "project_id", "left_semi")
         current = _latest_projects(held.unionByName(ignores)).withColumn("path", F.lit(".gitignore"))
-        marked = with_ignored(last, ignore_rules(current, self.ignore_case), self.ignore_case)
+        marked = with_ignored_by_sets(last, file_rule_sets(current, self.ignore_case), self.ignore_case)
         marked = marked.withColumn("selected", selectable(self.ignore_case) & ~F.col("ignored"))
         rows = observe(marked.drop("ignored", "saved_at"), self.registry, self.ignore_prefix)
         rows = rows.join(last.select(*place, "saved_at"), place, "left")
