@@ -7,7 +7,8 @@ a shift, and images with enough votes for one of them are linked.
 
 Images with equal corners are one. In a table's entry, all images meet the first; those that this
 has not linked yet then meet each other, so what an entry costs beyond its size are pairs of images
-that are not known to be copies.
+that are not known to be copies. Of these pairs, only those whose images have near corners at as
+many spots as a link needs votes go on.
 """
 
 from __future__ import annotations
@@ -310,6 +311,72 @@ def _all_pairs(n: int, most: int = 1 << 16):
         start = stop
 
 
+#: The corners that an image has in entries go along with each of them, if there are at most so many.
+#: Pairs with a larger image are not tested before the votes.
+MOST_SKETCHED = 256
+#: Pairs of corners compared at once by that test.
+HELD_PAIRS = 1 << 18
+
+
+def sketches(members: DataFrame, found: DataFrame) -> DataFrame:
+    """s_image, corners (how many it has in ``found``) and the spots and descriptors of its corners in
+    entries (s_spot, s_d0, s_d1, by spot; null if too many), for every image of ``members``."""
+    spot = [F.round(F.col("x") / SPOT), F.round(F.col("y") / SPOT)]
+    numbered = members.select(
+        "image_id", "d0", "d1", F.dense_rank().over(Window.partitionBy("image_id").orderBy(*spot)).alias("spot")
+    )
+    known = numbered.groupBy(F.col("image_id").alias("s_image")).agg(
+        F.collect_set(F.when(F.col("spot") <= MOST_SKETCHED, F.struct("spot", "d0", "d1"))).alias("own"),
+        F.max("spot").alias("spots"),
+    )
+    short = (F.size("own") <= MOST_SKETCHED) & (F.col("spots") <= MOST_SKETCHED)
+    counts = found.groupBy(F.col("image_id").alias("n_id")).agg(F.count(F.lit(1)).alias("corners"))
+    return (
+        known.withColumn("own", F.when(short, F.sort_array("own")))
+        .join(counts, F.col("s_image") == F.col("n_id"))
+        .select("s_image", "corners", *[F.col(f"own.{c}").alias(f"s_{c}") for c in ("spot", "d0", "d1")])
+    )
+
+
+def may_link(table: pa.Table, later: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have images that may get the votes for a link: votes count spots of the
+    later image, and a spot can vote only where one of its corners is near one of the other image and
+    shares a table's key with it."""
+    _, row, image = np.unique(table.column("image_id").to_numpy(), return_index=True, return_inverse=True)
+    rows = table.select(["corners", "s_spot", "s_d0", "s_d1"]).take(pa.array(row)).combine_chunks()
+    corners = rows.column("corners").to_numpy()
+    lists = rows.column("s_spot").combine_chunks()
+    known = lists.is_valid().to_numpy(zero_copy_only=False)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    stops = np.cumsum(sizes, dtype=np.int64)
+    spots, *words = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("s_spot", "s_d0", "s_d1"))
+    pairs, which = np.unique(image[later] * len(row) + image[first], return_inverse=True)
+    good = np.ones(len(pairs), bool)
+    own, others = np.divmod(pairs, len(row))
+    tested = np.flatnonzero(known[own] & known[others])
+    work = sizes[own[tested]] * sizes[others[tested]]
+    # pairs of one later image, a bounded number of corners at a time
+    piece = (np.cumsum(work, dtype=np.int64) - work) // HELD_PAIRS
+    edges = np.flatnonzero(np.r_[True, (np.diff(own[tested]) != 0) | (np.diff(piece) != 0)]) if len(tested) else []
+    for a, b in zip(edges, [*edges[1:], len(tested)]):
+        k, partners = own[tested[a]], others[tested[a:b]]
+        mine = slice(stops[k] - sizes[k], stops[k])
+        begins = np.cumsum(sizes[partners], dtype=np.int64) - sizes[partners]
+        theirs = np.repeat(stops[partners] - sizes[partners] - begins, sizes[partners]) + np.arange(sizes[partners].sum())
+        differ, equal = 0, 0
+        for w in words:
+            x = (w[mine][:, None] ^ w[theirs]).view(np.uint64)
+            differ = differ + np.bitwise_count(x)
+            equal = equal + (x < 1 << 32).view(np.uint8) + (x.astype(np.uint32) == 0)
+        # near, and in a table together: two of the parts are equal
+        near = np.logical_or.reduceat((differ <= MOST_DIFFERENT) & (equal >= 2), begins, axis=1)
+        starts = np.flatnonzero(np.r_[True, np.diff(spots[mine]) != 0])
+        n = np.logical_or.reduceat(near, starts, axis=0).sum(axis=0)
+        fewer = np.minimum(corners[k], corners[partners])
+        good[tested[a:b]] = (n >= LEAST_VOTES) & (n * CORNERS_PER_VOTE >= fewer)
+    return good[which]
+
+
 MATCH = (
     "image_id long, corner int, x float, y float, scale int, angle float, lead long, "
     "l_x float, l_y float, l_scale int, l_angle float"
@@ -318,8 +385,9 @@ MATCH = (
 
 def other_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of near corners that share an entry and whose images have different ``labels`` (node,
-    component; an image without one is its own). Entries of one label are left out first; a large
-    one is cut into blocks that are compared two by two."""
+    component; an image without one is its own), as far as a link of the two may follow (see
+    :func:`may_link`). Entries of one label are left out first; a large one is cut into blocks that are
+    compared two by two."""
     named = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
     owner = F.coalesce("l_component", "image_id")
     rows = found.join(named, F.col("image_id") == F.col("l_node"), "left").withColumn("owner", owner)
@@ -332,7 +400,9 @@ def other_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
         "mixed",
     )
     members = rows.join(mixed, F.col("key") == F.col("m_key")).drop("m_key")
-    members = in_blocks(stored(members, "members"), "key", "image_id", BLOCK)
+    members = stored(members, "members")
+    known = stored(sketches(members, found), "sketches")
+    members = in_blocks(members, "key", "image_id", BLOCK).join(known, F.col("image_id") == F.col("s_image")).drop("s_image")
 
     def compare(batches):
         for table in tasks(batches, "key"):
@@ -354,7 +424,10 @@ def other_matches(found: DataFrame, labels: DataFrame) -> DataFrame:
             a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
             # the image with the smaller id leads
             later, first = np.where(image[a] > image[b], a, b), np.where(image[a] > image[b], b, a)
-            if not len(a):
+            if len(a):
+                good = may_link(table, later, first)
+                later, first = later[good], first[good]
+            if not len(later):
                 continue
             own, lead = table.take(pa.array(later)), table.take(pa.array(first))
             columns = [own.column(c) for c in KNOWN[:6]] + [lead.column(c) for c in ("image_id", *KNOWN[2:6])]

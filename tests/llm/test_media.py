@@ -181,3 +181,28 @@ def test_corners_that_share_tables_meet_once():
         shared = [t for t, (a, b) in enumerate(media.TABLES) if not (bits >> a & 1 or bits >> b & 1)]
         meets = [t for t in shared if not media._in_earlier_table(differ, t)[0]]
         assert meets == shared[:1]
+
+
+def test_images_that_share_few_spots_do_not_meet(spark, monkeypatch):
+    # 40 images alike at four spots and apart elsewhere: 780 pairs, none of which can be linked
+    rng = np.random.default_rng(4)
+    shared = rng.integers(-(2**63), 2**63, (4, 2))
+    pairs = {k: rng.integers(-(2**63), 2**63, (8, 2)) for k in range(20)}
+    rows = []
+    for image in range(40):
+        # two and two of them are alike at eight more spots
+        own = np.concatenate((shared, pairs[image // 2]))
+        for c, (d0, d1) in enumerate(own.tolist()):
+            parts = np.array([[d0, d1]]).view(np.uint64)
+            keys = [int(media._mixed(media._parts(parts)[:, list(t)], k)[0]) for k, t in enumerate(media.TABLES)]
+            rows.append((image, c, 20.0 * c, 7.0 * c, 0, 0.0, d0, d1, keys))
+    found = spark.createDataFrame(rows, media.CORNERS)
+    labels = spark.createDataFrame([], "node long, component long")
+    want = [(k + 1, k) for k in range(0, 40, 2)]
+    for block, most in ((512, 256), (8, 256), (512, 3)):
+        monkeypatch.setattr(media, "BLOCK", block)
+        monkeypatch.setattr(media, "MOST_SKETCHED", most)
+        matches = media.other_matches(found, labels)
+        assert sorted((r.image_id, r.lead) for r in media.links(matches, found).collect()) == want
+        # images that have more corners than are sent along are compared all the same
+        assert matches.count() == (20 * 12 if most == 256 else 20 * 12 + (780 - 20) * 4)
