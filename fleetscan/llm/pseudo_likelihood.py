@@ -111,6 +111,10 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+#: Sums of short rows are faster as products.
+_ONES = np.ones(CLASSES, np.float32)
+
+
 def _softmax_parts(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """z = h w + b by rows, exp(z) up to a factor for each row, the sums of these, and the logs of the
     sums without the factor. No h is beyond 1, which bounds z; most often no factor is needed."""
@@ -118,11 +122,11 @@ def _softmax_parts(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     z += b
     if np.abs(w).sum(axis=0).max() + np.abs(b).max() < 60:
         e = np.exp(z)
-        total = e.sum(axis=1)
+        total = e @ _ONES
         return z, e, total, np.log(total)
     top = z.max(axis=1)
     e = np.exp(z - top[:, None])
-    total = e.sum(axis=1)
+    total = e @ _ONES
     return z, e, total, np.log(total) + top
 
 
@@ -138,12 +142,12 @@ def log_probabilities(p: dict, padded: np.ndarray) -> np.ndarray:
     the two before and the two behind."""
     n = len(padded) - 2 * REACH
     h = p["bias"] + sum(
-        p["embed"][k][padded[REACH + d : REACH + d + n]] for k, d in enumerate(WINDOW)
+        p["embed"][k].take(padded[REACH + d : REACH + d + n], axis=0) for k, d in enumerate(WINDOW)
     )
     np.tanh(h, out=h)
     group, inner = np.divmod(padded[REACH : REACH + n], CLASSES)
     order, segments = _segments(group)
-    h, group, inner = h[order], group[order], inner[order]
+    h, group, inner = h.take(order, axis=0), group[order], inner[order]
     z, _, _, log_total = _softmax_parts(h, p["upper"], p["upper_bias"])
     found = z[np.arange(n), group] - log_total
     for c, a, b in segments:
@@ -158,7 +162,7 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
     """The summed loss of predicting ``target`` from ``context`` (a row for each place of the
     window), and its gradients; those of embeddings as (rows, values) for each place."""
     n = len(target)
-    h = np.tanh(p["bias"] + sum(p["embed"][k][context[k]] for k in range(len(WINDOW))))
+    h = np.tanh(p["bias"] + sum(p["embed"][k].take(context[k], axis=0) for k in range(len(WINDOW))))
     group, inner = np.divmod(target, CLASSES)
     z, e, total, log_total = _softmax_parts(h, p["upper"], p["upper_bias"])
     at = np.arange(n), group
@@ -170,7 +174,7 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
     g["lower_bias"] = np.zeros(SHAPES["lower_bias"], np.float32)
     dh = e @ p["upper"].T
     order, segments = _segments(group)
-    own, inner, more = h[order], inner[order], np.empty_like(dh)
+    own, inner, more = h.take(order, axis=0), inner[order], np.empty_like(dh)
     for c, a, b in segments:
         z, e, total, log_total = _softmax_parts(own[a:b], p["lower"][c], p["lower_bias"][c])
         at = np.arange(b - a), inner[a:b]
@@ -179,7 +183,9 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
         e[at] -= 1
         g["lower"][c], g["lower_bias"][c] = own[a:b].T @ e, e.sum(axis=0)
         more[a:b] = e @ p["lower"][c].T
-    dh[order] += more
+    back = np.empty_like(order)
+    back[order] = np.arange(n)
+    dh += more.take(back, axis=0)
     dh *= 1 - h * h
     g["bias"] = dh.sum(axis=0)
     g["embed"] = []
@@ -188,40 +194,50 @@ def gradients(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float,
         order = np.argsort(context[k], kind="stable")
         at = context[k][order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        g["embed"].append((at[first], np.add.reduceat(dh[order], first, axis=0)))
+        g["embed"].append((at[first], np.add.reduceat(dh.take(order, axis=0), first, axis=0)))
     return loss, g
 
 
+_GAP_TOKENS = np.zeros(REACH, np.uint16)
+
+
 class Trainer:
     """Adagrad steps on batches of masked positions."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = {k: v.copy() for k, v in p.items()}
         self.seen = {k: np.full(v.shape, 1e-8, np.float32) for k, v in p.items()}
-        self.waiting: list[np.ndarray] = []
-        self.held = self.tokens = 0
+        self.tokens = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.waiting: list[np.ndarray] = [_GAP_TOKENS]
+        self.places: list[np.ndarray] = []
+        self.held, self.end = 0, REACH
 
     def add(self, own: np.ndarray, turn: int) -> None:
         """Take one position in MASK of a document's tokens; which one follows from the tokens."""
         if not len(own):
             return
         first = (int(own[: 2 * REACH].sum(dtype=np.int64)) + turn) % MASK
-        at = np.arange(first if first < len(own) else len(own) // 2, len(own), MASK)
-        gap = np.zeros(REACH, np.uint16)
-        padded = np.concatenate((gap, own, gap))
-        self.waiting.append(np.stack([padded[at + REACH + d] for d in (*WINDOW, 0)]))
-        self.held += len(at)
+        if first >= len(own):
+            first = len(own) // 2
+        # the gap that REACH zeros leave behind a text stands before the next one, too
+        self.places.append(np.arange(self.end + first, self.end + len(own), MASK))
+        self.waiting += (own, _GAP_TOKENS)
+        self.end += len(own) + REACH
+        self.held += len(self.places[-1])
         if self.held >= BATCH:
             self.step()
 
     def step(self) -> None:
         if not self.held:
             return
-        rows = np.concatenate(self.waiting, axis=1)
-        self.waiting, self.held = [], 0
-        n = rows.shape[1]
+        line, at = np.concatenate(self.waiting), np.concatenate(self.places)
+        self._forget()
+        n = len(at)
         self.tokens += n
-        _, g = gradients(self.p, rows[:-1], rows[-1])
+        _, g = gradients(self.p, np.stack([line[at + d] for d in WINDOW]), line[at])
         scale = np.float32(1 / n)
         for k in SHAPES:
             if k == "embed":

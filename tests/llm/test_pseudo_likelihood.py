@@ -181,3 +181,31 @@ def test_every_position_is_a_target_in_some_round(monkeypatch):
             trainer.add(own, turn)
             seen |= set(trainer.waiting[0][-1].tolist())
         assert seen == set(own.tolist())
+
+
+def test_windows_of_a_batch_are_those_of_single_texts(monkeypatch):
+    """Batches are cut from one line of texts; no window may see the text beside its own."""
+    seen = []
+
+    def watched(p, context, target):
+        seen.extend(zip(map(tuple, context.T.tolist()), target.tolist()))
+        return gradients(p, context, target)
+
+    gradients = pl.gradients
+    monkeypatch.setattr(pl, "gradients", watched)
+    monkeypatch.setattr(pl, "BATCH", 50)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, pl.VOCABULARY, n).astype(np.uint16) for n in (1, 2, 3, 0, 1, 7, 120, 4, 33)]
+    for turn in range(pl.ROUNDS):
+        seen.clear()
+        trainer = pl.Trainer(pl.starting_parameters(np.ones(pl.VOCABULARY)))
+        want = []
+        for own in texts:
+            trainer.add(own, turn)
+            if len(own):
+                first = (int(own[:4].sum(dtype=np.int64)) + turn) % pl.MASK
+                first = first if first < len(own) else len(own) // 2
+                padded = [0, 0, *own.tolist(), 0, 0]
+                want += [(tuple(padded[k + 2 + d] for d in pl.WINDOW), padded[k + 2]) for k in range(first, len(own), pl.MASK)]
+        trainer.step()
+        assert seen == want and trainer.tokens == len(want)
