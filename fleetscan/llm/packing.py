@@ -242,6 +242,11 @@ def whole_plans(histogram: dict[int, int], capacity: int, gap: float = GAP) -> l
 # -- assignment
 
 
+RANGES = pa.schema(
+    [("range_class", pa.int32()), *[(c, pa.int64()) for c in ("low", "high", "copies", "base", "slot")]]
+)
+
+
 def pack(found: DataFrame, sequence: int = SEQUENCE, width: int = WIDTH) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces with (doc_id, start, length).
 
@@ -268,9 +273,8 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, width: int = WIDTH) -> Data
             ranks[size] = upto
             slot += copies
         base += plan.count
-    ranges = spark.createDataFrame(
-        rows, "range_class int, low long, high long, copies long, base long, slot long"
-    )
+    # an Arrow table needs no Python workers beside those of the stages, a list of rows does
+    ranges = spark.createDataFrame(pa.Table.from_batches(rows_to_batches(((0, r) for r in rows), RANGES), RANGES))
     parts = classed.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = parts.select(
         F.col("class").alias("p_class"),

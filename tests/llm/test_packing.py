@@ -103,3 +103,14 @@ def test_column_generation_reaches_the_optimum_of_a_known_case():
     assert sum(p.count for p in plans) == 100
     value, pattern = packing.price(np.array([3.1, 5.0]), np.array([3, 5]), 11)
     assert pattern.tolist() == [2, 1] and abs(value - 11.2) < 1e-9
+
+
+def test_the_plan_reaches_spark_without_more_python_workers(spark, monkeypatch):
+    def parallelize(*_):
+        raise AssertionError("rows pass through Python workers of their own")
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "four " * 3000)], "doc_id long, text string")
+    empty = docs.filter("false")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    assert {r.doc_id for r in packing.pack_documents(docs).collect()} == {1, 2, 3}
+    assert packing.pack_documents(empty).collect() == []
